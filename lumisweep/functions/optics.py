@@ -6,13 +6,15 @@ One row is one (stack, wavelength, angle).  Expected columns:
 ``n_si``, ``k_si``, ``alpha_si`` (1/cm); ``n_sio2``, ``k_sio2``; ``n_si3n4``,
 ``k_si3n4``; ``n_env``; and ``angle_deg`` unless the light comes in at 0 degrees.
 
-Spark has no complex type: a complex value is a pair of columns ``*_r``, ``*_i``.
-Each step is a projection of its own, so that no sub-expression is written twice.
+Spark has no complex type: a complex value is a pair of columns ``*r``, ``*i``.  The
+formula is a list of named steps that refer to earlier ones; ``apply_steps`` puts them
+into one select with lateral aliases, so that every value is computed once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 PLANCK = 6.62606896e-34
 LIGHT_SPEED = 299792458.0
 CHARGE = 1.602176487e-19
+QE_PER_NM = CHARGE * 1e-9 / (PLANCK * LIGHT_SPEED)
 
 
 def absorption(alpha_per_cm: Column, thickness_m: Column) -> Column:
@@ -30,7 +33,7 @@ def absorption(alpha_per_cm: Column, thickness_m: Column) -> Column:
 
 def quantum_eff(lambda_nm: Column) -> Column:
     """Ideal responsivity in A/W at a wavelength (T4)."""
-    return lambda_nm * F.lit(CHARGE * 1e-9 / (PLANCK * LIGHT_SPEED))
+    return lambda_nm * F.lit(QE_PER_NM)
 
 
 def layer_angle(n_env: Column, angle_deg: Column, n: Column) -> Column:
@@ -43,51 +46,63 @@ def phase(lambda_nm: Column, n: Column, thickness_m: Column, cos_angle: Column)
     return F.lit(2e9 * math.pi) / lambda_nm * n * thickness_m * cos_angle
 
 
-def _add(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
-
-
-def _reflectance(df: DataFrame, mode: str, out: str) -> DataFrame:
-    """Reflectance of one polarisation from the shared angle and phase columns."""
-    c = F.col
-
-    def tilt(cos: str) -> Column:
-        return c(cos) if mode == "te" else 1 / c(cos)
-
-    # Admittances; the common 1/c of the textbook form cancels.
-    df = _add(df, _y0=c("n_env") * tilt("_cos0"),
-              _y1r=c("n_si3n4") * tilt("_cos1"), _y1i=c("k_si3n4") * tilt("_cos1"),
-              _y2r=c("n_sio2") * tilt("_cos2"), _y2i=c("k_sio2") * tilt("_cos2"),
-              _ysr=c("n_si") * tilt("_cos3"), _ysi=c("k_si") * tilt("_cos3"))
-    # Off-diagonal entries of the two layer matrices: b = i sin / y, d = i sin * y.
-    df = _add(df, _q1=c("_y1r") * c("_y1r") + c("_y1i") * c("_y1i"),
-              _q2=c("_y2r") * c("_y2r") + c("_y2i") * c("_y2i"))
-    df = _add(df, _b1r=c("_s1") * c("_y1i") / c("_q1"), _b1i=c("_s1") * c("_y1r") / c("_q1"),
-              _d1r=-c("_s1") * c("_y1i"), _d1i=c("_s1") * c("_y1r"),
-              _b2r=c("_s2") * c("_y2i") / c("_q2"), _b2i=c("_s2") * c("_y2r") / c("_q2"),
-              _d2r=-c("_s2") * c("_y2i"), _d2i=c("_s2") * c("_y2r"))
-    # Product of the two matrices.
-    df = _add(df,
-              _m11r=c("_c1") * c("_c2") + c("_b1r") * c("_d2r") - c("_b1i") * c("_d2i"),
-              _m11i=c("_b1r") * c("_d2i") + c("_b1i") * c("_d2r"),
-              _m12r=c("_c1") * c("_b2r") + c("_b1r") * c("_c2"),
-              _m12i=c("_c1") * c("_b2i") + c("_b1i") * c("_c2"),
-              _m21r=c("_d1r") * c("_c2") + c("_c1") * c("_d2r"),
-              _m21i=c("_d1i") * c("_c2") + c("_c1") * c("_d2i"),
-              _m22r=c("_d1r") * c("_b2r") - c("_d1i") * c("_b2i") + c("_c1") * c("_c2"),
-              _m22i=c("_d1r") * c("_b2i") + c("_d1i") * c("_b2r"))
-    df = _add(df,
-              _pr=c("_y0") * (c("_m11r") + c("_ysr") * c("_m12r") - c("_ysi") * c("_m12i")),
-              _pi=c("_y0") * (c("_m11i") + c("_ysr") * c("_m12i") + c("_ysi") * c("_m12r")),
-              _qr=c("_m21r") + c("_ysr") * c("_m22r") - c("_ysi") * c("_m22i"),
-              _qi=c("_m21i") + c("_ysr") * c("_m22i") + c("_ysi") * c("_m22r"))
-    top = F.pow(c("_pr") - c("_qr"), 2) + F.pow(c("_pi") - c("_qi"), 2)
-    bottom = F.pow(c("_pr") + c("_qr"), 2) + F.pow(c("_pi") + c("_qi"), 2)
-    df = df.withColumn(out, top / bottom)
-    return df.drop("_y0", "_y1r", "_y1i", "_y2r", "_y2i", "_ysr", "_ysi", "_q1", "_q2",
-                   "_b1r", "_b1i", "_d1r", "_d1i", "_b2r", "_b2i", "_d2r", "_d2i",
-                   "_m11r", "_m11i", "_m12r", "_m12i", "_m21r", "_m21i", "_m22r", "_m22i",
-                   "_pr", "_pi", "_qr", "_qi")
+Step = tuple[str, str]
+
+
+def apply_steps(df: DataFrame, steps: Sequence[Step], keep: Sequence[str]) -> DataFrame:
+    """Add the columns ``keep`` of a list of ``(name, SQL expression)`` steps."""
+    wide = df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in steps])
+    return wide.select(*df.columns, *keep)
+
+
+def reflectance_steps(sio2: str, si3n4: str, out: str, tilted: bool) -> list[Step]:
+    """Steps of the reflectance of Si3N4 on SiO2 on Si.
+
+    The field at the substrate, (1, y_si), is carried up through the two layers with
+    their characteristic matrices to (B, C); R = |y0 B - C|^2 / |y0 B + C|^2.  The 1/c
+    that the admittances of the textbook form share cancels and is left out.
+    """
+    p = f"_{out}"
+    layers = {"2": ("n_sio2", "k_sio2", sio2), "1": ("n_si3n4", "k_si3n4", si3n4)}
+    steps: list[Step] = []
+    if tilted:
+        steps += [(f"{p}sin", "n_env * sin(radians(angle_deg))"),
+                  (f"{p}cos0", "cos(radians(angle_deg))"),
+                  (f"{p}cos3", f"sqrt(1 - {p}sin * {p}sin / (n_si * n_si))")]
+        steps += [(f"{p}cos{i}", f"sqrt(1 - {p}sin * {p}sin / ({n} * {n}))")
+                  for i, (n, _, _) in layers.items()]
+    for i, (n, _, d) in layers.items():
+        slant = f" * {p}cos{i}" if tilted else ""
+        steps += [(f"{p}phi{i}", f"2e9D * pi() / lambda_nm * {n} * {d}{slant}"),
+                  (f"{p}c{i}", f"cos({p}phi{i})"), (f"{p}s{i}", f"sin({p}phi{i})")]
+    for mode in ("te", "tm") if tilted else ("",):
+        q = f"{p}{mode}"
+        tilt = {"": "", "te": f" * {p}cos%s", "tm": f" / {p}cos%s"}[mode]
+
+        def admittance(column: str, i: str, tilt: str = tilt) -> str:
+            return column + (tilt % i if tilt else "")
+
+        steps += [(f"{q}y0", admittance("n_env", "0")), (f"{q}br3", "1.0D"), (f"{q}bi3", "0.0D"),
+                  (f"{q}cr3", admittance("n_si", "3")), (f"{q}ci3", admittance("k_si", "3"))]
+        for i, below in (("2", "3"), ("1", "2")):
+            n, k, _ = layers[i]
+            yr, yi, c, s = f"{q}yr{i}", f"{q}yi{i}", f"{p}c{i}", f"{p}s{i}"
+            br, bi, cr, ci = (f"{q}{v}{below}" for v in ("br", "bi", "cr", "ci"))
+            steps += [
+                (yr, admittance(n, i)), (yi, admittance(k, i)),
+                (f"{q}q{i}", f"{s} / ({yr} * {yr} + {yi} * {yi})"),
+                (f"{q}br{i}", f"{c} * {br} + {q}q{i} * ({yi} * {cr} - {yr} * {ci})"),
+                (f"{q}bi{i}", f"{c} * {bi} + {q}q{i} * ({yi} * {ci} + {yr} * {cr})"),
+                (f"{q}cr{i}", f"{c} * {cr} - {s} * ({yi} * {br} + {yr} * {bi})"),
+                (f"{q}ci{i}", f"{c} * {ci} + {s} * ({yr} * {br} - {yi} * {bi})")]
+        steps += [(f"{q}ur", f"{q}y0 * {q}br1"), (f"{q}ui", f"{q}y0 * {q}bi1"),
+                  (f"{q}dr", f"{q}ur - {q}cr1"), (f"{q}di", f"{q}ui - {q}ci1"),
+                  (f"{q}er", f"{q}ur + {q}cr1"), (f"{q}ei", f"{q}ui + {q}ci1"),
+                  (f"{out}_{mode}" if mode else out,
+                   f"({q}dr * {q}dr + {q}di * {q}di) / ({q}er * {q}er + {q}ei * {q}ei)")]
+    if tilted:
+        steps.append((out, f"({out}_te + {out}_tm) / 2"))
+    return steps
 
 
 def with_reflectance(df: DataFrame, sio2: str = "thickness_sio2",
@@ -98,28 +113,8 @@ def with_reflectance(df: DataFrame, sio2: str = "thickness_sio2",
     With ``tilted=False`` the light comes in at 0 degrees, both polarisations are
     equal and only ``<out>`` is computed.
     """
-    c = F.col
-    lam = c("lambda_nm").cast("double")
-    if tilted:
-        df = df.withColumn("_snell", c("n_env") * F.sin(F.radians(c("angle_deg").cast("double"))))
-
-        def cosine(n: str) -> Column:
-            return F.sqrt(1 - F.pow(c("_snell") / c(n), 2))
-
-        df = _add(df, _cos0=F.cos(F.radians(c("angle_deg").cast("double"))),
-                  _cos1=cosine("n_si3n4"), _cos2=cosine("n_sio2"), _cos3=cosine("n_si"))
-    else:
-        df = _add(df, _cos0=F.lit(1.0), _cos1=F.lit(1.0), _cos2=F.lit(1.0), _cos3=F.lit(1.0))
-    df = _add(df, _p1=phase(lam, c("n_si3n4"), c(si3n4), c("_cos1")),
-              _p2=phase(lam, c("n_sio2"), c(sio2), c("_cos2")))
-    df = _add(df, _c1=F.cos("_p1"), _s1=F.sin("_p1"), _c2=F.cos("_p2"), _s2=F.sin("_p2"))
-    if tilted:
-        df = _reflectance(_reflectance(df, "te", f"{out}_te"), "tm", f"{out}_tm")
-        df = df.withColumn(out, (c(f"{out}_te") + c(f"{out}_tm")) / 2)
-    else:
-        df = _reflectance(df, "te", out)
-    return df.drop("_snell", "_cos0", "_cos1", "_cos2", "_cos3", "_p1", "_p2",
-                   "_c1", "_s1", "_c2", "_s2")
+    keep = [f"{out}_te", f"{out}_tm", out] if tilted else [out]
+    return apply_steps(df, reflectance_steps(sio2, si3n4, out, tilted), keep)
 
 
 def with_responsivity(df: DataFrame, tilted: bool = True) -> DataFrame:
@@ -127,10 +122,11 @@ def with_responsivity(df: DataFrame, tilted: bool = True) -> DataFrame:
 
     With ``tilted`` also ``r_te``, ``r_tm``, ``t_te``, ``t_tm``.
     """
-    c = F.col
-    df = with_reflectance(df, tilted=tilted)
-    df = _add(df, absorption=absorption(c("alpha_si"), c("thickness_si")),
-              quantum_eff=quantum_eff(c("lambda_nm").cast("double")), t=1 - c("r"))
-    if tilted:
-        df = _add(df, t_te=1 - c("r_te"), t_tm=1 - c("r_tm"))
-    return df.withColumn("sabs", c("absorption") * c("quantum_eff") * c("t"))
+    steps = reflectance_steps("thickness_sio2", "thickness_si3n4", "r", tilted)
+    modes = ["_te", "_tm", ""] if tilted else [""]
+    steps += [(f"t{m}", f"1 - r{m}") for m in modes]
+    steps += [("absorption", "1 - exp(-alpha_si * 100 * thickness_si)"),
+              ("quantum_eff", f"lambda_nm * {QE_PER_NM!r}D"),
+              ("sabs", "absorption * quantum_eff * t")]
+    return apply_steps(df, steps, [*[f"r{m}" for m in modes], *[f"t{m}" for m in modes],
+                                   "absorption", "quantum_eff", "sabs"])

@@ -10,16 +10,21 @@ more than ``CHUNK + 2 * HALO`` knots.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.operators.keyed import (asof_lookup, dense_positions, join_per_key,
                                        order_splits, salts_for, with_next)
 
+# The numpy helper travels with the tasks; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 512
 HALO = 64
 

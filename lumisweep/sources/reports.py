@@ -42,12 +42,14 @@ def parse_report_lines(raw: DataFrame, charset: str = "UTF-8") -> DataFrame:
     lines = F.filter(lines_of(text), lambda x: F.trim(x) != "")
     files = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"),
                        F.col("path"), lines.alias("lines"))
-    marks = {}
-    for name, mark in SECTIONS.items():
-        first = F.slice("lines", 1, FLAG_LINES)
-        marks[f"_{name}"] = F.array_position(
-            F.transform(first, lambda x, m=mark: F.contains(x, F.lit(m))), True).cast("int")
-    return files.withColumns(marks)
+    return files.withColumns({f"_{name}": _first_line_with(mark).cast("int")
+                              for name, mark in SECTIONS.items()})
+
+
+def _first_line_with(mark: str) -> Column:
+    """1-based number of the first of the leading lines that contains ``mark``, else 0."""
+    found = F.transform(F.slice("lines", 1, FLAG_LINES), lambda x: F.contains(x, F.lit(mark)))
+    return F.array_position(found, True)
 
 
 def _complete() -> Column:
