@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from lumisweep.functions.formatting import SI_PREFIXES
 from lumisweep.functions.optics import QE_PER_NM
-from lumisweep.operators.fits import LOWPASS_STEPS, lowpass_starts
+from lumisweep.operators.fits import LOWPASS_STEPS, STACK_DAMPING, lowpass_starts
 from lumisweep.operators.rollup import RISETIME_LIMITS_PS
 from lumisweep.operators.sweepgrid import thickness_decades
 from lumisweep.plans.views import (ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
@@ -221,7 +221,8 @@ _si_factor = " ".join(f"WHEN abs(x) >= 1e{3 * i - 24} THEN 1e{3 * i - 24}"
 _prefix_list = "[" + ", ".join(f"'{p}'" for p in SI_PREFIXES) + "]"
 ORACLE_SQL["number_formats"] = f"""
 WITH o AS (SELECT o_orderkey, o_totalprice AS x FROM orders),
-e AS (SELECT *, {_LOG} AS e, round(x / pow(10, {_LOG}), 6) AS m,
+e AS (SELECT *, {_LOG.replace('abs(x)', 'x / 7')} AS e,
+  round(x / 7 / pow(10, {_LOG.replace('abs(x)', 'x / 7')}), 6) AS m,
   x / (CASE {_si_factor} END) AS v, CASE {_si} END AS ix FROM o)
 SELECT o_orderkey,
   regexp_replace(round(m * pow(10, e % 3), 6)::VARCHAR, '\\.0$', '') || 'e' || (e - e % 3) AS eng,
@@ -247,50 +248,56 @@ def _list(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
 
 
-def reflect(out: str, d2: str, d3: str, mode: str = "te", tilted: bool = True) -> str:
-    """Chained aliases for one polarisation: admittance from the substrate up."""
+def reflect(out: str, d2: str, d3: str, mode: str = "te", tilted: bool = True) -> list[str]:
+    """Select lists, one after the other, for one polarisation: admittance up the layers."""
     p = f"{out}_"
-    if tilted:
-        cos0 = "cos(radians(ang))"
 
-        def cos(n: str) -> str:
-            return f"sqrt(1 - pow(n_env * sin(radians(ang)) / {n}, 2))"
-    else:
-        cos0 = "1.0::DOUBLE"
+    def cos(n: str) -> str:
+        return f"sqrt(1 - pow(n_env * sin(radians(ang)) / {n}, 2))" if tilted else "1.0::DOUBLE"
 
-        def cos(n: str) -> str:
-            return "1.0::DOUBLE"
+    cos0 = "cos(radians(ang))" if tilted else "1.0::DOUBLE"
     op = "*" if mode == "te" else "/"
-    return f"""
-  {cos('n_sio2')} AS {p}k2, {cos('n_si3n4')} AS {p}k1, {cos('n_si')} AS {p}ks,
-  n_env {op} {cos0} AS {p}y0,
-  n_si {op} {p}ks AS {p}ar, k_si {op} {p}ks AS {p}ai,
+    return [
+        f"{cos('n_sio2')} AS {p}k2, {cos('n_si3n4')} AS {p}k1, {cos('n_si')} AS {p}ks",
+        f"""n_env {op} {cos0} AS {p}y0, n_si {op} {p}ks AS {p}ar, k_si {op} {p}ks AS {p}ai,
   n_sio2 {op} {p}k2 AS {p}y2r, k_sio2 {op} {p}k2 AS {p}y2i,
   n_si3n4 {op} {p}k1 AS {p}y1r, k_si3n4 {op} {p}k1 AS {p}y1i,
   2 * pi() / (lam * 1e-9) * n_sio2 * {d2} * {p}k2 AS {p}f2,
-  2 * pi() / (lam * 1e-9) * n_si3n4 * {d3} * {p}k1 AS {p}f1,
-  {admit(p, 'a', '2', 'b')}, {admit(p, 'b', '1', 'c')},
-  (pow({p}y0 - {p}cr, 2) + pow({p}ci, 2)) / (pow({p}y0 + {p}cr, 2) + pow({p}ci, 2)) AS {out}"""
+  2 * pi() / (lam * 1e-9) * n_si3n4 * {d3} * {p}k1 AS {p}f1""",
+        *admit(p, "a", "2", "b"), *admit(p, "b", "1", "c"),
+        f"(pow({p}y0 - {p}cr, 2) + pow({p}ci, 2)) / (pow({p}y0 + {p}cr, 2) + pow({p}ci, 2)) AS {out}"]
 
 
-def admit(p: str, below: str, layer: str, above: str) -> str:
+def admit(p: str, below: str, layer: str, above: str) -> list[str]:
     """(Y cos f + i y sin f) / (cos f + i (Y / y) sin f) in real arithmetic."""
     a, y = p + below, f"{p}y{layer}"
     f, t = f"{p}f{layer}", f"{p}{above}"
-    return f"""{a}r * cos({f}) - {y}i * sin({f}) AS {t}tr,
+    return [f"""{a}r * cos({f}) - {y}i * sin({f}) AS {t}tr,
   {a}i * cos({f}) + {y}r * sin({f}) AS {t}ti,
   cos({f}) - ({a}i * {y}r - {a}r * {y}i) / ({y}r * {y}r + {y}i * {y}i) * sin({f}) AS {t}br,
-  ({a}r * {y}r + {a}i * {y}i) / ({y}r * {y}r + {y}i * {y}i) * sin({f}) AS {t}bi,
-  ({t}tr * {t}br + {t}ti * {t}bi) / ({t}br * {t}br + {t}bi * {t}bi) AS {t}r,
-  ({t}ti * {t}br - {t}tr * {t}bi) / ({t}br * {t}br + {t}bi * {t}bi) AS {t}i"""
+  ({a}r * {y}r + {a}i * {y}i) / ({y}r * {y}r + {y}i * {y}i) * sin({f}) AS {t}bi""",
+            f"""({t}tr * {t}br + {t}ti * {t}bi) / ({t}br * {t}br + {t}bi * {t}bi) AS {t}r,
+  ({t}ti * {t}br - {t}tr * {t}bi) / ({t}br * {t}br + {t}bi * {t}bi) AS {t}i"""]
+
+
+def chain(source: str, name: str, *parts: list[str]) -> str:
+    """CTEs ``name_0 ..`` and ``name`` that add the select lists of ``parts`` in step."""
+    ctes, last = [], source
+    stages = list(zip(*parts))
+    for i, lists in enumerate(stages):
+        new = name if i == len(stages) - 1 else f"{name}_{i}"
+        ctes.append(f"{new} AS (SELECT *, {', '.join(lists)} FROM {last})")
+        last = new
+    return ",\n".join(ctes)
 
 
 def stack_cte(lambdas, angles=(0.0,), n: int = 3) -> str:
     """``sw``: every part, level combination, wavelength and angle with its response."""
     half = (n - 1) // 2
     tilted = tuple(angles) != (0.0,)
-    te = reflect("r_te" if tilted else "r", "d2", "d3", "te", tilted)
-    tm = "," + reflect("r_tm", "d2", "d3", "tm", True) + ", (r_te + r_tm) / 2 AS r" if tilted else ""
+    modes = ([reflect("r_te", "d2", "d3", "te"), reflect("r_tm", "d2", "d3", "tm")] if tilted
+             else [reflect("r", "d2", "d3", "te", False)])
+    mean = ", (r_te + r_tm) / 2 AS r" if tilted else ""
     return f"""
 lv AS (SELECT p_partkey, p_brand, i1, i2, i3, lam, ang,
   (80 + p_size) * 1e-7 + i1 * 1.5e-6 / {half} AS d1,
@@ -300,9 +307,10 @@ lv AS (SELECT p_partkey, p_brand, i1, i2, i3, lam, ang,
   FROM part, range(-{half}, {half + 1}) AS t1(i1), range(-{half}, {half + 1}) AS t2(i2),
   range(-{half}, {half + 1}) AS t3(i3), unnest({_list(lambdas)}) AS t4(lam),
   unnest({_list(angles)}) AS t5(ang)),
-co AS (SELECT *, {CONSTANTS} FROM lv),
-sw AS (SELECT *, {te}{tm}, 1 - exp(-alpha_si * 100 * d1) AS absorption,
-  lam * {QE_PER_NM!r} AS qe, absorption * qe * (1 - r) AS sabs FROM co)"""
+co AS (SELECT *, {CONSTANTS} FROM lv), {chain('co', 'rf', *modes)},
+sb AS (SELECT *, 1 - exp(-alpha_si * 100 * d1) AS absorption, lam * {QE_PER_NM!r} AS qe{mean}
+  FROM rf),
+sw AS (SELECT *, absorption * qe * (1 - r) AS sabs FROM sb)"""
 
 
 TARGET = "i1 = 0 AND i2 = 0 AND i3 = 0"
@@ -546,34 +554,44 @@ ORACLE_SQL["fit_lowpass2"] = lowpass_sql()
 MEASURED = f"""ms0 AS (SELECT p_partkey, lam, (95 + p_size % 11) * 1e-7 AS d1,
   (13 + p_partkey % 5) * 1e-9 AS d2, (67 + p_partkey % 7) * 1e-9 AS d3, {CONSTANTS}
   FROM part, unnest({_list(MEASURED_LAMBDAS)}) AS t(lam)),
-ms1 AS (SELECT *, {reflect('r', 'd2', 'd3', 'te', False)},
-  (1 - exp(-alpha_si * 100 * d1)) * lam * {QE_PER_NM!r} * (1 - r) AS sabs FROM ms0),
+{chain('ms0', 'ms1', reflect('r', 'd2', 'd3', 'te', False))},
+ms2 AS (SELECT *, (1 - exp(-alpha_si * 100 * d1)) * lam * {QE_PER_NM!r} * (1 - r) AS sabs FROM ms1),
 ms AS MATERIALIZED (SELECT p_partkey, lam, n_env, n_si, k_si, alpha_si, n_sio2, k_sio2, n_si3n4,
   k_si3n4, {rd('''sabs + (((p_partkey * 37 + lam::BIGINT * 101) % 97)::DOUBLE / 97 - 0.5)
-  * 0.002''', 9)} AS y FROM ms1)"""
+  * 0.002''', 9)} AS y FROM ms2)"""
+
+# Slopes of the reflectance here are central differences over this step in nm.
+NUDGE = 1e-3
 
 
 def stack_fit_ctes() -> str:
     ctes = [MEASURED, "q0 AS (SELECT DISTINCT p_partkey, 10.0::DOUBLE AS p1, 15.0::DOUBLE AS p2, "
             "70.0::DOUBLE AS p3 FROM ms)"]
-    for i, damp in enumerate((0.1, 0.01, 0.001, 0.0, 0.0, 0.0)):
-        ctes.append(f"""w{i} AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3,
-  (p2 + 0.001::DOUBLE) * 1e-9 AS e2, (p3 + 0.001::DOUBLE) * 1e-9 AS e3
+    for i, damp in enumerate(STACK_DAMPING):
+        five = [reflect("r0", "d2", "d3", "te", False), reflect("ra", "d2 - 1e-12", "d3", "te", False),
+                reflect("rb", "d2 + 1e-12", "d3", "te", False),
+                reflect("rc", "d2", "d3 - 1e-12", "te", False),
+                reflect("re", "d2", "d3 + 1e-12", "te", False)]
+        five = [[part.replace("d2 - 1e-12", "(d2 - 1e-12)").replace("d2 + 1e-12", "(d2 + 1e-12)")
+                 .replace("d3 - 1e-12", "(d3 - 1e-12)").replace("d3 + 1e-12", "(d3 + 1e-12)")
+                 for part in variant] for variant in five]
+        ctes.append(f"""w{i} AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3
   FROM ms JOIN q{i} USING (p_partkey)),
-x{i} AS (SELECT p_partkey, p1, p2, p3, {reflect('r0', 'd2', 'd3', 'te', False)},
-  {reflect('r2', 'e2', 'd3', 'te', False)}, {reflect('r3', 'd2', 'e3', 'te', False)},
-  lam * {QE_PER_NM!r} AS qe, exp(-alpha_si * 1e-4 * p1) AS pass, qe * (1 - pass) AS ab,
-  y - ab * (1 - r0) AS e, qe * alpha_si * 1e-4 * pass * (1 - r0) AS j1,
-  ab * (r0 - r2) / 0.001::DOUBLE AS j2, ab * (r0 - r3) / 0.001::DOUBLE AS j3 FROM w{i}),
+{chain(f'w{i}', f'x{i}', *five)},
+y{i} AS (SELECT *, lam * {QE_PER_NM!r} AS qe, exp(-alpha_si * 1e-4 * p1) AS pass FROM x{i}),
+z{i} AS (SELECT p_partkey, p1, p2, p3, y - qe * (1 - pass) * (1 - r0) AS e,
+  qe * alpha_si * 1e-4 * pass * (1 - r0) AS j1,
+  qe * (1 - pass) * (ra - rb) / {2 * NUDGE}::DOUBLE AS j2,
+  qe * (1 - pass) * (rc - re) / {2 * NUDGE}::DOUBLE AS j3 FROM y{i}),
 s{i} AS (SELECT p_partkey, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3,
   sum(j1 * j1) * {1 + damp} AS a, sum(j1 * j2) AS b, sum(j1 * j3) AS c,
   sum(j2 * j2) * {1 + damp} AS d, sum(j2 * j3) AS f, sum(j3 * j3) * {1 + damp} AS g,
-  sum(j1 * e) AS u, sum(j2 * e) AS v, sum(j3 * e) AS w FROM x{i} GROUP BY 1),
+  sum(j1 * e) AS u, sum(j2 * e) AS v, sum(j3 * e) AS w FROM z{i} GROUP BY 1),
+h{i} AS (SELECT *, a * (d * g - f * f) - b * (b * g - f * c) + c * (b * f - d * c) AS det FROM s{i}),
 q{i + 1} AS MATERIALIZED (SELECT p_partkey,
-  a * (d * g - f * f) - b * (b * g - f * c) + c * (b * f - d * c) AS det,
   p1 + (u * (d * g - f * f) - b * (v * g - f * w) + c * (v * f - d * w)) / det AS p1,
   p2 + (a * (v * g - f * w) - u * (b * g - f * c) + c * (b * w - v * c)) / det AS p2,
-  p3 + (a * (d * w - v * f) - b * (b * w - v * c) + u * (b * f - d * c)) / det AS p3 FROM s{i})""")
+  p3 + (a * (d * w - v * f) - b * (b * w - v * c) + u * (b * f - d * c)) / det AS p3 FROM h{i})""")
     return ", ".join(ctes)
 
 
@@ -584,7 +602,7 @@ WITH {stack_fit_ctes()} SELECT p_partkey, {rd('p1', 4)} AS si_um, {rd('p2', 3)}
 ORACLE_SQL["fit_residuals"] = f"""
 WITH {stack_fit_ctes()}, f0 AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3
   FROM ms JOIN q6 USING (p_partkey)),
-f1 AS (SELECT *, {reflect('r', 'd2', 'd3', 'te', False)},
-  y - lam * {QE_PER_NM!r} * (1 - r) * (1 - exp(-alpha_si * 1e-4 * p1)) AS res FROM f0)
+{chain('f0', 'fr', reflect('r', 'd2', 'd3', 'te', False))},
+f1 AS (SELECT *, y - lam * {QE_PER_NM!r} * (1 - r) * (1 - exp(-alpha_si * 1e-4 * p1)) AS res FROM fr)
 SELECT p_partkey, count(res) AS n, {rd('sum(res * res)', 7)} AS sse,
   {rd('sqrt(avg(res * res))', 7)} AS rmse FROM f1 GROUP BY 1"""

@@ -39,7 +39,7 @@ def rounded(df: DataFrame, digits: int, columns: Sequence[str]) -> DataFrame:
 
 @query
 def positions(spark, sf):
-    """Position of each line item within its supplier, by date (file-order position of D1)."""
+    """Position of each order within its supplier (the file-order position of a sample)."""
     items = views.table(spark, sf, "lineitem").select(
         "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     items = items.groupBy("l_suppkey", "l_orderkey").agg(
@@ -269,7 +269,7 @@ def clean_name_values(spark, sf):
 def number_formats(spark, sf):
     price = F.col("o_totalprice")
     return views.table(spark, sf, "orders").select(
-        "o_orderkey", format_eng(price).alias("eng"), format_si(price, "Hz").alias("si"),
+        "o_orderkey", format_eng(price / 7).alias("eng"), format_si(price, "Hz").alias("si"),
         format_fixed(price / 1e6, 4).alias("fixed"))
 
 
@@ -493,7 +493,8 @@ def fit_lowpass2(spark, sf):
 
 @query
 def fit_layer_stack(spark, sf):
-    fitted = fits.fit_layer_stack(views.measured_curves(spark, sf), ["p_partkey"], "y")
+    fitted = fits.fit_layer_stack(views.measured_curves(spark, sf),
+                                  views.measured_indices(spark), ["p_partkey"], "y")
     return fitted.select("p_partkey", r(F.col("thickness_si") * 1e6, 4).alias("si_um"),
                          r(F.col("thickness_sio2") * 1e9, 3).alias("sio2_nm"),
                          r(F.col("thickness_si3n4") * 1e9, 3).alias("si3n4_nm"))
@@ -502,8 +503,9 @@ def fit_layer_stack(spark, sf):
 @query
 def fit_residuals(spark, sf):
     curves = views.measured_curves(spark, sf)
-    fitted = fits.fit_layer_stack(curves, ["p_partkey"], "y")
-    predicted = fits.predict_layer_stack(curves, fitted, ["p_partkey"], "y")
+    indices = views.measured_indices(spark)
+    fitted = fits.fit_layer_stack(curves, indices, ["p_partkey"], "y")
+    predicted = fits.predict_layer_stack(curves, indices, fitted, ["p_partkey"], "y")
     return rounded(fits.residual_summary(predicted, ["p_partkey"]), 7, ["sse", "rmse"])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lumisweep.functions.optics import with_responsivity
 from lumisweep.functions.rounding import round_even
 from lumisweep.operators.keyed import dense_positions
-from lumisweep.operators.sweepgrid import spread, stack_sweep
+from lumisweep.operators.sweepgrid import spread, stack_sweep, wavelength_grid
 
 DEVICE_POINTS = 200
 LAMBDAS = [float(v) for v in range(400, 1101, 50)]
@@ -117,9 +117,12 @@ def measured_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts.withColumn("lambda_nm", F.explode(F.lit(MEASURED_LAMBDAS)))
     rows = with_responsivity(with_material_constants(rows), tilted=False)
     ripple = ((key * 37 + F.col("lambda_nm").cast("int") * 101) % 97 / F.lit(97.0) - 0.5) * 0.002
-    return rows.select("p_partkey", "lambda_nm", round_even(F.col("sabs") + ripple, 9).alias("y"),
-                       "n_env", "n_si", "k_si", "alpha_si", "n_sio2", "k_sio2", "n_si3n4",
-                       "k_si3n4")
+    return rows.select("p_partkey", "lambda_nm", round_even(F.col("sabs") + ripple, 9).alias("y"))
+
+
+def measured_indices(spark: SparkSession) -> DataFrame:
+    """The optical columns at the measured wavelengths, one row each."""
+    return with_material_constants(wavelength_grid(spark, 400, 1100, 25))
 
 
 def sweep_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
