@@ -128,8 +128,12 @@ def pack_sweep(df: DataFrame, keys: Sequence[str], lo: int, hi: int, f: str = "f
 
 
 def unpack_sweep(df: DataFrame, points: str = "points") -> DataFrame:
-    """One row per sample again."""
-    return df.select("*", F.inline(points)).drop(points)
+    """One row per sample again.
+
+    The outer form keeps the optimizer from testing the size of the array first, which
+    would build the array a second time; the row it adds for an empty array is dropped.
+    """
+    return df.select("*", F.inline_outer(points)).drop(points).where(F.col("pos").isNotNull())
 
 
 def positional_slice(df: DataFrame, lo: int, hi: int, pos: str = "pos") -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import with_responsivity
-from lumisweep.operators.readout import cutoff_packed, cutoff_readout, with_rise_time
+from lumisweep.operators.readout import (cutoff_packed, cutoff_readout, unpack_sweep,
+                                         with_rise_time)
 from lumisweep.operators.resample import refractive_indices
 from lumisweep.operators.rollup import lookup_join, mean_over_repeats, rollup_mean_of_ratios
 from lumisweep.operators.sweepgrid import (level_values, tolerance_sweep, wavelength_grid,
@@ -33,7 +34,7 @@ def averaged_readout_job(spark: SparkSession, path: str, fmin: float = 10.0,
     packed = packed_sweeps(sweep_files(spark, path), skip_foot=0, max_rows=1000,
                            round_after_unit=True, exclude_parts=())
     # Footer lines that fall inside the row limit have no numbers.
-    rows = packed.select(*SWEEP_KEYS, F.inline("points")).where(
+    rows = unpack_sweep(packed).select(*SWEEP_KEYS, "f", "a").where(
         F.col("f").isNotNull() & F.col("a").isNotNull())
     mean = mean_over_repeats(rows, SWEEP_KEYS).withColumn("pos", F.col("f"))
     found = with_rise_time(cutoff_readout(mean, SWEEP_KEYS, fmin, fmax, plateau_closed=True,

@@ -108,7 +108,7 @@ ORACLE_SQL["pack_unpack"] = f"""
 WITH {V1} SELECT user_id, pos, f, {rd('a')} AS a FROM v1 WHERE pos >= 10 AND pos < 30"""
 
 ORACLE_SQL["mean_over_repeats"] = f"""
-WITH {V2} SELECT operator, run, part, f, {rd('avg(a)')} AS a FROM v2 GROUP BY ALL"""
+WITH {V2} SELECT operator, run, part, f, {rd('avg(a)', 10)} AS a FROM v2 GROUP BY ALL"""
 
 ORACLE_SQL["rollup_mean_of_ratios"] = f"""
 {_V3_RES} SELECT p_brand, p_size::BIGINT AS p_size, {rd('avg(cutoff_mhz)', 4)} AS cutoff_mhz,
@@ -280,13 +280,17 @@ def admit(p: str, below: str, layer: str, above: str) -> list[str]:
   ({t}ti * {t}br - {t}tr * {t}bi) / ({t}br * {t}br + {t}bi * {t}bi) AS {t}i"""]
 
 
-def chain(source: str, name: str, *parts: list[str]) -> str:
-    """CTEs ``name_0 ..`` and ``name`` that add the select lists of ``parts`` in step."""
+def chain(source: str, name: str, *parts: list[str], keep: bool = False) -> str:
+    """CTEs ``name_0 ..`` and ``name`` that add the select lists of ``parts`` in step.
+
+    ``keep`` materializes them, which shortens planning where many are nested.
+    """
+    kind = "AS MATERIALIZED" if keep else "AS"
     ctes, last = [], source
     stages = list(zip(*parts))
     for i, lists in enumerate(stages):
         new = name if i == len(stages) - 1 else f"{name}_{i}"
-        ctes.append(f"{new} AS (SELECT *, {', '.join(lists)} FROM {last})")
+        ctes.append(f"{new} {kind} (SELECT *, {', '.join(lists)} FROM {last})")
         last = new
     return ",\n".join(ctes)
 
@@ -393,13 +397,13 @@ _PEAKS = f"""{stack_cte(LAMBDAS)}, pk AS (SELECT p_partkey, combo, lam AS lambda
 
 ORACLE_SQL["peak_row"] = f"""
 WITH {_PEAKS} SELECT p_partkey, count(*) AS combos, min(lambda_nm) AS lambda_min,
-  max(lambda_nm) AS lambda_max, sum(lambda_nm) AS lambda_sum, {rd('sum(sabs)', 5)} AS sabs_sum
+  max(lambda_nm) AS lambda_max, sum(lambda_nm) AS lambda_sum, {rd('sum(sabs)', 7)} AS sabs_sum
 FROM pk GROUP BY 1"""
 
 
 def summary(column: str) -> str:
-    return f"""SELECT '{column}' AS "column", {rd('q[1]', 5)} AS min, {rd('q[2]', 5)} AS q1,
-  {rd('q[3]', 5)} AS median, {rd('m', 5)} AS mean, {rd('q[4]', 5)} AS q3, {rd('q[5]', 5)} AS max
+    return f"""SELECT '{column}' AS "column", {rd('q[1]', 10)} AS min, {rd('q[2]', 10)} AS q1,
+  {rd('q[3]', 10)} AS median, {rd('m', 10)} AS mean, {rd('q[4]', 10)} AS q3, {rd('q[5]', 10)} AS max
   FROM (SELECT quantile_cont({column}, [0, 0.25, 0.5, 0.75, 1]) AS q, avg({column}) AS m FROM pk)"""
 
 
@@ -418,10 +422,10 @@ ORACLE_SQL["box_stats"] = f"""
 WITH i AS (SELECT l_quantity, {rd('l_extendedprice * l_discount', 4)} AS value FROM lineitem),
 q AS (SELECT l_quantity, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM i
   GROUP BY 1)
-SELECT l_quantity, any_value(n) AS n, {rd('any_value(q[1])', 4)} AS q1,
-  {rd('any_value(q[2])', 4)} AS median, {rd('any_value(q[3])', 4)} AS q3,
-  {rd('min(value) FILTER (value >= q[1] - 1.5 * (q[3] - q[1]))', 4)} AS whisker_low,
-  {rd('max(value) FILTER (value <= q[3] + 1.5 * (q[3] - q[1]))', 4)} AS whisker_high
+SELECT l_quantity, any_value(n) AS n, {rd('any_value(q[1])', 8)} AS q1,
+  {rd('any_value(q[2])', 8)} AS median, {rd('any_value(q[3])', 8)} AS q3,
+  {rd('min(value) FILTER (value >= q[1] - 1.5 * (q[3] - q[1]))', 8)} AS whisker_low,
+  {rd('max(value) FILTER (value <= q[3] + 1.5 * (q[3] - q[1]))', 8)} AS whisker_high
 FROM i JOIN q USING (l_quantity) GROUP BY 1"""
 
 
@@ -577,7 +581,7 @@ def stack_fit_ctes() -> str:
                  for part in variant] for variant in five]
         ctes.append(f"""w{i} AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3
   FROM ms JOIN q{i} USING (p_partkey)),
-{chain(f'w{i}', f'x{i}', *five)},
+{chain(f'w{i}', f'x{i}', *five, keep=True)},
 y{i} AS (SELECT *, lam * {QE_PER_NM!r} AS qe, exp(-alpha_si * 1e-4 * p1) AS pass FROM x{i}),
 z{i} AS (SELECT p_partkey, p1, p2, p3, y - qe * (1 - pass) * (1 - r0) AS e,
   qe * alpha_si * 1e-4 * pass * (1 - r0) AS j1,

@@ -109,7 +109,7 @@ def pack_unpack(spark, sf):
 
 @query
 def mean_over_repeats(spark, sf):
-    return rounded(rollup.mean_over_repeats(views.repeat_sweep(spark, sf), V2_KEYS), 6, ["a"])
+    return rounded(rollup.mean_over_repeats(views.repeat_sweep(spark, sf), V2_KEYS), 10, ["a"])
 
 
 def _device_results(spark, sf):
@@ -231,7 +231,8 @@ def sweep_text_samples(spark, sf):
     """The samples of the same files, per file."""
     files = views.sweep_texts(spark, sf).withColumns(sweeps.parse_sweep_name(F.col("file")))
     rows = sweeps.packed_sweeps(files, skip_foot=0, max_rows=150, round_after_unit=True,
-                                exclude_parts=()).select("file", F.inline("points"))
+                                exclude_parts=())
+    rows = readout.unpack_sweep(rows)
     return rows.groupBy("file").agg(F.count("a").alias("samples"), F.max("f").alias("f_max"),
                                     r(F.sum("a"), 3).alias("a_sum"))
 
@@ -407,13 +408,13 @@ def peak_row(spark, sf):
     return rounded(_peaks(spark, sf).groupBy("p_partkey").agg(
         F.count("*").alias("combos"), F.min("lambda_nm").alias("lambda_min"),
         F.max("lambda_nm").alias("lambda_max"), F.sum("lambda_nm").alias("lambda_sum"),
-        F.sum("sabs").alias("sabs_sum")), 5, ["sabs_sum"])
+        F.sum("sabs").alias("sabs_sum")), 7, ["sabs_sum"])
 
 
 @query
 def peak_summary(spark, sf):
     found = stats.summary_table(_peaks(spark, sf), ["lambda_nm", "sabs"])
-    return rounded(found, 5, [c for c in found.columns if c != "column"])
+    return rounded(found, 10, [c for c in found.columns if c != "column"])
 
 
 @query
@@ -434,7 +435,7 @@ def box_stats(spark, sf):
         "l_quantity", (F.col("l_extendedprice") * F.col("l_discount")).alias("value"))
     items = rounded(items, 4, ["value"])
     found = stats.box_stats(items, ["l_quantity"], "value")
-    return rounded(found, 4, ["q1", "median", "q3", "whisker_low", "whisker_high"])
+    return rounded(found, 8, ["q1", "median", "q3", "whisker_low", "whisker_high"])
 
 
 @query

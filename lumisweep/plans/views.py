@@ -48,30 +48,37 @@ def repeat_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / 10000).alias("a"))
 
 
-def device_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V3, packed: ``p_partkey, p_brand, p_size, points``.
-
-    The parts are spread over the tasks first: the points are generated in place.
-    """
+def _device_level(i: Column) -> tuple[Column, Column]:
+    """Frequency and level of sample ``i`` of a part: a known pole plus a small ripple."""
+    f = (10 * i).cast("double")
     f0 = F.lit(200.0) + 5 * F.col("p_size")
-    key = F.col("p_partkey")
+    ripple = ((F.col("p_partkey") * 37 + i * 101) % 97 / F.lit(97.0) - 0.5) * 0.1
+    return f, F.lit(-20.0) * F.log10(1 + F.pow(f / f0, 2)) + ripple
+
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, spread over the tasks ahead of the fan-out to samples."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"),
+                  ["p_partkey"])
+
+
+def device_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3, packed: ``p_partkey, p_brand, p_size, points``."""
     def point(i: Column) -> Column:
-        f = (10 * i).cast("double")
-        ripple = ((key * 37 + i * 101) % 97 / F.lit(97.0) - 0.5) * 0.1
-        level = F.lit(-20.0) * F.log10(1 + F.pow(f / f0, 2)) + ripple
-        return F.struct((i - 1).alias("pos"), f.alias("f"), level.alias("a"))
-
-    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"),
-                   ["p_partkey"])
-    return parts.withColumn("points", F.transform(
+        f, a = _device_level(i)
+        return F.struct((i - 1).alias("pos"), f.alias("f"), a.alias("a"))
+
+    return _parts(spark, sf_dir).withColumn("points", F.transform(
         F.sequence(F.lit(1), F.lit(DEVICE_POINTS)), point))
 
 
 def device_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3, one row per sample."""
-    return device_sweep(spark, sf_dir).select("p_partkey", "p_brand", "p_size",
-                                              F.inline("points"))
+    f, a = _device_level(F.col("_i"))
+    rows = _parts(spark, sf_dir).withColumn(
+        "_i", F.explode(F.sequence(F.lit(1), F.lit(DEVICE_POINTS))))
+    return rows.select("p_partkey", "p_brand", "p_size", (F.col("_i") - 1).alias("pos"),
+                       f.alias("f"), a.alias("a"))
 
 
 def with_material_constants(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import decimal_comma_to_double, round_even
+from lumisweep.operators.readout import unpack_sweep
 
 EXCLUDED_PARTS = (1, 2, 3, 4)
 NAME_PATTERN = r"^([^_]+)_([^_]*\d[^_]*)_([^_]*\d[^_]*)_([^_.]{3})[^_]*$"
@@ -32,9 +33,8 @@ def parse_sweep_name(name: Column) -> dict[str, Column]:
 
 def lines_of(text: Column) -> Column:
     """Lines of a file, whatever the line ends, without an empty last one."""
-    lines = F.split(text, "\r\n|\n|\r")
-    return F.when(F.element_at(lines, -1) == "", F.slice(
-        lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    ends = "\r\n|\n|\r"
+    return F.split(F.regexp_replace(text, f"(?:{ends})$", ""), ends)
 
 
 def sweep_files(spark: SparkSession, path: str | Sequence[str],
@@ -100,4 +100,4 @@ def read_sweeps(spark: SparkSession, path: str | Sequence[str], pattern: str = "
                 **options) -> DataFrame:
     """Samples of all sweep files of a folder, one row each (S2; S9 for one file)."""
     packed = packed_sweeps(sweep_files(spark, path, pattern), **options)
-    return packed.select("file", "operator", "run_order", "part", "repeat", F.inline("points"))
+    return unpack_sweep(packed)
