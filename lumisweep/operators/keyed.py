@@ -70,7 +70,7 @@ def order_splits(df: DataFrame, column: str) -> list[float]:
                     ",").cast("array<double>")
     row = (df.select(F.when(F.isnan(value), F.lit(None)).otherwise(value).alias("v"))
            .agg(F.count("v").alias("n"),
-                F.percentile_approx("v", probs, 4 * MAX_BUCKETS).alias("cuts"))).first()
+                F.percentile_approx("v", probs, MAX_BUCKETS).alias("cuts"))).first()
     if row["n"] <= ROWS_PER_BUCKET:
         return []
     buckets = min(MAX_BUCKETS, 1 + row["n"] // ROWS_PER_BUCKET)
@@ -148,24 +148,26 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str,
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     out: str = "quantiles", count: str = "n",
-                    splits: Sequence[float] | None = None) -> DataFrame:
+                    splits: Sequence[float] | None = None,
+                    extra: Sequence[Column] = ()) -> DataFrame:
     """Exact quantiles per key with linear interpolation between ranks (type 7).
 
     Returns the keys, the number of values and an array in the order of
-    ``probs``.  NULL and NaN values are left out; a key without values gives no
-    row.  Equal values are counted before the shuffle, then only the buckets
-    that hold a wanted rank are sorted, each in its own task.
+    ``probs``, and the aggregates ``extra`` over all columns of ``df``.  NULL and NaN
+    values are left out; a key without values gives no row.  Equal values are
+    counted before the shuffle, then only the buckets that hold a wanted rank are
+    sorted, each in its own task.
     """
     df, by = with_keys(df, keys)
     # Missing values are kept and counted as zero: a filter on a derived value would
     # be pushed below, and repeat, the projections that compute it.
     number = F.col(value).cast("double")
-    values = df.select(*by, F.when(F.isnan(number), F.lit(None)).otherwise(number).alias("_v"))
+    values = df.withColumn("_v", F.when(F.isnan(number), F.lit(None)).otherwise(number))
     if splits is None:
-        splits = order_splits(values, "_v")
+        splits = order_splits(df, value)
     if not splits:
         plain = F.percentile("_v", [float(p) for p in probs])
-        return (values.groupBy(*by).agg(F.count("_v").alias(count), plain.alias(out))
+        return (values.groupBy(*by).agg(F.count("_v").alias(count), plain.alias(out), *extra)
                 .where(F.col(count) > 0).drop(_ALL))
     counted = with_bucket(values.groupBy(*by, "_v").agg(F.count("_v").alias("_c")), "_v", splits)
 
@@ -201,8 +203,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         below, above = F.element_at("_at", low), F.element_at("_at", high)
         return F.when(low == high, below).otherwise((1 - part) * below + part * above)
 
-    return found.select(*[k for k in by if k != _ALL], F.col("_total").alias(count),
-                        F.transform(chances, mix).alias(out))
+    found = found.select(*by, F.col("_total").alias(count), F.transform(chances, mix).alias(out))
+    if extra:
+        found = found.join(df.groupBy(*by).agg(*extra), by)
+    return found.drop(_ALL)
 
 
 def asof_lookup(points: DataFrame, table: DataFrame, keys: Sequence[str], x: str,

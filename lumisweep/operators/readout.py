@@ -83,26 +83,28 @@ def cutoff_readout(df: DataFrame, keys: Sequence[str], fmin: float = 8.0, fmax:
     salts = salts_for(splits)
     limits = plateau_limits(df, keys, fmin, fmax, f, pos)
     placed = join_per_key(df.select(*keys, pos, f, a), limits, keys, [pos, f], salts=salts)
-    level = exact_quantiles(placed.where(_in_plateau(plateau_closed, pos)), keys, a, [0.5],
+    # Conditions stand inside the aggregates, not in filters: both passes then read
+    # the same rows and share one shuffle of them.
+    inside = F.when(_in_plateau(plateau_closed, pos), F.col(a))
+    level = exact_quantiles(placed.withColumn("_inside", inside), keys, "_inside", [0.5],
                             out="_q", count="n_plateau", splits=splits)
     level = level.select(*keys, F.col("_q")[0].alias("plateau"), "n_plateau")
 
-    usable = (F.col(pos) >= F.col("pos_lo")) & F.col(a).isNotNull()
+    usable = (F.col(pos) >= F.col("pos_lo")) & F.col(a).isNotNull() & F.col(
+        "plateau").isNotNull()
     if not include_last:
         usable &= F.col(pos) < F.col("pos_last")
     gap = F.abs(F.lit(float(drop_db)) - F.abs(F.col(a) - F.col("plateau")))
-    best = (join_per_key(placed.where(usable).select(*keys, pos, f, a), level, keys, [pos, f],
-                         salts=salts)
-            .groupBy(*keys).agg(
-                F.min(F.struct(gap.alias("gap"), F.col(pos).alias("pos"),
-                               F.col(f).alias("f"))).alias("_best"),
-                F.first("plateau").alias("plateau"), F.first("n_plateau").alias("n_plateau")))
-    result = limits.select(*keys).join(best, list(keys), "left")
+    found = (join_per_key(placed, level, keys, [pos, f], "left", salts=salts)
+             .groupBy(*keys).agg(
+                 F.min(F.when(usable, F.struct(gap.alias("gap"), F.col(pos).alias("pos"),
+                                               F.col(f).alias("f")))).alias("_best"),
+                 F.first("plateau").alias("plateau"), F.first("n_plateau").alias("n_plateau")))
     cutoff = F.col("_best.f")
     if digits is not None:
         cutoff = round_even(cutoff, digits)
-    return result.select(*keys, "plateau", "n_plateau", F.col("_best.pos").alias("pos"),
-                         cutoff.alias("cutoff_mhz"))
+    return found.select(*keys, "plateau", "n_plateau", F.col("_best.pos").alias("pos"),
+                        cutoff.alias("cutoff_mhz"))
 
 
 def with_rise_time(df: DataFrame, cutoff: str = "cutoff_mhz", out: str = "risetime_ps",

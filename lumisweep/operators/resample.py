@@ -29,9 +29,16 @@ CHUNK = 512
 HALO = 64
 
 
-def linear_segments(table: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def _common_splits(points: DataFrame, table: DataFrame, x: str) -> list[float]:
+    """Cuts that bound both the knots and the points of a bucket, from one job."""
+    value = F.col(x).cast("double").alias(x)
+    return order_splits(table.select(value).unionByName(points.select(value)), x)
+
+
+def linear_segments(table: DataFrame, keys: Sequence[str], x: str, y: str,
+                    splits: Sequence[float] | None = None) -> DataFrame:
     """One row per segment: ``x, y, x_next, y_next, slope``."""
-    pairs = with_next(table.select(*keys, x, y), keys, x, [y]).where(
+    pairs = with_next(table.select(*keys, x, y), keys, x, [y], splits=splits).where(
         F.col(f"{x}_next").isNotNull())
     return pairs.withColumn("slope", (F.col(f"{y}_next") - F.col(y)) / (
         F.col(f"{x}_next") - F.col(x)))
@@ -40,8 +47,9 @@ def linear_segments(table: DataFrame, keys: Sequence[str], x: str, y: str) -> Da
 def interpolate_linear(points: DataFrame, table: DataFrame, keys: Sequence[str], x: str,
                        y: str) -> DataFrame:
     """Value on the segment that holds each point; NULL outside the knots."""
-    segments = linear_segments(table, keys, x, y)
-    found = asof_lookup(points, segments, keys, x, [y, f"{x}_next", "slope"])
+    splits = _common_splits(points, table, x)
+    segments = linear_segments(table, keys, x, y, splits)
+    found = asof_lookup(points, segments, keys, x, [y, f"{x}_next", "slope"], splits=splits)
     value = F.col(y) + F.col("slope") * (F.col(x) - F.col("x_at"))
     return (found.withColumn(y, F.when(F.col(x) <= F.col(f"{x}_next"), value))
             .drop("x_at", f"{x}_next", "slope"))
@@ -135,9 +143,10 @@ def spline_resample(points: DataFrame, table: DataFrame, keys: Sequence[str], x:
 
     Outside the knots the end pieces extend.
     """
-    pieces = spline_coefficients(table, keys, x, columns)
+    splits = _common_splits(points, table, x)
+    pieces = spline_coefficients(table, keys, x, columns, splits)
     parts = [f"{y}{tail}" for y in columns for tail in ("", "_b", "_c", "_d")]
-    found = asof_lookup(points, pieces, keys, x, parts, extend_first=True)
+    found = asof_lookup(points, pieces, keys, x, parts, extend_first=True, splits=splits)
     t = F.col(x) - F.col("x_at")
     values = {y: F.col(y) + t * (F.col(f"{y}_b") + t * (3 * F.col(f"{y}_c") + t * F.col(f"{y}_d")))
               for y in columns}

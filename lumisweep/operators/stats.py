@@ -16,9 +16,9 @@ DECILES = tuple(i / 10 for i in range(11))
 
 def decile_bands(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Exact deciles ``q_0 .. q_100`` and the sample sd ``sd_<value>`` per key."""
-    bands = exact_quantiles(df, keys, value, DECILES, out="_q", count="n")
-    spread = df.groupBy(*keys).agg(F.stddev_samp(value).alias(f"sd_{value}"))
-    return bands.join(spread, list(keys)).select(
+    bands = exact_quantiles(df, keys, value, DECILES, out="_q", count="n",
+                            extra=[F.stddev_samp(value).alias(f"sd_{value}")])
+    return bands.select(
         *keys, *[F.col("_q")[i].alias(f"q_{i * 10}") for i in range(11)], f"sd_{value}")
 
 
@@ -43,10 +43,10 @@ def summary_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact min, Q1, median, mean, Q3, max per column, one row each (A10)."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column", "value")
-    quartiles = exact_quantiles(long, ["column"], "value", [0, 0.25, 0.5, 0.75, 1], out="_q")
-    means = long.groupBy("column").agg(F.avg("value").alias("mean"))
+    quartiles = exact_quantiles(long, ["column"], "value", [0, 0.25, 0.5, 0.75, 1], out="_q",
+                                extra=[F.avg("value").alias("mean")])
     q = F.col("_q")
-    return quartiles.join(means, "column").select(
+    return quartiles.select(
         "column", q[0].alias("min"), q[1].alias("q1"), q[2].alias("median"), "mean",
         q[3].alias("q3"), q[4].alias("max"))
 
@@ -82,12 +82,13 @@ def _bandwidth(rule: float, sd: Column, iqr: Column, n: Column) -> Column:
 
 def _grid_stats(df: DataFrame, keys: Sequence[str], value: str, rule: float, n_grid: int,
                 cut: float, tag: str, splits: Sequence[float]) -> DataFrame:
-    q = exact_quantiles(df, keys, value, [0.25, 0.75], out="_q", count=f"_n{tag}", splits=splits)
-    moments = df.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd"), F.min(value).alias("_min"),
-                                    F.max(value).alias("_max"))
+    stats = exact_quantiles(
+        df, keys, value, [0.25, 0.75], out="_q", count=f"_n{tag}", splits=splits,
+        extra=[F.stddev_samp(value).alias("_sd"), F.min(value).alias("_min"),
+               F.max(value).alias("_max")])
     bw = _bandwidth(rule, F.coalesce("_sd", F.lit(0.0)), F.col("_q")[1] - F.col("_q")[0],
                     F.col(f"_n{tag}"))
-    stats = q.join(moments, list(keys)).withColumn(f"_bw{tag}", bw)
+    stats = stats.withColumn(f"_bw{tag}", bw)
     low = F.col("_min") - cut * F.col(f"_bw{tag}")
     high = F.col("_max") + cut * F.col(f"_bw{tag}")
     step = F.greatest((high - low) / (n_grid - 1), F.lit(1e-300))
@@ -132,7 +133,7 @@ def kde_1d(df: DataFrame, keys: Sequence[str], value: str, n_grid: int = 512,
     values = df.select(*keys, F.col(value).cast("double").alias(value))
     stats = _grid_stats(values, keys, value, 0.9, n_grid, cut, "", splits)
     bins = (join_per_key(values, stats, keys, [value], salts=salts_for(splits))
-            .select(*keys, F.inline(_shares(value, n_grid, ""))).where(F.col("i").isNotNull())
+            .select(*keys, F.inline_outer(_shares(value, n_grid, ""))).where(F.col("i").isNotNull())
             .groupBy(*keys, "i").agg(F.sum("w").alias("w")))
     smooth = _smooth(bins.join(stats, list(keys)), keys, "i", n_grid, "", ["i"])
     return smooth.join(stats, list(keys)).select(
@@ -154,8 +155,8 @@ def kde_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
              .join(_grid_stats(values, keys, y, 1.06, n_grid, 0.0, "_y", splits_y), list(keys)))
     bins = (join_per_key(values, stats, keys, [x, y], salts=salts_for(splits_x))
             .withColumn("_sy", _shares(y, n_grid, "_y"))
-            .select(*keys, "_sy", F.inline(_shares(x, n_grid, "_x")))
-            .select(*keys, F.col("i").alias("ix"), F.col("w").alias("wx"), F.inline("_sy"))
+            .select(*keys, "_sy", F.inline_outer(_shares(x, n_grid, "_x")))
+            .select(*keys, F.col("i").alias("ix"), F.col("w").alias("wx"), F.inline_outer("_sy"))
             .select(*keys, "ix", F.col("i").alias("iy"), (F.col("wx") * F.col("w")).alias("w"))
             .where(F.col("ix").isNotNull() & F.col("iy").isNotNull())
             .groupBy(*keys, "ix", "iy").agg(F.sum("w").alias("w")))

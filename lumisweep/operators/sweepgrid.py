@@ -54,16 +54,21 @@ def wavelength_grid(spark: SparkSession, start: int, stop: int, step: int) -> Da
 
 
 def stack_sweep(stacks: DataFrame, keys: Sequence[str], lambdas: Sequence[float],
-                angles: Sequence[float] = (0.0,), n: int = 3) -> DataFrame:
+                angles: Sequence[float] = (0.0,), n: int = 3,
+                spread_first: bool = True) -> DataFrame:
     """Tolerance sweep of many stacks.
 
+    ``spread_first=False`` saves the shuffle of the stacks where their table is
+    already split into more files than there are cores.
+
     ``stacks`` has one row per key with ``target_<layer>`` and ``tolerance_<layer>``
     in m.  The result has one row per key, level combination, wavelength and angle:
     ``thickness_<layer>``, ``is_<layer>_target``, ``lambda_nm``, ``angle_deg`` and
     ``combo``, the mixed-radix number of the level indexes (R3).
     """
-    df = spread(stacks.select(*keys, *[f"{p}_{x}" for x in LAYERS
-                                       for p in ("target", "tolerance")]), keys)
+    df = stacks.select(*keys, *[f"{p}_{x}" for x in LAYERS for p in ("target", "tolerance")])
+    if spread_first:
+        df = spread(df, keys)
     combo = F.lit(0).cast("long")
     for layer in LAYERS:
         levels = level_column(F.col(f"target_{layer}"), F.col(f"tolerance_{layer}"), n)
