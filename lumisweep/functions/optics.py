@@ -13,7 +13,6 @@ into one select with lateral aliases, so that every value is computed once.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,11 +40,6 @@ def layer_angle(n_env: Column, angle_deg: Column, n: Column) -> Column:
     return F.asin(n_env * F.sin(F.radians(angle_deg)) / n)
 
 
-def phase(lambda_nm: Column, n: Column, thickness_m: Column, cos_angle: Column) -> Column:
-    """Phase thickness of a layer, real index only."""
-    return F.lit(2e9 * math.pi) / lambda_nm * n * thickness_m * cos_angle
-
-
 Step = tuple[str, str]
 
 

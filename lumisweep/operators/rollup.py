@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import rise_time_ps
+from lumisweep.operators.keyed import join_per_key
 
 
 def mean_over_repeats(df: DataFrame, keys: Sequence[str], f: str = "f", a: str = "a") -> DataFrame:
@@ -46,8 +47,10 @@ def attach_identity(samples: DataFrame, identity: DataFrame, file: str = "file")
     """Sweep identity for each sample, joined on the full sweep key.
 
     Sweeps are files, so one identity row per file; the join never multiplies rows.
+    It is salted, for a file that holds a large share of all samples.
     """
-    return samples.join(identity.dropDuplicates([file]), [file], "left")
+    others = [c for c in samples.columns if c != file]
+    return join_per_key(samples, identity.dropDuplicates([file]), [file], others, "left")
 
 
 def exclude_parts(df: DataFrame, parts: Sequence[int] = (1, 2, 3, 4),

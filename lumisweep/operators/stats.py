@@ -60,7 +60,9 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
                            F.col("_q")[2].alias("q3"))
     width = (F.col("q3") - F.col("q1")) * F.lit(float(reach))
     inside = F.when(F.col(value).between(F.col("q1") - width, F.col("q3") + width), F.col(value))
-    rows = join_per_key(df.select(*keys, value), box, keys, [value], salts=salts_for(splits))
+    # Only distinct values matter for the whiskers; copies combine before the shuffle.
+    rows = join_per_key(df.select(*keys, value).distinct(), box, keys, [value],
+                        salts=salts_for(splits))
     return rows.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],
         F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
@@ -125,16 +127,18 @@ def kde_1d(df: DataFrame, keys: Sequence[str], value: str, n_grid: int = 512,
            cut: float = 0.0) -> DataFrame:
     """Gaussian density on ``n_grid`` points per key: ``x``, ``density``.
 
-    Bandwidth ``0.9 min(sd, IQR/1.34) n^(-1/5)``.  Rows are first binned linearly
-    onto the grid, combined before the shuffle; then bins meet grid points.  The
+    Bandwidth ``0.9 min(sd, IQR/1.34) n^(-1/5)``.  Rows are first counted by value and
+    binned linearly onto the grid; then bins meet grid points.  The
     grid spans the data, widened by ``cut`` bandwidths on each side.
     """
     splits = order_splits(df, value)
     values = df.select(*keys, F.col(value).cast("double").alias(value))
     stats = _grid_stats(values, keys, value, 0.9, n_grid, cut, "", splits)
-    bins = (join_per_key(values, stats, keys, [value], salts=salts_for(splits))
-            .select(*keys, F.inline_outer(_shares(value, n_grid, ""))).where(F.col("i").isNotNull())
-            .groupBy(*keys, "i").agg(F.sum("w").alias("w")))
+    counted = values.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    bins = (join_per_key(counted, stats, keys, [value], salts=salts_for(splits))
+            .select(*keys, "_c", F.inline_outer(_shares(value, n_grid, "")))
+            .where(F.col("i").isNotNull())
+            .groupBy(*keys, "i").agg(F.sum(F.col("w") * F.col("_c")).alias("w")))
     smooth = _smooth(bins.join(stats, list(keys)), keys, "i", n_grid, "", ["i"])
     return smooth.join(stats, list(keys)).select(
         *keys, (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"),
@@ -153,10 +157,12 @@ def kde_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
     splits_x, splits_y = order_splits(values, x), order_splits(values, y)
     stats = (_grid_stats(values, keys, x, 1.06, n_grid, 0.0, "_x", splits_x)
              .join(_grid_stats(values, keys, y, 1.06, n_grid, 0.0, "_y", splits_y), list(keys)))
-    bins = (join_per_key(values, stats, keys, [x, y], salts=salts_for(splits_x))
+    counted = values.groupBy(*keys, x, y).agg(F.count("*").alias("_c"))
+    bins = (join_per_key(counted, stats, keys, [x, y], salts=salts_for(splits_x))
             .withColumn("_sy", _shares(y, n_grid, "_y"))
-            .select(*keys, "_sy", F.inline_outer(_shares(x, n_grid, "_x")))
-            .select(*keys, F.col("i").alias("ix"), F.col("w").alias("wx"), F.inline_outer("_sy"))
+            .select(*keys, "_c", "_sy", F.inline_outer(_shares(x, n_grid, "_x")))
+            .select(*keys, F.col("i").alias("ix"), (F.col("w") * F.col("_c")).alias("wx"),
+                    F.inline_outer("_sy"))
             .select(*keys, "ix", F.col("i").alias("iy"), (F.col("wx") * F.col("w")).alias("w"))
             .where(F.col("ix").isNotNull() & F.col("iy").isNotNull())
             .groupBy(*keys, "ix", "iy").agg(F.sum("w").alias("w")))
