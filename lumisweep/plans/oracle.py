@@ -165,7 +165,7 @@ SELECT part, f, n, {rd('mean')} AS mean, {rd('sd')} AS sd,
 # ------------------------------------------------------------------ names, text, files
 
 ORACLE_SQL["parse_names"] = """
-WITH n AS (SELECT string_split(l_returnflag || 'MUT_RO' || l_suppkey || '_part' || l_linenumber
+WITH n AS (SELECT string_split(l_returnflag || 'OP_RO' || l_suppkey || '_part' || l_linenumber
   || '_' || lpad((l_quantity::INT)::VARCHAR, 3, '0') || '.CSV', '_') AS p FROM lineitem)
 SELECT p[1] AS operator, regexp_extract(p[2], '[0-9]+')::BIGINT AS run_order,
   regexp_extract(p[3], '[0-9]+')::BIGINT AS part, left(p[4], 3) AS repeat, count(*) AS files

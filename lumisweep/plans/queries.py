@@ -199,7 +199,7 @@ def mean_curve_ci(spark, sf):
 
 @query
 def parse_names(spark, sf):
-    name = F.concat(F.col("l_returnflag"), F.lit("MUT_RO"), F.col("l_suppkey").cast("string"),
+    name = F.concat(F.col("l_returnflag"), F.lit("OP_RO"), F.col("l_suppkey").cast("string"),
                     F.lit("_part"), F.col("l_linenumber").cast("string"), F.lit("_"),
                     F.lpad(F.col("l_quantity").cast("int").cast("string"), 3, "0"), F.lit(".CSV"))
     named = views.table(spark, sf, "lineitem").select(name.alias("file")).withColumns(
