@@ -80,3 +80,28 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
              AS rank FROM scored)
 WHERE rank <= 5
 """
+
+ORACLE_SQL["op1_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+items AS (SELECT doc_id, hash(unnest(s)) AS h FROM sets),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m
+  FROM items x JOIN items y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * m >= 75 * (p.n + q.n - m)),
+mutual AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, x.b FROM reach r JOIN mutual x ON r.b = x.a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""

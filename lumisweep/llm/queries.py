@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisweep.llm import chat, mixing, tokencount, topk
+from lumisweep.llm import chat, mixing, neardup, tokencount, topk
 from lumisweep.llm.common import read
 
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(read(spark, sf_dir, "documents"))
     return mixing.in_order(mixed.drop("_nth"))
@@ -43,6 +47,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op8_chat_paths": op8_chat_paths,
     "op9_token_counts": op9_token_counts,

@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -108,7 +109,7 @@ def text_blocks(texts: pa.Array, lower: bool, limit: int = 2 * PIECE) -> Iterato
     if len(texts) == 0:
         return
     lengths = np.array([0 if x is None else x for x in
-                        pa.compute.binary_length(texts).to_pylist()], np.int64)
+                        pc.binary_length(texts).to_pylist()], np.int64)
     # One copy without the bytes under nulls, so that lengths and bytes agree.
     whole = b"".join(x for x in texts.to_pylist() if x is not None)
     data = np.frombuffer(whole, np.uint8)
