@@ -105,3 +105,21 @@ reach AS (
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+ORACLE_SQL["op7_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS s, w FROM words),
+placed AS (
+  SELECT doc_id, s, row_number() OVER (
+           PARTITION BY md5(array_to_string(w[s:s + 19], ' ')) ORDER BY doc_id, s) AS nth
+  FROM windows),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM placed WHERE nth > 1),
+gathered AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w,
+         lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN gathered USING (doc_id)
+"""

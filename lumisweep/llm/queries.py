@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisweep.llm import chat, mixing, neardup, tokencount, topk
+from lumisweep.llm import chat, mixing, neardup, substring, tokencount, topk
 from lumisweep.llm.common import read
 
 #: A conversation whose texts hold the template's own control strings.
@@ -23,6 +23,11 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixed.drop("_nth"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
@@ -49,6 +54,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_paths": op8_chat_paths,
     "op9_token_counts": op9_token_counts,
     "op10_exact_top_k": op10_exact_top_k,

@@ -140,6 +140,21 @@ def fold(columns: Sequence[np.ndarray]) -> np.ndarray:
     return out
 
 
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    """Sums from which ``run_hash`` gives the hash of any run of words."""
+    up, _ = _POWERS.get(max(1, len(hashes)))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[:len(hashes)], out=sums[1:])
+    return sums
+
+
+def run_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words ``begin`` to ``end`` (not included), the same wherever they stand."""
+    _, down = _POWERS.get(len(sums))
+    runs = (sums[end] - sums[begin]) * down[begin]
+    return mix(runs + mix((end - begin).astype(np.uint64)))
+
+
 def shingle_set(hashes: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct shingles of ``n`` words; fewer words make one shingle of all."""
     if len(hashes) == 0:
