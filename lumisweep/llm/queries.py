@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumisweep.llm import chat, mixing, neardup, substring, tokencount, topk
+from lumisweep.llm import chat, langid, mixing, neardup, substring, tokencount, topk
 from lumisweep.llm.common import read
 
 #: A conversation whose texts hold the template's own control strings.
@@ -23,6 +23,16 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixed.drop("_nth"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,10 +50,7 @@ def op8_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return tokencount.token_counts(read(spark, sf_dir, "documents"),
-                                   public_tokenizers.path("piece_bpe_32k.model"))
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +61,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op5_language_id": op5_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_chat_paths": op8_chat_paths,
     "op9_token_counts": op9_token_counts,
