@@ -93,6 +93,17 @@ class TextBlock:
         self.start, self.end, self.hashes = (np.concatenate(x) for x in zip(*parts))
         self.offsets = np.searchsorted(self.start, text_offsets)
 
+    def stems(self, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word."""
+        out = np.full(len(self.start), size, np.uint64)
+        for i in range(size):
+            at = self.start + i
+            inside = at < self.end
+            code = np.zeros(len(at), np.uint64)
+            code[inside] = _BYTE_CODES[self.data[at[inside]]]
+            out = out * np.uint64(_BASE) + code
+        return mix(out)
+
 
 def _next_space(data: np.ndarray, at: int) -> int:
     while at < len(data):
