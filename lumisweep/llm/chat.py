@@ -101,28 +101,29 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     stride = (texts.join(parents.withColumn("_there", F.lit(True)), ["_conv", "parent_id"], "left")
               .select("_conv", "node_id", F.when(F.col("_there"), F.col("parent_id")).alias("far"),
                       F.coalesce("score", F.lit(0.0)).alias("total")))
-    strides, most = [settle(stride)], texts.count()
+    state, strides, most = settle(stride), [], texts.count()
     # A chain is no longer than the number of messages; what still climbs then is a cycle.
     while ((1 << len(strides)) < 2 * most
-           and strides[-1].where(F.col("far").isNotNull()).limit(1).count()):
-        near = strides[-1]
-        up = near.select("_conv", F.col("node_id").alias("far"), F.col("far").alias("_far"),
-                         F.col("total").alias("_total"))
-        strides.append(settle(near.join(up, ["_conv", "far"], "left").select(
+           and state.where(F.col("far").isNotNull()).limit(1).count()):
+        climbing = state.where(F.col("far").isNotNull())
+        strides.append(climbing)
+        up = state.select("_conv", F.col("node_id").alias("far"), F.col("far").alias("_far"),
+                          F.col("total").alias("_total"))
+        climbed = climbing.join(up, ["_conv", "far"]).select(
             "_conv", "node_id", F.col("_far").alias("far"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))))
+            (F.col("total") + F.col("_total")).alias("total"))
+        state = settle(climbed.unionByName(state.where(F.col("far").isNull())))
     inner = texts.where(F.col("parent_id").isNotNull()).select(
         "_conv", F.col("parent_id").alias("node_id")).distinct()
-    leaves = (strides[-1].where(F.col("far").isNull())
+    leaves = (state.where(F.col("far").isNull())
               .join(inner, ["_conv", "node_id"], "left_anti"))
     ranked = Window.partitionBy("_conv").orderBy(F.col("total").desc(), "node_id")
     chosen = (leaves.withColumn("branch", F.row_number().over(ranked))
               .where(F.col("branch") <= branches)
               .select("_conv", "branch", "node_id", F.lit(0).cast("long").alias("step")))
     path = settle(chosen)
-    for k, near in enumerate(strides[:-1]):
+    for k, near in enumerate(strides):
         higher = (path.join(near.select("_conv", "node_id", "far"), ["_conv", "node_id"])
-                  .where(F.col("far").isNotNull())
                   .select("_conv", "branch", F.col("far").alias("node_id"),
                           (F.col("step") + (1 << k)).alias("step")))
         path = settle(path.unionByName(higher))

@@ -123,3 +123,42 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
          lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
 FROM words LEFT JOIN gathered USING (doc_id)
 """
+
+ORACLE_SQL["op2_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, v FROM (
+    SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS v FROM benchmark)
+  WHERE len(v) >= 9),
+masks AS (
+  SELECT unnest([[0, 1, 2, 3, 4, 5], [0, 1, 3, 4, 6, 7], [0, 1, 3, 6, 7, 8]]) AS m),
+dseeds AS (
+  SELECT doc_id, p, array_to_string(list_transform(m, lambda k: w[p + k]), ' ') || m::VARCHAR AS s
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m[6] + 1)) AS p FROM d, masks)),
+bseeds AS (
+  SELECT item_id, q, array_to_string(list_transform(m, lambda k: v[q + k]), ' ') || m::VARCHAR AS s
+  FROM (SELECT item_id, v, m, unnest(range(1, len(v) - m[6] + 1)) AS q FROM b, masks)),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, p, q FROM dseeds JOIN bseeds USING (s)),
+laid AS (
+  SELECT doc_id, item_id, least(13, len(v)) AS out_of,
+         least(p - 1, q - 1, 12) AS lead,
+         p, q, w, v FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+side AS (
+  SELECT doc_id, item_id, out_of, w[p - lead:p + 20] AS x, v[q - lead:q + 20] AS y FROM laid),
+same AS (
+  SELECT doc_id, item_id, out_of, list_transform(range(1, least(len(x), len(y)) + 1),
+         lambda i: CASE WHEN x[i] = y[i] THEN 1 ELSE 0 END) AS e FROM side),
+found AS (
+  SELECT doc_id, item_id FROM same
+  WHERE len(e) >= out_of AND 4 * list_max(list_transform(range(1, len(e) - out_of + 2),
+        lambda k: list_sum(e[k:k + out_of - 1]))) >= 3 * out_of),
+counted AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item
+  FROM found GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items,
+       first_item
+FROM documents LEFT JOIN counted USING (doc_id)
+"""

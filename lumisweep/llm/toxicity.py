@@ -34,11 +34,13 @@ from lumisweep.llm.words import fold, mix, text_blocks
 
 BITS = 20
 SAMPLE_ROWS = 20_000
-SHARDS, EPOCHS = 4, 3
-STEM = 5
+SHARDS, EPOCHS = 4, 4
+#: At most this weight for the rows of the rarer label.
+RARE = 6.0
+STEM = 4
 #: Word offsets of the stem features: single, pair, triple, skip-gram.
 GRAMS = ((0,), (0, 1), (0, 1, 2), (0, 2))
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.3, 0.5
+ALPHA, BETA, L1_PER_ROW, L2 = 1.0, 1.0, 0.0025, 0.1
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -64,7 +66,7 @@ def texts_features(texts: pa.Array) -> Iterator[np.ndarray]:
 class Ftrl:
     """FTRL-proximal with the last place as intercept, which has no L1 term."""
 
-    def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
+    def __init__(self, alpha: float = ALPHA, beta: float = BETA, l1: float = 1.0, l2: float = L2):
         self.alpha, self.beta, self.l2 = alpha, beta, l2
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
@@ -112,10 +114,10 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS
             for shard, label, places in zip(frame["_shard"], frame["label"], found):
                 models.setdefault(shard, []).append((places, int(label)))
         for _, examples in sorted(models.items()):
-            model = Ftrl()
+            model = Ftrl(l1=L1_PER_ROW * len(examples))
             for _ in range(EPOCHS):
                 for places, label in examples:
-                    model.learn(places, label, min(scale[label], 4.0))
+                    model.learn(places, label, min(scale[label], RARE))
             found = np.flatnonzero(model.weights(slice(None)))
             yield pd.DataFrame({"place": found, "w": model.weights(found),
                                 "rows": len(examples)})
