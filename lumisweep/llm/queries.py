@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumisweep.llm import (
     chat, decontaminate, langid, mixing, neardup, substring, tokencount, topk, toxicity,
+    urlfilter,
 )
 from lumisweep.llm.common import read
 
@@ -30,6 +31,10 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.in_order(mixed.drop("_nth"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read(spark, sf_dir, "pages"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
