@@ -19,7 +19,7 @@ Without any training rows every text is ``und``.  An empty table gives an empty
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,6 @@ SMOOTHING = 0.05
 BLOCK_CHARS = 1 << 20
 WORDS_AT_ONCE = 20_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 _TRIES: dict[str, Pieces] = {}
 
 
@@ -252,16 +251,17 @@ def train(rows: DataFrame, vocabulary: str, sample_chars: int = SAMPLE_CHARS,
 
 
 def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabulary: str,
-            folds: int = 4, fold: int = 2) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of each row of ``docs``."""
+            carry: Sequence[str] = (), folds: int = 4, fold: int = 2) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of each row of ``docs`` and its columns ``carry``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"),
-                       F.col("text").cast("string").alias("text"))
+                       F.col("text").cast("string").alias("_text"), *carry)
+    out = (rows.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
+           .select("doc_id", "held_out", "lang_pred", "score", *carry).schema)
     # At most one number per piece of the fixed vocabulary and language.
     model = docs.sparkSession.sparkContext.broadcast(chance)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(PREDICTED)
         scorer = Scorer(pieces_of(vocabulary), model.value) if languages else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -280,14 +280,18 @@ def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabular
                         names.append(languages[b] if words else "und")
                         sure.append(float(p) if words else 0.0)
                     run, size = [], 0
-            yield record_batch([batch.column(0), batch.column(1), names, sure], schema)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()),
+                 pa.array(sure, pa.float64()),
+                 *(batch.column(3 + i) for i in range(len(carry)))],
+                names=["doc_id", "held_out", "lang_pred", "score", *carry])
 
-    return rows.mapInArrow(score, PREDICTED)
+    return rows.mapInArrow(score, out)
 
 
-def identify(docs: DataFrame, vocabulary: str) -> DataFrame:
+def identify(docs: DataFrame, vocabulary: str, carry: Sequence[str] = ()) -> DataFrame:
     """Learn from the documents outside the held-out fold and predict every document."""
     teach = docs.where(~held_out(F.col("doc_id").cast("long"), 4, 2)).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     languages, chance = train(teach, vocabulary)
-    return predict(docs, languages, chance, vocabulary)
+    return predict(docs, languages, chance, vocabulary, carry)

@@ -29,7 +29,7 @@ result.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import compress
 
 import numpy as np
@@ -169,10 +169,10 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = arrow_schema("doc_id long, n_words long, n_removed long, kept string")
+    """Text and marks, the first two columns, become word counts and the kept text."""
     for batch in batches:
         sizes, gone, texts = [], [], []
-        for text, marks in zip(batch.column(1), batch.column(2).to_pylist()):
+        for text, marks in zip(batch.column(0), batch.column(1).to_pylist()):
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
             removed = 0
             if marks and len(words) >= WINDOW:
@@ -192,13 +192,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(words))
             gone.append(removed)
             texts.append(b" ".join(kept).decode())
-        yield record_batch([batch.column(0), sizes, gone, texts], schema)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.string()),
+             *batch.columns[2:]], names=["n_words", "n_removed", "kept", *batch.schema.names[2:]])
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` (the words left, joined by one space) of each row."""
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    marked = rows.join(repeated_windows(rows), "doc_id", "left")
-    return marked.select("doc_id", "text", "marks").mapInArrow(
-        _kept, "doc_id long, n_words long, n_removed long, kept string")
+def without_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``n_words, n_removed, kept, doc_id`` of each row of ``docs`` and its columns ``carry``.
 
+    ``kept`` holds the words left, joined by one space.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                           F.col("text").cast("string").alias("text"), *carry)
+    marked = (all_rows.join(repeated_windows(rows), "doc_id", "left")
+              .select("text", "marks", "doc_id", *carry))
+    out = (marked.drop("text", "marks").select(
+        F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
+        F.lit("").alias("kept"), "doc_id", *carry).schema)
+    return marked.mapInArrow(_kept, out)
