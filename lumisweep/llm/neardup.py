@@ -16,7 +16,9 @@ Documents with the same set form one class and only its smallest id is joined.
 by thousands of documents do not give all pairs: each key is compared with one hub first
 (the member that shares its keys with the most documents), found links are joined into
 components, and only members of different components are compared pair by pair after
-that, as long as any are left.  Links inside a component cannot change the result.
+that.  Links inside a component cannot change the result.  Before it, the shingles of these
+members are counted: what only one of them holds is in no intersection, which rules out
+most pairs of one large group of copies that differ from each other too much.
 
 A null or empty text has an empty set and is linked with nothing.  Rows with the same
 ``doc_id`` are one node, linked by any of their texts.  A row with a null ``doc_id`` keeps a null ``component_id`` and is
@@ -138,6 +140,30 @@ def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow_schema("id long, shingle long")
+    for batch in batches:
+        for owner, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = np.frombuffer(data.as_buffer(), np.int64)
+            for at in range(0, len(found), _SLICE):
+                part = found[at:at + _SLICE]
+                yield record_batch([np.full(len(part), owner), part], schema)
+
+
+def _bounds(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """``id, size, shared``: of a set's shingles, how many some other of these sets holds too.
+
+    No intersection is larger than ``shared``, so a link between two of these sets needs
+    7 * the smaller ``shared`` >= 3 * the sum of the sizes.
+    """
+    each = sets.join(ids, "id").mapInArrow(_shingles, "id long, shingle long")
+    return (each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+            .where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+            .join(sets.selectExpr("id", "length(shingles) div 8 size").join(ids, "id"), "id",
+                  "right")
+            .selectExpr("id", "size", "size - coalesce(own, 0) shared"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -167,14 +193,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links)
     member = (held.join(found, "id", "left")
               .selectExpr("key", "id", "coalesce(component, id) component"))
-    mixed = (member.groupBy("key").agg(F.min("component").alias("_low"),
-                                       F.max("component").alias("_high"))
-             .where("_low <> _high").select("key"))
+    ends = [F.min("component").alias("_low"), F.max("component").alias("_high")]
+    mixed = member.groupBy("key").agg(*ends).where("_low <> _high").select("key")
     open_keys = settle(member.join(mixed, "key"))
-    left = open_keys.selectExpr("key", "id a", "component ca")
-    right = open_keys.selectExpr("key", "id b", "component cb")
-    rest = (left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-            .join(tried, ["a", "b"], "left_anti"))
+    bounded = open_keys.join(_bounds(open_keys.select("id").distinct(), sets), "id")
+    # A member that cannot reach even the smallest set of its key has no link there.
+    smallest = bounded.groupBy("key").agg(F.min("size").alias("_least"))
+    able = (bounded.join(smallest, "key").where("7 * shared >= 3 * (size + _least)")
+            .drop("_least"))
+    able = settle(able.join(able.groupBy("key").agg(*ends).where("_low <> _high").select("key"),
+                            "key"))
+    left = able.selectExpr("key", "id a", "component ca", "size na", "shared sa")
+    right = able.selectExpr("key", "id b", "component cb", "size nb", "shared sb")
+    rest = (left.join(right, "key")
+            .where("a < b and ca <> cb and 7 * least(sa, sb) >= 3 * (na + nb)")
+            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     more = _linked(settle(rest), classes, sets)
 
     nodes = components(links.unionByName(more).unionByName(twins))
