@@ -8,9 +8,9 @@ its past gradients, and the L1 term leaves places without evidence at zero, so t
 that is sent to the tasks is a short list of places and weights.
 
 A bounded sample is learned: at most about ``SAMPLE_ROWS`` rows of each label, chosen by a
-hash of the text, dealt into ``SHARDS`` shards by another hash.  Each shard is learned in its
-own task, ``EPOCHS`` times in a fixed order, and the weights of the shards are averaged.  A
-class weight makes up for the rarer label; the intercept is learned with the others.
+hash of the text, dealt into shards of about ``SHARD_ROWS`` rows by another hash.  Each
+shard is learned in its own task, ``EPOCHS`` times in a fixed order, and the weights of the
+shards are averaged.  A class weight makes up for the rarer label; the intercept is learned with the others.
 
 A text without words has no features and gets the intercept's score.  Rows with a null
 label or text, or a label other than 0 and 1, teach nothing; a document with several
@@ -20,6 +20,7 @@ training rows every score is 0.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from lumisweep.llm.words import fold, mix, text_blocks
 
 BITS = 20
 SAMPLE_ROWS = 20_000
-SHARDS, EPOCHS = 4, 4
+SHARD_ROWS, EPOCHS = 5_000, 4
 #: At most this weight for the rows of the rarer label.
 RARE = 6.0
 STEM = 4
@@ -92,7 +93,7 @@ def _logistic(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS
+def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS
           ) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of a model of ``text, label``; both empty without any rows."""
     usable = rows.where("text is not null and label in (0, 1)").withColumn(
@@ -104,6 +105,7 @@ def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, shards: int = SHARDS
                    ).otherwise(F.lit(min(1.0, sample_rows / counts.get(0, 1))))
     taken = {k: min(n, sample_rows) for k, n in counts.items()}
     scale = {k: sum(taken.values()) / (2 * n) for k, n in taken.items()}
+    shards = math.ceil(sum(taken.values()) / shard_rows)
     chosen = usable.where(F.pmod("_hash", F.lit(1 << 20)) < share * (1 << 20)).withColumn(
         "_shard", F.pmod(F.shiftrightunsigned("_hash", 24), F.lit(shards)).cast("int"))
 
