@@ -2,26 +2,32 @@
 
 Two patterns are used throughout the operators:
 
-* **rows against per-key values** - ``join_per_key`` salts both sides, so the
-  rows of one hot key are spread over ``salts`` tasks.
+* **rows against per-key values** - ``join_on``, a null-safe join.  Adaptive execution
+  splits the partition of a hot key; its per-key row is small and sent to every part.
 * **order inside a key** - positions, running sums, exact quantiles and as-of
   lookups.  ``order_splits`` counts the rows.  Up to ``ROWS_PER_BUCKET`` rows in
   all, every key fits one task by that count and a plain window or ``percentile``
   is used.  Beyond, rows are cut into value buckets that each hold a bounded share
   of *all* rows, windows run inside (key, bucket), and the totals of the earlier
-  buckets are added from a small per-bucket table.  Both ways give the same rows.
+  buckets are added from a small per-bucket table.  Both ways give the same rows;
+  the registered ``*_cut`` queries compare the second one with SQL.
+
+A NULL key is a key like any other, on every path.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-SALTS = 16
-MAX_BUCKETS = 8192
+#: Cut points that one quantile sketch can tell apart; finer cuts divide these evenly.
+SKETCH_CUTS = 8192
 ROWS_PER_BUCKET = 1_000_000
 
 _ALL = "_all"
@@ -34,48 +40,51 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df.withColumn(_ALL, F.lit(0)), [_ALL]
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str],
-                 spread: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join many rows per key with one row per key.
-
-    ``spread`` names columns that differ within a key; their hash picks the salt.
-    The per-key side is repeated ``salts`` times, which is small against the rows.
-    ``salts=1`` is the plain join, for inputs counted to be small.
-    """
-    if salts == 1:
-        return rows.join(per_key, list(keys), how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    copies = per_key.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str],
+            how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys come from ``left``."""
+    names = {k: f"_right_{i}" for i, k in enumerate(keys)}
+    other = right.withColumnsRenamed(names)
+    same = reduce(lambda x, y: x & y, [
+        F.col(k).eqNullSafe(F.col(name)) for k, name in names.items()])
+    return left.join(other, same, how).drop(*names.values())
 
 
-def salts_for(splits: Sequence[float]) -> int:
-    """No salt for inputs that ``order_splits`` counted to be small."""
-    return SALTS if splits else 1
+def order_number(df: DataFrame, column: str) -> Column:
+    """A number that grows with ``column``: its value, or the first bytes of a text."""
+    if isinstance(df.schema[column].dataType, StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    kind = df.schema[column].dataType.simpleString()
+    value = F.col(column).cast("timestamp") if kind == "date" else F.col(column)
+    return value.cast("double")
 
 
 def order_splits(df: DataFrame, column: str) -> list[float]:
     """Cut points so that each bucket holds about the same share of all rows.
 
-    One job over one column; the driver receives the row count and at most
-    ``MAX_BUCKETS`` numbers.  The number of buckets grows with the rows; up to
-    ``ROWS_PER_BUCKET`` rows there is one bucket and the list is empty.  As literals
-    the cuts give every task, also a repeated one, the same buckets, and results
-    never depend on where they lie.
+    One job over one column.  The driver receives the row count and at most
+    ``SKETCH_CUTS`` numbers; where the rows ask for more buckets, the range between two
+    of these is divided evenly.  Up to ``ROWS_PER_BUCKET`` rows there is one bucket and the
+    list is empty.  As literals the cuts give every task, also a repeated one, the same
+    buckets, and results never depend on where they lie.
     """
-    value = F.col(column).cast("double")
-    # One text literal: thousands of separate literals are slow to analyse.
-    probs = F.split(F.lit(",".join(str(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS))),
-                    ",").cast("array<double>")
-    row = (df.select(F.when(F.isnan(value), F.lit(None)).otherwise(value).alias("v"))
-           .agg(F.count("v").alias("n"),
-                F.percentile_approx("v", probs, MAX_BUCKETS).alias("cuts"))).first()
-    if row["n"] <= ROWS_PER_BUCKET:
+    value = order_number(df, column)
+    values = df.select(F.when(F.isnan(value), F.lit(None)).otherwise(value).alias("v"))
+    rows = values.agg(F.count("v")).first()[0]
+    if rows <= ROWS_PER_BUCKET:
         return []
-    buckets = min(MAX_BUCKETS, 1 + row["n"] // ROWS_PER_BUCKET)
-    step = MAX_BUCKETS / buckets
-    return sorted({row["cuts"][int(round(i * step)) - 1] for i in range(1, buckets)})
+    probs = F.split(F.lit(",".join(str(i / SKETCH_CUTS) for i in range(1, SKETCH_CUTS))),
+                    ",").cast("array<double>")
+    cuts = values.agg(F.percentile_approx("v", probs, SKETCH_CUTS).alias("cuts")).first()["cuts"]
+    buckets = 1 + rows // ROWS_PER_BUCKET
+    if buckets <= SKETCH_CUTS:
+        step = SKETCH_CUTS / buckets
+        return sorted({cuts[int(round(i * step)) - 1] for i in range(1, buckets)})
+    parts = math.ceil(buckets / SKETCH_CUTS)
+    cuts = sorted(set(cuts))
+    finer = {a + (b - a) * i / parts for a, b in zip(cuts, cuts[1:]) for i in range(parts)}
+    return sorted(finer | {cuts[-1]})
 
 
 def with_bucket(df: DataFrame, column: str, splits: Sequence[float],
@@ -83,7 +92,7 @@ def with_bucket(df: DataFrame, column: str, splits: Sequence[float],
     """Bucket number of ``column`` for the given cut points."""
     cutter = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_cut",
                         outputCol="_cut_bucket", handleInvalid="keep")
-    cast = df.withColumn("_cut", F.col(column).cast("double"))
+    cast = df.withColumn("_cut", order_number(df, column))
     # A non-null bucket keeps the optimizer from adding a filter to one branch only,
     # so that branches over the same aggregate share one exchange.
     return (cutter.transform(cast)
@@ -116,7 +125,7 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: str,
     rows = with_bucket(df, order, splits)
     offsets = bucket_offsets(rows, by, F.lit(1)).select(*by, "_bucket", "_before")
     here = Window.partitionBy(*by, "_bucket").orderBy(order, *ties)
-    return (rows.join(offsets, [*by, "_bucket"])
+    return (join_on(rows, offsets, [*by, "_bucket"])
             .withColumn(out, F.col("_before") + F.row_number().over(here) - 1)
             .drop("_bucket", "_before", _ALL))
 
@@ -140,7 +149,7 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, amount: str,
     offsets = bucket_offsets(rows, by, F.col(amount)).drop("_here")
     here = (Window.partitionBy(*by, "_bucket").orderBy(order)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.join(offsets, [*by, "_bucket"])
+    return (join_on(rows, offsets, [*by, "_bucket"])
             .withColumn(out, F.col("_before") + F.sum(amount).over(here))
             .withColumnRenamed("_total", total)
             .drop("_bucket", "_before", _ALL))
@@ -186,7 +195,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     here = (Window.partitionBy(*by, "_bucket").orderBy("_v")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hits = (counted.join(wanted, [*by, "_bucket"])
+    hits = (join_on(counted, wanted, [*by, "_bucket"])
             .withColumn("_end", F.col("_before") + F.sum("_c").over(here))
             .withColumn("_ranks", F.filter("_ranks", lambda r: (
                 r >= F.col("_end") - F.col("_c")) & (r < F.col("_end"))))
@@ -201,11 +210,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         low, high = F.floor(place(p)), F.ceil(place(p))
         part = place(p) - low
         below, above = F.element_at("_at", low), F.element_at("_at", high)
-        return F.when(low == high, below).otherwise((1 - part) * below + part * above)
+        return F.when((low == high) | (below == above), below).otherwise(
+            (1 - part) * below + part * above)
 
     found = found.select(*by, F.col("_total").alias(count), F.transform(chances, mix).alias(out))
     if extra:
-        found = found.join(df.groupBy(*by).agg(*extra), by)
+        found = join_on(found, df.groupBy(*by).agg(*extra), by)
     return found.drop(_ALL)
 
 
@@ -253,7 +263,7 @@ def asof_lookup(points: DataFrame, table: DataFrame, keys: Sequence[str], x: str
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = F.coalesce(F.last("_row", ignorenulls=True).over(here), F.col("_carry"),
                        *([F.col("_first")] if extend_first else []))
-    joined = (both.join(carry.drop("_last"), [*by, "_bucket"]).withColumn("_found", found)
+    joined = (join_on(both, carry.drop("_last"), [*by, "_bucket"]).withColumn("_found", found)
               .where(F.col("_point").isNotNull()))
     return joined.select(*picked)
 
@@ -275,6 +285,6 @@ def with_next(table: DataFrame, keys: Sequence[str], x: str, columns: Sequence[s
              .withColumn("_carry", F.min("_head").over(later)).drop("_head"))
     here = Window.partitionBy(*by, "_bucket").orderBy(x)
     found = F.coalesce(F.lead("_row").over(here), F.col("_carry"))
-    return (rows.join(carry, [*by, "_bucket"]).withColumn("_found", found)
+    return (join_on(rows, carry, [*by, "_bucket"]).withColumn("_found", found)
             .withColumns({f"{c}{suffix}": F.col(f"_found.{c}") for c in [x, *columns]})
             .drop("_row", "_carry", "_found", "_bucket", _ALL))

@@ -3,7 +3,7 @@
 Two forms of the same semantics:
 
 * **keyed rows** - one row per sample, any number of samples per key.  Built from
-  aggregates that combine before the shuffle, salted joins and exact quantiles.
+  aggregates that combine before the shuffle, null-safe joins and exact quantiles.
 * **packed sweep** - one row per sweep with an array of ``struct(pos, f, a)``.
   For sweeps whose length the instrument file or a positional slice bounds; it
   needs no shuffle at all.
@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import rise_time_ps, round_even
-from lumisweep.operators.keyed import (SALTS, exact_quantiles, join_per_key, order_splits,
-                                       salts_for)
+from lumisweep.operators.keyed import exact_quantiles, join_on, order_splits
 
 
 def _nearest(f: str, pos: str, target: float) -> Column:
@@ -51,10 +50,10 @@ def _in_plateau(closed: bool, pos: str) -> Column:
 
 
 def plateau_rows(df: DataFrame, keys: Sequence[str], fmin: float, fmax: float, f: str = "f",
-                 pos: str = "pos", closed: bool = True, salts: int = SALTS) -> DataFrame:
+                 pos: str = "pos", closed: bool = True) -> DataFrame:
     """Rows between the two plateau positions, both ends included by default."""
     limits = plateau_limits(df, keys, fmin, fmax, f, pos)
-    return (join_per_key(df, limits, keys, [pos, f], salts=salts)
+    return (join_on(df, limits, keys)
             .where(_in_plateau(closed, pos)).drop("pos_lo", "pos_hi", "pos_last"))
 
 
@@ -62,7 +61,7 @@ def plateau_level(df: DataFrame, keys: Sequence[str], fmin: float, fmax: float,
                   a: str = "a", pos: str = "pos", closed: bool = False) -> DataFrame:
     """Exact median amplitude of the plateau per key (A3): ``plateau``, ``n_plateau``."""
     splits = order_splits(df, a)
-    rows = plateau_rows(df, keys, fmin, fmax, f, pos, closed, salts_for(splits))
+    rows = plateau_rows(df, keys, fmin, fmax, f, pos, closed)
     return (exact_quantiles(rows, keys, a, [0.5], out="_q", count="n_plateau", splits=splits)
             .select(*keys, F.col("_q")[0].alias("plateau"), "n_plateau"))
 
@@ -80,9 +79,8 @@ def cutoff_readout(df: DataFrame, keys: Sequence[str], fmin: float = 8.0, fmax:
     """
     # Cuts over all amplitudes also bound the plateau rows, and need no join first.
     splits = order_splits(df, a)
-    salts = salts_for(splits)
     limits = plateau_limits(df, keys, fmin, fmax, f, pos)
-    placed = join_per_key(df.select(*keys, pos, f, a), limits, keys, [pos, f], salts=salts)
+    placed = join_on(df.select(*keys, pos, f, a), limits, keys)
     # Conditions stand inside the aggregates, not in filters: both passes then read
     # the same rows and share one shuffle of them.
     inside = F.when(_in_plateau(plateau_closed, pos), F.col(a))
@@ -95,7 +93,7 @@ def cutoff_readout(df: DataFrame, keys: Sequence[str], fmin: float = 8.0, fmax:
     if not include_last:
         usable &= F.col(pos) < F.col("pos_last")
     gap = F.abs(F.lit(float(drop_db)) - F.abs(F.col(a) - F.col("plateau")))
-    found = (join_per_key(placed, level, keys, [pos, f], "left", salts=salts)
+    found = (join_on(placed, level, keys, "left")
              .groupBy(*keys).agg(
                  F.min(F.when(usable, F.struct(gap.alias("gap"), F.col(pos).alias("pos"),
                                                F.col(f).alias("f")))).alias("_best"),

@@ -19,8 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisweep.operators.keyed import (asof_lookup, dense_positions, join_per_key,
-                                       order_splits, salts_for, with_next)
+from lumisweep.operators.keyed import (asof_lookup, dense_positions, join_on, order_splits,
+                                       with_next)
 
 # The numpy helper travels with the tasks; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,7 +103,7 @@ def spline_coefficients(table: DataFrame, keys: Sequence[str], x: str, columns:
     knots = table.select(*keys, *[F.col(c).cast("double").alias(c) for c in (x, *columns)])
     knots = dense_positions(knots, keys, x, out="_pos", splits=splits)
     ends = knots.groupBy(*keys).agg(F.max("_pos").alias("_end"))
-    knots = join_per_key(knots, ends, keys, [x], salts=salts_for(splits))
+    knots = join_on(knots, ends, keys)
     # Each knot goes to its own chunk and, near a border, to the neighbour as well.
     chunks = F.array_distinct(F.array(*[
         F.floor((F.col("_pos") + d) / CHUNK) for d in (-HALO, 0, HALO)]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import rise_time_ps
-from lumisweep.operators.keyed import join_per_key
+from lumisweep.operators.keyed import join_on
 
 
 def mean_over_repeats(df: DataFrame, keys: Sequence[str], f: str = "f", a: str = "a") -> DataFrame:
@@ -47,10 +47,18 @@ def attach_identity(samples: DataFrame, identity: DataFrame, file: str = "file")
     """Sweep identity for each sample, joined on the full sweep key.
 
     Sweeps are files, so one identity row per file; the join never multiplies rows.
-    It is salted, for a file that holds a large share of all samples.
+    Of several rows the smallest is taken; ``identity_conflicts`` lists such files.
     """
-    others = [c for c in samples.columns if c != file]
-    return join_per_key(samples, identity.dropDuplicates([file]), [file], others, "left")
+    names = [c for c in identity.columns if c != file]
+    one = identity.groupBy(file).agg(F.min(F.struct(*names)).alias("_one")).select(
+        file, "_one.*")
+    return join_on(samples, one, [file], "left")
+
+
+def identity_conflicts(identity: DataFrame, file: str = "file") -> DataFrame:
+    """Files with more than one identity and how many they have."""
+    return (identity.distinct().groupBy(file).agg(F.count("*").alias("identities"))
+            .where("identities > 1"))
 
 
 def exclude_parts(df: DataFrame, parts: Sequence[int] = (1, 2, 3, 4),

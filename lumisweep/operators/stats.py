@@ -8,8 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisweep.operators.keyed import (exact_quantiles, join_per_key, order_splits,
-                                       running_total, salts_for)
+from lumisweep.operators.keyed import exact_quantiles, join_on, order_splits, running_total
 
 DECILES = tuple(i / 10 for i in range(11))
 
@@ -61,8 +60,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5
     width = (F.col("q3") - F.col("q1")) * F.lit(float(reach))
     inside = F.when(F.col(value).between(F.col("q1") - width, F.col("q3") + width), F.col(value))
     # Only distinct values matter for the whiskers; copies combine before the shuffle.
-    rows = join_per_key(df.select(*keys, value).distinct(), box, keys, [value],
-                        salts=salts_for(splits))
+    rows = join_on(df.select(*keys, value).distinct(), box, keys)
     return rows.groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("n", "q1", "median", "q3")],
         F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"))
@@ -135,12 +133,12 @@ def kde_1d(df: DataFrame, keys: Sequence[str], value: str, n_grid: int = 512,
     values = df.select(*keys, F.col(value).cast("double").alias(value))
     stats = _grid_stats(values, keys, value, 0.9, n_grid, cut, "", splits)
     counted = values.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    bins = (join_per_key(counted, stats, keys, [value], salts=salts_for(splits))
+    bins = (join_on(counted, stats, keys)
             .select(*keys, "_c", F.inline_outer(_shares(value, n_grid, "")))
             .where(F.col("i").isNotNull())
             .groupBy(*keys, "i").agg(F.sum(F.col("w") * F.col("_c")).alias("w")))
-    smooth = _smooth(bins.join(stats, list(keys)), keys, "i", n_grid, "", ["i"])
-    return smooth.join(stats, list(keys)).select(
+    smooth = _smooth(join_on(bins, stats, keys), keys, "i", n_grid, "", ["i"])
+    return join_on(smooth, stats, keys).select(
         *keys, (F.col("_lo") + F.col("i") * F.col("_step")).alias("x"),
         (F.col("w") / F.col("_n")).alias("density"))
 
@@ -155,10 +153,10 @@ def kde_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
     values = df.select(*keys, F.when(both, F.col(x).cast("double")).alias(x),
                        F.when(both, F.col(y).cast("double")).alias(y))
     splits_x, splits_y = order_splits(values, x), order_splits(values, y)
-    stats = (_grid_stats(values, keys, x, 1.06, n_grid, 0.0, "_x", splits_x)
-             .join(_grid_stats(values, keys, y, 1.06, n_grid, 0.0, "_y", splits_y), list(keys)))
+    stats = join_on(_grid_stats(values, keys, x, 1.06, n_grid, 0.0, "_x", splits_x),
+                    _grid_stats(values, keys, y, 1.06, n_grid, 0.0, "_y", splits_y), keys)
     counted = values.groupBy(*keys, x, y).agg(F.count("*").alias("_c"))
-    bins = (join_per_key(counted, stats, keys, [x, y], salts=salts_for(splits_x))
+    bins = (join_on(counted, stats, keys)
             .withColumn("_sy", _shares(y, n_grid, "_y"))
             .select(*keys, "_c", "_sy", F.inline_outer(_shares(x, n_grid, "_x")))
             .select(*keys, F.col("i").alias("ix"), (F.col("w") * F.col("_c")).alias("wx"),
@@ -166,9 +164,9 @@ def kde_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 100
             .select(*keys, "ix", F.col("i").alias("iy"), (F.col("wx") * F.col("w")).alias("w"))
             .where(F.col("ix").isNotNull() & F.col("iy").isNotNull())
             .groupBy(*keys, "ix", "iy").agg(F.sum("w").alias("w")))
-    along_x = _smooth(bins.join(stats, list(keys)), keys, "ix", n_grid, "_x", ["ix", "iy"])
-    along_y = _smooth(along_x.join(stats, list(keys)), keys, "iy", n_grid, "_y", ["ix", "iy"])
-    return along_y.join(stats, list(keys)).select(
+    along_x = _smooth(join_on(bins, stats, keys), keys, "ix", n_grid, "_x", ["ix", "iy"])
+    along_y = _smooth(join_on(along_x, stats, keys), keys, "iy", n_grid, "_y", ["ix", "iy"])
+    return join_on(along_y, stats, keys).select(
         *keys, (F.col("_lo_x") + F.col("ix") * F.col("_step_x")).alias("x"),
         (F.col("_lo_y") + F.col("iy") * F.col("_step_y")).alias("y"),
         (F.col("w") / F.col("_n_x")).alias("density"))

@@ -13,7 +13,7 @@ from lumisweep.operators.fits import LOWPASS_STEPS, STACK_DAMPING, lowpass_start
 from lumisweep.operators.rollup import RISETIME_LIMITS_PS
 from lumisweep.operators.sweepgrid import thickness_decades
 from lumisweep.plans.views import (ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
-                                   MEASURED_LAMBDAS)
+                                   MEASURED_LAMBDAS, POWERS)
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -335,7 +335,7 @@ ORACLE_SQL["absorption_sweep"] = f"""
 SELECT p_partkey, lam AS lambda_nm, count(*) AS n,
   {rd('sum(1 - exp(-100000.0 * exp(-(lam - 400.0) / 90.0) * (1 + p_partkey % 5) * 100 * d))', 5)}
   AS total
-FROM part, unnest({_list([660, 905, 1064])}) AS t(lam), unnest({_list(thickness_decades())}) AS u(d)
+FROM part, unnest({_list([660, 905, 940, 1064])}) AS t(lam), unnest({_list(thickness_decades())}) AS u(d)
 GROUP BY 1, 2"""
 
 ORACLE_SQL["envelope_all"] = f"""
@@ -610,3 +610,49 @@ WITH {stack_fit_ctes()}, f0 AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3
 f1 AS (SELECT *, y - lam * {QE_PER_NM!r} * (1 - r) * (1 - exp(-alpha_si * 1e-4 * p1)) AS res FROM fr)
 SELECT p_partkey, count(res) AS n, {rd('sum(res * res)', 7)} AS sse,
   {rd('sqrt(avg(res * res))', 7)} AS rmse FROM f1 GROUP BY 1"""
+
+
+# ------------------------------------------------------------------ bucketed plans, NULL keys
+
+_CUT = "SELECT *, nullif(l_linenumber::INTEGER, 3) AS k FROM lineitem"
+
+ORACLE_SQL["positions_cut"] = f"""
+SELECT k, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY k
+  ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS pos FROM ({_CUT})"""
+
+ORACLE_SQL["value_ecdf_cut"] = f"""
+SELECT DISTINCT k, value, count(*) OVER (PARTITION BY k, value) AS n,
+  {rd('cume_dist() OVER (PARTITION BY k ORDER BY value)', 8)} AS ecdf
+FROM (SELECT nullif(user_id % 4, 0) AS k, value FROM events)"""
+
+ORACLE_SQL["decile_bands_cut"] = "SELECT * FROM " + deciles(
+    f"({_CUT})", "k", "l_extendedprice", "sd_l_extendedprice", 4)
+
+ORACLE_SQL["box_stats_cut"] = f"""
+WITH i AS (SELECT k, {rd('l_extendedprice * l_discount', 4)} AS value FROM ({_CUT})),
+q AS (SELECT k, count(*) AS n, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM i GROUP BY 1)
+SELECT i.k, any_value(n) AS n, {rd('any_value(q[1])', 8)} AS q1,
+  {rd('any_value(q[2])', 8)} AS median, {rd('any_value(q[3])', 8)} AS q3,
+  {rd('min(value) FILTER (value >= q[1] - 1.5 * (q[3] - q[1]))', 8)} AS whisker_low,
+  {rd('max(value) FILTER (value <= q[3] + 1.5 * (q[3] - q[1]))', 8)} AS whisker_high
+FROM i JOIN q ON i.k IS NOT DISTINCT FROM q.k GROUP BY 1"""
+
+_V1_CUT = f"{V1}, vc AS (SELECT nullif(user_id, 3) AS k, pos, f, a FROM v1)"
+
+ORACLE_SQL["segments_cut"] = f"""
+WITH {_V1_CUT}, n AS (SELECT k, f, a, lead(f) OVER w AS f_next, lead(a) OVER w AS a_next FROM vc
+  WINDOW w AS (PARTITION BY k ORDER BY f))
+SELECT k, f, {rd('a')} AS a, f_next, {rd('a_next')} AS a_next FROM n WHERE f_next IS NOT NULL"""
+
+# USING drops NULL keys, so the key stands in for NULL on the way.
+ORACLE_SQL["cutoff_events_cut"] = f"""
+WITH {_V1_CUT}, v0 AS (SELECT coalesce(k, -1) AS k, pos, f, a FROM vc),
+{readout_ctes('v0', 'k', 8.0, 40.0)}
+SELECT nullif(k, -1) AS k, {rds(6, 'plateau')}, n_plateau, pos, cutoff_mhz FROM res"""
+
+# ------------------------------------------------------------------ sinks
+
+ORACLE_SQL["decimal_comma_exact"] = f"""
+SELECT o_orderkey, o_totalprice * {_list(POWERS)}[o_orderkey % {len(POWERS)} + 1] AS number,
+  true AS same, true AS fixed_notation
+FROM orders"""

@@ -15,11 +15,12 @@ from lumisweep.functions.rounding import (decimal_comma_to_double, double_to_dec
 from lumisweep.operators import envelopes, fits, readout, resample, rollup, stats, sweepgrid
 from lumisweep.operators.keyed import dense_positions
 from lumisweep.plans import views
+from lumisweep.plans.cut_queries import CUT_QUERIES
 from lumisweep.plans.views import V2_KEYS
 from lumisweep.sources import reports, sweeps
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(CUT_QUERIES)
 
 
 def query(fn: Query) -> Query:
@@ -216,6 +217,18 @@ def decimal_comma_roundtrip(spark, sf):
         "value", decimal_comma_to_double(F.col("text")))
 
 
+@query
+def decimal_comma_exact(spark, sf):
+    """Numbers of all sizes keep their value through the text, which has no exponent (K1)."""
+    scale = F.get(F.lit(views.POWERS), (F.col("o_orderkey") % len(views.POWERS)).cast("int"))
+    rows = views.table(spark, sf, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") * scale).alias("number"))
+    text = double_to_decimal_comma(F.col("number"))
+    return rows.select("o_orderkey", "number",
+                       (decimal_comma_to_double(text) == F.col("number")).alias("same"),
+                       text.rlike(r"^-?\d+,\d+$").alias("fixed_notation"))
+
+
 @query
 def sweep_text_readout(spark, sf):
     """Instrument files of all parts: parsed, excluded parts dropped, read out."""
@@ -311,10 +324,9 @@ def reflectance_grid(spark, sf):
 def absorption_sweep(spark, sf):
     """Absorption of the parts' alpha over all thickness decades, at four wavelengths."""
     base = views.with_material_constants(views.stacks(spark, sf).select("p_partkey").withColumn(
-        "lambda_nm", F.explode(F.lit(views.FEW_LAMBDAS)))).select(
+        "lambda_nm", F.explode(F.lit([660.0, 905.0, 940.0, 1064.0])))).select(
         "p_partkey", "lambda_nm", (F.col("alpha_si") * (1 + F.col("p_partkey") % 5)).alias(
             "alpha_si"))
-    base = base.where(F.col("lambda_nm").isin(660.0, 905.0, 940.0, 1064.0))
     sweep = sweepgrid.absorption_sweep(base, sweepgrid.thickness_decades())
     return rounded(sweep.groupBy("p_partkey", "lambda_nm").agg(
         F.count("*").alias("n"), F.sum("absorption").alias("total")), 5, ["total"])

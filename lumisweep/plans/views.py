@@ -22,6 +22,8 @@ DEVICE_POINTS = 200
 LAMBDAS = [float(v) for v in range(400, 1101, 50)]
 FEW_LAMBDAS = [500.0, 660.0, 800.0, 905.0, 1064.0]
 ANGLES = (0.0, 15.0, 30.0)
+#: Powers of ten that take a price from about 1e-22 to 1e22.
+POWERS = [float(f"1e{n}") for n in range(-26, 17)]
 MEASURED_LAMBDAS = [float(v) for v in range(400, 1101, 25)]
 
 
