@@ -44,12 +44,19 @@ def decimal_comma_to_double(text: Column) -> Column:
 def double_to_decimal_comma(col: Column) -> Column:
     """Shortest decimal text of a double with a comma, without exponents.
 
-    Spark writes an exponent from 1e7 up and below 1e-3; these go through a
-    decimal so that the text stays in fixed notation.
+    Spark writes an exponent from 1e7 up and below 1e-3.  There the point is moved in the
+    digits themselves, so every double keeps all its digits.
     """
-    size = F.abs(col)
-    plain = F.translate(col.cast("string"), ".", ",")
-    fixed = F.translate(F.regexp_replace(
-        col.cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1"), ".", ",")
-    text = F.when((size != 0) & ((size < 1e-3) | (size >= 1e7)) & (size < 1e21), fixed)
-    return text.otherwise(plain)
+    plain = col.cast("string")
+
+    def part(number: int) -> Column:
+        return F.regexp_extract(plain, r"^(-?)(\d)\.(\d+)E(-?\d+)$", number)
+
+    power = part(4).cast("int")
+    digits = F.concat(part(2), F.rtrim(part(3), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    long = F.rpad(digits, F.greatest(power + 2, F.length(digits)), "0")
+    large = F.concat(F.substring(long, F.lit(1), power + 1), F.lit("."),
+                     F.substring(long, power + 2, F.length(long)))
+    fixed = F.concat(part(1), F.when(power < 0, small).otherwise(large))
+    return F.translate(F.when(F.contains(plain, F.lit("E")), fixed).otherwise(plain), ".", ",")

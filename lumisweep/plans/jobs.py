@@ -29,9 +29,12 @@ def readout_job(spark: SparkSession, path: str, fmin: float = 8.0,
 
 
 def averaged_readout_job(spark: SparkSession, path: str, fmin: float = 10.0,
-                         fmax: float = 25.0) -> DataFrame:
-    """Sweep files -> mean sweep over repeats -> cut-off -> device names."""
-    packed = packed_sweeps(sweep_files(spark, path), skip_foot=0, max_rows=1000,
+                         fmax: float = 25.0, max_rows: int | None = None) -> DataFrame:
+    """Sweep files -> mean sweep over repeats -> cut-off -> device names.
+
+    ``max_rows`` limits the samples of a file, for readers that stop at a row.
+    """
+    packed = packed_sweeps(sweep_files(spark, path), skip_foot=0, max_rows=max_rows,
                            round_after_unit=True, exclude_parts=())
     # Footer lines that fall inside the row limit have no numbers.
     rows = unpack_sweep(packed).select(*SWEEP_KEYS, "f", "a").where(

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisweep.functions.formatting import clean_name_column
 from lumisweep.functions.rounding import decimal_comma_to_double
-from lumisweep.operators.keyed import dense_positions
 from lumisweep.sources.sweeps import lines_of
 
 # Section marks and the labels of the wanted fields.
@@ -25,7 +24,6 @@ HEADER_LABELS = {"date": "Datum:", "article_name": "Bauteil:", "fa_nr": "Charge:
 RECIPE_LABELS = {"filter_counts": "Filter Counts:", "delay": "Delay:", "nplc": "NPLC:",
                  "voltage": "Spannung:", "channel_b": "Kanal B:",
                  "dark_current": "Id Kanal A:"}
-FLAG_LINES = 40
 DATA_COLUMNS = ("wellenlange", "empfindlichkeit")
 
 
@@ -47,8 +45,8 @@ def parse_report_lines(raw: DataFrame, charset: str = "UTF-8") -> DataFrame:
 
 
 def _first_line_with(mark: str) -> Column:
-    """1-based number of the first of the leading lines that contains ``mark``, else 0."""
-    found = F.transform(F.slice("lines", 1, FLAG_LINES), lambda x: F.contains(x, F.lit(mark)))
+    """1-based number of the first line that contains ``mark``, else 0."""
+    found = F.transform("lines", lambda x: F.contains(x, F.lit(mark)))
     return F.array_position(found, True)
 
 
@@ -100,21 +98,30 @@ def report_values(reports: DataFrame) -> DataFrame:
 
 def _data_lines(reports: DataFrame) -> DataFrame:
     rows = F.slice("lines", F.col("_data") + 3, F.size("lines") - F.col("_data") - 2)
-    head = F.split(F.element_at("lines", F.col("_data") + 2), ";")
-    names = F.transform(head, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(
-        clean_name_column(x)))
+    names = _column_names()
     return (reports.where(_complete()).select("file", "path", names.alias("_names"),
                                               F.posexplode(rows).alias("pos", "_line"))
             .withColumn("_tokens", F.split("_line", ";")))
 
 
-def report_columns(reports: DataFrame) -> list[str]:
-    """Names of all data columns over all files: one pass over the header lines."""
+def _column_names() -> Column:
+    """Clean names of a file's data columns; a name's later uses end in _2, _3, ..."""
     head = F.split(F.element_at("lines", F.col("_data") + 2), ";")
-    names = (reports.where(_complete()).select(F.explode(head).alias("raw"))
-             .where(F.trim("raw") != "").select(clean_name_column(F.col("raw")).alias("name"))
-             .distinct().orderBy("name"))
-    return [r["name"] for r in names.limit(10_000).collect()]
+    names = F.transform(head, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(
+        clean_name_column(x)))
+
+    def numbered(name: Column, at: Column) -> Column:
+        uses = F.size(F.filter(F.slice(names, F.lit(1), at + 1), lambda x: x == name))
+        return F.when((uses > 1) & (name != ""), F.concat(
+            name, F.lit("_"), uses.cast("string"))).otherwise(name)
+
+    return F.transform(names, numbered)
+
+
+def report_columns(reports: DataFrame) -> DataFrame:
+    """``name`` of every data column of any file: one pass over the header lines."""
+    return (reports.where(_complete()).select(F.explode(_column_names()).alias("name"))
+            .where("name <> ''").distinct())
 
 
 def report_data(reports: DataFrame, columns: Sequence[str] = DATA_COLUMNS) -> DataFrame:
@@ -132,22 +139,21 @@ def report_data(reports: DataFrame, columns: Sequence[str] = DATA_COLUMNS) -> Da
 
 
 def header_ids(reports: DataFrame) -> DataFrame:
-    """``path`` and the 1-based ordinal of each good file in name order, ``header_id``.
+    """``path`` and the 1-based ordinal of each good file, ``header_id``.
 
-    Names are ordered by the characters behind their common start, read as a number,
-    then by text, so that the numbering spreads over the tasks.
+    All files are numbered, folder by folder and by name within one; files with errors keep
+    their number and are then left out.  The order needs one row per file of a folder, and
+    one row per folder for the numbers before it.
     """
-    files = reports.where(_complete()).select("path")
-    ends = files.agg(F.min("path").alias("lo"), F.max("path").alias("hi")).first()
-    common = 0
-    for a, b in zip(ends["lo"] or "", ends["hi"] or ""):
-        if a != b:
-            break
-        common += 1
-    code = F.conv(F.rpad(F.hex(F.encode(F.substring("path", common + 1, 6), "UTF-8")), 12, "0"),
-                  16, 10).cast("double")
-    placed = dense_positions(files.withColumn("_code", code), [], "_code", ["path"], "_pos")
-    return placed.select("path", (F.col("_pos") + 1).cast("int").alias("header_id"))
+    files = reports.select("path", _complete().alias("_good"),
+                           F.regexp_extract("path", r"^(.*?)[^/]*$", 1).alias("_folder"))
+    counts = files.groupBy("_folder").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_folder", F.coalesce(F.sum("_n").over(before), F.lit(0))
+                            .alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_folder").orderBy("path"))
+    return (files.withColumn("_here", here).join(offsets, "_folder").where("_good")
+            .select("path", (F.col("_before") + F.col("_here")).cast("int").alias("header_id")))
 
 
 def measured_with_header(data: DataFrame, header: DataFrame,

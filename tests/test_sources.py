@@ -108,7 +108,7 @@ def test_reports(spark, tmp_path):
     assert header["a2.csv"]["device_nr"] is None and header["a2.csv"]["temperature"] == "25,0"
     recipe = reports.report_recipe(lines).first()
     assert recipe["filter_counts"] == "10" and recipe["voltage"] is None
-    assert reports.report_columns(lines) == ["empfindlichkeit", "id_kanal_a", "run_order",
+    assert sorted(r["name"] for r in reports.report_columns(lines).collect()) == ["empfindlichkeit", "id_kanal_a", "run_order",
                                              "wellenlange"]
     data = reports.report_data(lines, ["wellenlange", "empfindlichkeit", "run_order"])
     rows = sorted(tuple(r)[2:] for r in data.where("file = 'a1.csv'").collect())
