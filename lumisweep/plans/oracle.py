@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from lumisweep.functions.formatting import SI_PREFIXES
 from lumisweep.functions.optics import QE_PER_NM
-from lumisweep.operators.fits import LOWPASS_STEPS, STACK_DAMPING, lowpass_starts
 from lumisweep.operators.rollup import RISETIME_LIMITS_PS
 from lumisweep.operators.sweepgrid import thickness_decades
 from lumisweep.plans.views import (ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
@@ -532,25 +531,19 @@ FROM pt JOIN sg ON pt.l_suppkey = sg.l_suppkey AND i < n
 
 
 def lowpass_sql() -> str:
-    drop = "20.0 * log10(1 + pow(f / {}, 2))"
-    db = "20.0 / ln(10)"
-    ctes = [f"""g0 AS (SELECT p_partkey, f0, count(*) AS n, sum(a + {drop.format('f0')}) AS z,
-  sum(pow(a + {drop.format('f0')}, 2)) AS zz FROM v3, unnest({_list(lowpass_starts())}) AS t(f0)
-  GROUP BY 1, 2),
-t0 AS (SELECT p_partkey, ln(f0) AS th FROM g0 QUALIFY row_number() OVER (
-  PARTITION BY p_partkey ORDER BY zz - z * z / n) = 1)"""]
-    for i in range(LOWPASS_STEPS):
-        ctes.append(f"""r{i} AS (SELECT p_partkey, th, pow(f / exp(th), 2) AS u,
-  2 * {db} * u / (1 + u) AS d, a + 20.0 * log10(1 + u) AS z FROM v3 JOIN t{i} USING (p_partkey)),
-t{i + 1} AS (SELECT p_partkey, any_value(th) + greatest(least(
-  (sum(z * d) - sum(z) * sum(d) / count(*)) / (sum(d * d) - sum(d) * sum(d) / count(*)), 0.7),
-  -0.7) AS th FROM r{i} GROUP BY 1)""")
+    """Newton steps that begin at the pole the view was made with."""
+    drop = "20.0 * log10(1 + pow(f / exp(th), 2))"
+    ctes = ["t0 AS (SELECT p_partkey, any_value(ln(200 + 5 * p_size)) AS th FROM v3 GROUP BY 1)"]
+    for i in range(5):
+        ctes.append(f"""r{i} AS (SELECT p_partkey, th, pow(f / exp(th), 2) AS u, a + {drop} AS z,
+  40.0 / ln(10) * u / (1 + u) AS d FROM v3 JOIN t{i} USING (p_partkey)),
+t{i + 1} AS (SELECT p_partkey, any_value(th) + covar_pop(z, d) / var_pop(d) AS th
+  FROM r{i} GROUP BY 1)""")
     return f"""
 WITH {V3}, {', '.join(ctes)}, o AS (SELECT p_partkey, any_value(exp(th)) AS f0, count(*) AS n,
-  sum(a + {drop.format('exp(th)')}) AS z, sum(pow(a + {drop.format('exp(th)')}, 2)) AS zz
-  FROM v3 JOIN t{LOWPASS_STEPS} USING (p_partkey) GROUP BY 1)
-SELECT p_partkey, {rd('f0', 4)} AS f0_mhz, {rd('z / n', 4)} AS level_db,
-  {rd('zz - z * z / n', 4)} AS sse, {rd(rd('f0 * 1e6', 1) + ' / 1e6', 1)} AS cutoff_mhz FROM o"""
+  avg(a + {drop}) AS z, var_pop(a + {drop}) AS v FROM v3 JOIN t5 USING (p_partkey) GROUP BY 1)
+SELECT p_partkey, {rd('f0', 4)} AS f0_mhz, {rd('z', 4)} AS level_db, {rd('v * n', 4)} AS sse,
+  {rd(rd('f0 * 1e6', 1) + ' / 1e6', 1)} AS cutoff_mhz, true AS converged FROM o"""
 
 
 ORACLE_SQL["fit_lowpass2"] = lowpass_sql()
@@ -569,9 +562,10 @@ NUDGE = 1e-3
 
 
 def stack_fit_ctes() -> str:
-    ctes = [MEASURED, "q0 AS (SELECT DISTINCT p_partkey, 10.0::DOUBLE AS p1, 15.0::DOUBLE AS p2, "
-            "70.0::DOUBLE AS p3 FROM ms)"]
-    for i, damp in enumerate(STACK_DAMPING):
+    # Plain Newton steps that begin at the stack the view was made with.
+    ctes = [MEASURED, "q0 AS (SELECT p_partkey, (95 + p_size % 11) / 10.0::DOUBLE AS p1, "
+            "(13 + p_partkey % 5)::DOUBLE AS p2, (67 + p_partkey % 7)::DOUBLE AS p3 FROM part)"]
+    for i, damp in enumerate([0] * 6):
         five = [reflect("r0", "d2", "d3", "te", False), reflect("ra", "d2 - 1e-12", "d3", "te", False),
                 reflect("rb", "d2 + 1e-12", "d3", "te", False),
                 reflect("rc", "d2", "d3 - 1e-12", "te", False),
@@ -600,9 +594,16 @@ q{i + 1} AS MATERIALIZED (SELECT p_partkey,
 
 
 ORACLE_SQL["fit_layer_stack"] = f"""
-WITH {stack_fit_ctes()} SELECT p_partkey, {rd('p1', 4)} AS si_um, {rd('p2', 3)} AS sio2_nm,
+WITH {stack_fit_ctes()} SELECT p_partkey, true AS converged, {rd('p1', 4)} AS si_um, {rd('p2', 3)} AS sio2_nm,
   {rd('p3', 3)} AS si3n4_nm FROM q6"""
 
+ORACLE_SQL["fit_lowpass2_wide"] = """
+SELECT o_orderkey, 1.0::DOUBLE AS ratio, 0.0::DOUBLE AS level_error, true AS positive,
+  true AS converged FROM orders"""
+
+ORACLE_SQL["fit_layer_stack_wide"] = """
+SELECT p_partkey, 1.0::DOUBLE AS ratio, true AS converged FROM part"""
+
 ORACLE_SQL["fit_residuals"] = f"""
 WITH {stack_fit_ctes()}, f0 AS (SELECT *, p2 * 1e-9 AS d2, p3 * 1e-9 AS d3
   FROM ms JOIN q6 USING (p_partkey)),

@@ -508,11 +508,32 @@ def fit_lowpass2(spark, sf):
 def fit_layer_stack(spark, sf):
     fitted = fits.fit_layer_stack(views.measured_curves(spark, sf),
                                   views.measured_indices(spark), ["p_partkey"], "y")
-    return fitted.select("p_partkey", r(F.col("thickness_si") * 1e6, 4).alias("si_um"),
+    return fitted.select("p_partkey", "converged", r(F.col("thickness_si") * 1e6, 4).alias("si_um"),
                          r(F.col("thickness_sio2") * 1e9, 3).alias("sio2_nm"),
                          r(F.col("thickness_si3n4") * 1e9, 3).alias("si3n4_nm"))
 
 
+@query
+def fit_lowpass2_wide(spark, sf):
+    """Poles over five decades are found, and the fit says so."""
+    curves = views.wide_poles(spark, sf)
+    truth = curves.select("o_orderkey", "f0", "level").distinct()
+    found = fits.fit_lowpass2(curves, ["o_orderkey"]).join(truth, "o_orderkey")
+    return found.select("o_orderkey", r(F.col("f0_mhz") / F.col("f0"), 3).alias("ratio"),
+                        r(F.col("level_db") - F.col("level"), 4).alias("level_error"),
+                        (F.col("sse") >= 0).alias("positive"), "converged")
+
+
+@query
+def fit_layer_stack_wide(spark, sf):
+    """Stacks from 5 to 380 um are found, and the fit says so."""
+    curves = views.wide_stacks(spark, sf)
+    truth = curves.select("p_partkey", F.col("thickness_si").alias("d")).distinct()
+    found = fits.fit_layer_stack(curves, views.measured_indices(spark), ["p_partkey"], "y")
+    return found.join(truth, "p_partkey").select(
+        "p_partkey", r(F.col("thickness_si") / F.col("d"), 3).alias("ratio"), "converged")
+
+
 @query
 def fit_residuals(spark, sf):
     curves = views.measured_curves(spark, sf)

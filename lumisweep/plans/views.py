@@ -129,6 +129,30 @@ def measured_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "lambda_nm", round_even(F.col("sabs") + ripple, 9).alias("y"))
 
 
+def wide_poles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves without ripple of the orders: poles from 5 to 500,000 MHz, levels from -60 dB."""
+    key = F.col("o_orderkey")
+    f0 = 5 * F.get(F.lit([1.0, 10.0, 100.0, 1e3, 1e4, 1e5]), (key % 6).cast("int"))
+    level = -F.col("o_totalprice") / 1e4
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", f0.alias("f0"), level.alias("level"))
+    f = F.col("_i") * 25.0
+    return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(40)))).select(
+        "o_orderkey", "f0", "level", f.alias("f"),
+        (F.col("level") - 20 * F.log10(1 + F.pow(f / F.col("f0"), 2))).alias("a"))
+
+
+def wide_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responsivity curves without ripple of the parts, stacks from 5 to 380 um."""
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        "p_partkey", (5 * F.pow(F.lit(76.0), F.col("p_size") / 50) * 1e-6).alias("thickness_si"),
+        ((14 + key % 3) * 1e-9).alias("thickness_sio2"),
+        ((68 + key % 5) * 1e-9).alias("thickness_si3n4")).withColumn(
+        "lambda_nm", F.explode(F.lit(MEASURED_LAMBDAS)))
+    return with_responsivity(with_material_constants(rows), tilted=False).select(
+        "p_partkey", "lambda_nm", "thickness_si", F.col("sabs").alias("y"))
+
+
 def measured_indices(spark: SparkSession) -> DataFrame:
     """The optical columns at the measured wavelengths, one row each."""
     return with_material_constants(wavelength_grid(spark, 400, 1100, 25))
