@@ -18,7 +18,9 @@ by thousands of documents do not give all pairs: each key is compared with one h
 components, and only members of different components are compared pair by pair after
 that.  Links inside a component cannot change the result.  Before it, the shingles of these
 members are counted: what only one of them holds is in no intersection, which rules out
-most pairs of one large group of copies that differ from each other too much.
+most pairs of one large group of copies that differ from each other too much.  Then each is
+compared with the centre of its key, the member with the fewest shingles of its own: two
+members share no more than the smaller part inside the centre and the smaller part outside.
 
 A null or empty text has an empty set and is linked with nothing.  Rows with the same
 ``doc_id`` are one node, linked by any of their texts.  A row with a null ``doc_id`` keeps a null ``component_id`` and is
@@ -44,6 +46,7 @@ RADIUS, FARTHEST = 2 * SYMBOLS // CHUNK - 1, 30
 _ODD = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
 _SLICE = 1 << 16
 
+OVERLAP = "a long, b long, common long, linked boolean"
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 
 
@@ -113,31 +116,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(found)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets have 100 * intersection >= 75 * union."""
-    schema = arrow_schema("a long, b long")
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared shingles of each pair, and whether 100 * intersection >= 75 * union."""
+    schema = arrow_schema(OVERLAP)
     for batch in batches:
-        linked = []
+        common, linked = [], []
         for left, right in zip(batch.column(2), batch.column(3)):
             x = np.frombuffer(left.as_buffer(), np.uint64)
             y = np.frombuffer(right.as_buffer(), np.uint64)
             both = np.concatenate((x, y))
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
+            common.append(shared)
             linked.append(100 * shared >= 75 * (len(x) + len(y) - shared))
-        keep = pa.array(linked, pa.bool_())
-        yield record_batch([batch.column(i).filter(keep) for i in (0, 1)], schema)
+        yield record_batch([batch.column(0), batch.column(1), common, linked], schema)
+
+
+def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The pairs ``a, b`` with a value of either side."""
+    x = values.select(F.col("id").alias("a"), F.col(column).alias("_x"))
+    y = values.select(F.col("id").alias("b"), F.col(column).alias("_y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return _beside(pairs, sets, "shingles").mapInArrow(_overlap, OVERLAP)
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are links: by signature distance, then by full sets."""
-    for side, (values, column) in ((_distances, (classes, "signature")),
-                                   (_confirm, (sets, "shingles"))):
-        x = values.select(F.col("id").alias("a"), F.col(column).alias("_x"))
-        y = values.select(F.col("id").alias("b"), F.col(column).alias("_y"))
-        pairs = (pairs.join(x, "a").join(y, "b").select("a", "b", "_x", "_y")
-                 .mapInArrow(side, "a long, b long"))
-    return pairs
+    near = _beside(pairs, classes, "signature").mapInArrow(_distances, "a long, b long")
+    return _overlaps(near, sets).where("linked").select("a", "b")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +173,19 @@ def _bounds(ids: DataFrame, sets: DataFrame) -> DataFrame:
             .selectExpr("id", "size", "size - coalesce(own, 0) shared"))
 
 
+def _labelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with their component so far; one without links is its own."""
+    return (members.join(found, "id", "left")
+            .withColumn("component", F.coalesce("component", "id")))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of keys that hold more than one component."""
+    ends = members.groupBy("key").agg(F.min("component").alias("_low"),
+                                      F.max("component").alias("_high"))
+    return members.join(ends.where("_low <> _high").select("key"), "key")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -189,25 +211,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = settle(to_hub)
     links = settle(_linked(tried, classes, sets))
 
-    # What different components share is compared pair by pair, once.
-    found = components(links)
-    member = (held.join(found, "id", "left")
-              .selectExpr("key", "id", "coalesce(component, id) component"))
-    ends = [F.min("component").alias("_low"), F.max("component").alias("_high")]
-    mixed = member.groupBy("key").agg(*ends).where("_low <> _high").select("key")
-    open_keys = settle(member.join(mixed, "key"))
+    # What different components share is compared: with the centre of a key, then in pairs.
+    open_keys = settle(_mixed(_labelled(held.select("key", "id"), components(links))))
     bounded = open_keys.join(_bounds(open_keys.select("id").distinct(), sets), "id")
     # A member that cannot reach even the smallest set of its key has no link there.
     smallest = bounded.groupBy("key").agg(F.min("size").alias("_least"))
-    able = (bounded.join(smallest, "key").where("7 * shared >= 3 * (size + _least)")
-            .drop("_least"))
-    able = settle(able.join(able.groupBy("key").agg(*ends).where("_low <> _high").select("key"),
-                            "key"))
-    left = able.selectExpr("key", "id a", "component ca", "size na", "shared sa")
-    right = able.selectExpr("key", "id b", "component cb", "size nb", "shared sb")
-    rest = (left.join(right, "key")
-            .where("a < b and ca <> cb and 7 * least(sa, sb) >= 3 * (na + nb)")
-            .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    able = settle(_mixed(bounded.join(smallest, "key")
+                         .where("7 * shared >= 3 * (size + _least)").drop("_least")))
+    # The centre holds the fewest shingles that nobody shares.
+    centres = able.groupBy("key").agg(F.max(F.struct(
+        (F.col("shared") / F.col("size")).alias("part"), (-F.col("id")).alias("id")))
+        .alias("_c")).selectExpr("key", "-_c.id hub")
+    beside = settle(able.join(centres, "key").selectExpr(
+        "id", "size", "shared", "hub", "least(id, hub) a", "greatest(id, hub) b").distinct())
+    to_centre = settle(_overlaps(beside.where("id <> hub").select("a", "b").distinct(), sets))
+    links = settle(links.unionByName(to_centre.where("linked").select("a", "b")))
+    # What two members share lies inside the centre or outside of it.  Keys with the same
+    # centre are one group from here on, so a pair is met once and not for each key.
+    seen = to_centre.groupBy("a", "b").agg(F.max("common").alias("common"))
+    able = (beside.join(seen, ["a", "b"], "left")
+            .selectExpr("hub key", "id", "size", "if(id = hub, size, common) inside",
+                        "shared - if(id = hub, size, common) outside"))
+    able = settle(_mixed(_labelled(able, components(links))))
+    left = able.selectExpr("key", "id a", "component ca", "size na", "inside ia", "outside oa")
+    right = able.selectExpr("key", "id b", "component cb", "size nb", "inside ib", "outside ob")
+    rest = (left.join(right, "key").where(
+        "a < b and ca <> cb and 7 * (least(ia, ib) + least(oa, ob)) >= 3 * (na + nb)")
+        .select("a", "b").distinct()
+        .join(tried.unionByName(to_centre.select("a", "b")), ["a", "b"], "left_anti"))
     more = _linked(settle(rest), classes, sets)
 
     nodes = components(links.unionByName(more).unionByName(twins))
