@@ -36,29 +36,30 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), blank), r"[\x09-\x0D\x20]+")
 
 
-def seeds(words: str, at: str) -> list[Column]:
-    """Hash of each mask at the 1-based place ``at``; null where the mask does not fit."""
+def seeds(window: str) -> Column:
+    """Hash of each mask over the word hashes of ``window``; null where it does not fit.
+
+    As an array for ``explode``: a filter on what that gives is not pushed below it, so each
+    hash is computed once.
+    """
     out = []
     for number, mask in enumerate(MASKS):
-        looked = [F.get(words, F.col(at) + (i - 1)) for i, c in enumerate(mask) if c == "1"]
-        fits = F.col(at) + (len(mask) - 1) <= F.size(words)
-        out.append(F.when(fits, F.xxhash64(F.lit(number), *looked)))
-    return out
-
+        looked = [F.get(window, F.lit(i)) for i, c in enumerate(mask) if c == "1"]
+        out.append(F.when(F.size(window) >= len(mask), F.xxhash64(F.lit(number), *looked)))
+    return F.array(*out)
 
-def placed(table: DataFrame, key: str) -> DataFrame:
-    """``key, words, at``: one row per place at which the shortest seed fits."""
-    shortest = min(map(len, MASKS))
-    split = table.select(key, words_of(F.col("text")).alias("words"))
-    last = F.size("words") - (shortest - 1)
-    return split.where(last > 0).select(
-        key, "words", F.explode(F.sequence(F.lit(1), last)).alias("at"))
 
+def seeded(table: DataFrame, key: str, least: int) -> DataFrame:
+    """``key, at, seed`` of every place (from 0) of texts with ``least`` words or more.
 
-def beside(words: str, at: str) -> tuple[Column, Column]:
-    """The words around a place that a window over it can reach, and where in them it is."""
-    before = F.least(F.col(at) - 1, F.lit(WINDOW - 1))
-    return F.slice(words, F.col(at) - before, before + LONGEST + WINDOW - 1), before
+    Only the few word hashes that a seed can look at travel with a place, not the text.
+    """
+    codes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    coded = table.select(key, codes.alias("codes")).where(F.size("codes") >= least)
+    windows = F.transform(F.sequence(F.lit(1), F.size("codes") - (min(map(len, MASKS)) - 1)),
+                          lambda at: F.slice("codes", at, F.lit(LONGEST)))
+    return (coded.select(key, F.posexplode(windows).alias("at", "window"))
+            .select(key, "at", F.explode(seeds("window")).alias("seed")))
 
 
 def bit_place(seed: Column, turn: int) -> tuple[Column, Column]:
@@ -83,42 +84,45 @@ def bit_table(marks: DataFrame) -> DataFrame:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, agreeing, out_of``: the best window of each hit that is an overlap."""
-    items = placed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"),
-                   "item_id").where(F.size("words") >= LONGEST)
-    around, before = beside("words", "at")
-    marks = items.select(
-        "item_id", around.alias("theirs"), before.alias("their_lead"),
-        F.least(F.size("words"), F.lit(WINDOW)).alias("out_of"),
-        F.explode(F.array(*seeds("words", "at"))).alias("seed")).where("seed is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    marks = (seeded(items, "item_id", LONGEST).where("seed is not null")
+             .withColumnRenamed("at", "item_at"))
     table = bit_table(marks.select("seed")).scalar()
 
-    def listed(seed: Column) -> Column:
-        found = F.lit(True)
+    def listed() -> Column:
+        found = F.col("seed").isNotNull()
         for turn in (0, 1):
-            word, bit = bit_place(seed, turn)
+            word, bit = bit_place(F.col("seed"), turn)
             found = found & (F.getbit(F.get(table, word), bit) == 1)
-        return F.coalesce(found, F.lit(False))
-
-    text = placed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    hashed = text.select("doc_id", "words", "at", *[
-        s.alias(f"seed{i}") for i, s in enumerate(seeds("words", "at"))])
-    names = [F.col(f"seed{i}") for i in range(len(MASKS))]
-    passed = hashed.where(listed(names[0]) | listed(names[1]) | listed(names[2]))
-    hits = passed.select("doc_id", around.alias("ours"), before.alias("our_lead"),
-                         F.explode(F.array(*names)).alias("seed")).where("seed is not null")
-    # Side by side: both cut to the same words before the hit and to the shorter end.
-    lead = F.least("our_lead", "their_lead")
-    ours = F.slice("ours", F.col("our_lead") - lead + 1, F.size("ours"))
-    theirs = F.slice("theirs", F.col("their_lead") - lead + 1, F.size("theirs"))
-    same = F.zip_with(ours, theirs, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
-    both = F.least(F.size(ours), F.size(theirs))
+        return found
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hits = seeded(rows, "doc_id", min(map(len, MASKS))).where(listed())
+    # A document and an item laid side by side: once per shift, at the first and last hit.
+    shifts = (hits.join(marks, "seed")
+              .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+              .agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    found = shifts.withColumnRenamed("doc_id", "_id")
+    ours = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    theirs = items.withColumnRenamed("text", "item_text")
+    both = ours.join(theirs, "item_id").select(
+        "doc_id", "item_id", "shift", words_of(F.col("text")).alias("x"),
+        words_of(F.col("item_text")).alias("y"), "first", "last")
+    # Places of the document that a window over one of the hits can reach.
+    begin = F.greatest(F.lit(0), F.col("shift"), F.col("first") - (WINDOW - 1))
+    end = F.least(F.size("x"), F.size("y") + F.col("shift"),
+                  F.col("last") + LONGEST + (WINDOW - 1))
+    laid = both.select(
+        "doc_id", "item_id", F.least(F.size("y"), F.lit(WINDOW)).alias("out_of"),
+        F.slice("x", begin + 1, F.greatest(F.lit(0), end - begin)).alias("x"),
+        F.slice("y", begin - F.col("shift") + 1, F.greatest(F.lit(0), end - begin)).alias("y"))
+    same = F.zip_with("x", "y", lambda x, y: (x == y).cast("int"))
     best = F.array_max(F.transform(
-        F.sequence(F.lit(1), F.col("both") - F.col("out_of") + 1),
+        F.sequence(F.lit(1), F.size("same") - F.col("out_of") + 1),
         lambda k: F.aggregate(F.slice("same", k, F.col("out_of")), F.lit(0),
                               lambda total, x: total + x)))
-    return (hits.join(marks, "seed")
-            .select("doc_id", "item_id", "out_of", same.alias("same"), both.alias("both"))
-            .where(F.col("both") >= F.col("out_of"))
+    return (laid.select("doc_id", "item_id", "out_of", same.alias("same"))
+            .where(F.size("same") >= F.col("out_of"))
             .select("doc_id", "item_id", "out_of", best.alias("agreeing"))
             .where(F.col("agreeing") * 4 >= F.col("out_of") * 3))
 

@@ -141,16 +141,15 @@ bseeds AS (
   SELECT item_id, q, array_to_string(list_transform(m, lambda k: v[q + k]), ' ') || m::VARCHAR AS s
   FROM (SELECT item_id, v, m, unnest(range(1, len(v) - m[6] + 1)) AS q FROM b, masks)),
 hits AS (
-  SELECT DISTINCT doc_id, item_id, p, q FROM dseeds JOIN bseeds USING (s)),
+  SELECT doc_id, item_id, p - q AS shift, min(p) AS lo, max(p) AS hi
+  FROM dseeds JOIN bseeds USING (s) GROUP BY 1, 2, 3),
 laid AS (
-  SELECT doc_id, item_id, least(13, len(v)) AS out_of,
-         least(p - 1, q - 1, 12) AS lead,
-         p, q, w, v FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
-side AS (
-  SELECT doc_id, item_id, out_of, w[p - lead:p + 20] AS x, v[q - lead:q + 20] AS y FROM laid),
+  SELECT doc_id, item_id, least(13, len(v)) AS out_of, w, v, shift,
+         greatest(1, shift + 1, lo - 12) AS p1, least(len(w), len(v) + shift, hi + 20) AS p2
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 same AS (
-  SELECT doc_id, item_id, out_of, list_transform(range(1, least(len(x), len(y)) + 1),
-         lambda i: CASE WHEN x[i] = y[i] THEN 1 ELSE 0 END) AS e FROM side),
+  SELECT doc_id, item_id, out_of, list_transform(range(p1, p2 + 1),
+         lambda i: CASE WHEN w[i] = v[i - shift] THEN 1 ELSE 0 END) AS e FROM laid),
 found AS (
   SELECT doc_id, item_id FROM same
   WHERE len(e) >= out_of AND 4 * list_max(list_transform(range(1, len(e) - out_of + 2),
