@@ -8,7 +8,7 @@ its past gradients, and the L1 term leaves places without evidence at zero, so t
 that is sent to the tasks is a short list of places and weights.
 
 A bounded sample is learned: at most about ``SAMPLE_ROWS`` rows of each label, chosen by a
-hash of the text, dealt into shards of about ``SHARD_ROWS`` rows by another hash.  Each
+hash of ``doc_id``, dealt into shards of about ``SHARD_ROWS`` rows by a hash of the text.  Each
 shard is learned in its own task, ``EPOCHS`` times in a fixed order, and the weights of the
 shards are averaged.  A class weight makes up for the rarer label; the intercept is learned with the others.
 
@@ -93,21 +93,33 @@ def _logistic(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS
-          ) -> tuple[np.ndarray, np.ndarray]:
-    """Places and weights of a model of ``text, label``; both empty without any rows."""
-    usable = rows.where("text is not null and label in (0, 1)").withColumn(
-        "_hash", F.xxhash64("text"))
+def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
+    """The sampled rows of ``doc_id, label`` and how many of each label they are."""
+    usable = labels.where("doc_id is not null and label in (0, 1)")
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    share = F.when(F.col("label") == 1, F.lit(min(1.0, sample_rows / counts.get(1, 1)))
-                   ).otherwise(F.lit(min(1.0, sample_rows / counts.get(0, 1))))
     taken = {k: min(n, sample_rows) for k, n in counts.items()}
+    share = F.when(F.col("label") == 1, F.lit(taken.get(1, 0) / counts.get(1, 1))).otherwise(
+        F.lit(taken.get(0, 0) / counts.get(0, 1)))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    return chosen, taken
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
+          shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Places and weights of a model of ``doc_id, text`` and ``doc_id, label``.
+
+    Both are empty without any labelled rows.  The sampled ids are broadcast, about
+    ``2 * sample_rows`` of them at most, so that only sampled texts are shuffled.
+    """
+    picked, taken = sample(labels, sample_rows)
+    if not taken:
+        return np.zeros(0, np.int64), np.zeros(0)
     scale = {k: sum(taken.values()) / (2 * n) for k, n in taken.items()}
     shards = math.ceil(sum(taken.values()) / shard_rows)
-    chosen = usable.where(F.pmod("_hash", F.lit(1 << 20)) < share * (1 << 20)).withColumn(
-        "_shard", F.pmod(F.shiftrightunsigned("_hash", 24), F.lit(shards)).cast("int"))
+    chosen = (docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+              .withColumn("_hash", F.xxhash64("text"))
+              .withColumn("_shard", F.pmod(F.shiftrightunsigned("_hash", 24), F.lit(shards))
+                          .cast("int")))
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -160,7 +172,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled documents outside the held-out fold and score every document."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col("toxic").cast("int").alias("label"))
-    teach = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    rows = teach.join(known.where(~held_out(F.col("doc_id"), 5, 0)), "doc_id")
-    return score(docs, *train(rows.select("text", "label")))
+    return score(docs, *train(texts, known.where(~held_out(F.col("doc_id"), 5, 0))))
