@@ -84,7 +84,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats
     training time of its first copy (null where nothing is taken).
     """
     sized = settle(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     parts = max(1, math.isqrt(sized.count()))

@@ -23,8 +23,8 @@ compared with the centre of its key, the member with the fewest shingles of its
 members share no more than the smaller part inside the centre and the smaller part outside.
 
 A null or empty text has an empty set and is linked with nothing.  Rows with the same
-``doc_id`` are one node, linked by any of their texts.  A row with a null ``doc_id`` keeps a null ``component_id`` and is
-kept.  An empty table gives an empty result.  Other columns are not read.
+``doc_id`` are one node, linked by any of their texts.  A row with a null ``doc_id`` keeps a
+null ``component_id`` and is kept.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

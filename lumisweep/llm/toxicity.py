@@ -10,7 +10,8 @@ that is sent to the tasks is a short list of places and weights.
 A bounded sample is learned: at most about ``SAMPLE_ROWS`` rows of each label, chosen by a
 hash of ``doc_id``, dealt into shards of about ``SHARD_ROWS`` rows by a hash of the text.  Each
 shard is learned in its own task, ``EPOCHS`` times in a fixed order, and the weights of the
-shards are averaged.  A class weight makes up for the rarer label; the intercept is learned with the others.
+shards are averaged.  A class weight makes up for the rarer label; the intercept is learned
+with the others.
 
 A text without words has no features and gets the intercept's score.  Rows with a null
 label or text, or a label other than 0 and 1, teach nothing; a document with several
