@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import with_responsivity
-from lumisweep.operators.readout import (cutoff_packed, cutoff_readout, unpack_sweep,
-                                         with_rise_time)
+from lumisweep.operators.fits import cutoff_of_fit, fit_lowpass2, fit_rational_packed
+from lumisweep.operators.readout import (cutoff_packed, cutoff_readout, positional_slice,
+                                         unpack_sweep, with_rise_time)
 from lumisweep.operators.resample import refractive_indices
-from lumisweep.operators.rollup import lookup_join, mean_over_repeats, rollup_mean_of_ratios
+from lumisweep.operators.rollup import (lookup_join, mean_over_repeats, part_operator_summary,
+                                        rollup_mean_of_ratios, rollup_ratio_of_means,
+                                        threshold_counts)
 from lumisweep.operators.sweepgrid import (level_values, tolerance_sweep, wavelength_grid,
                                            with_indices)
 from lumisweep.sources.sweeps import packed_sweeps, sweep_files
@@ -46,6 +49,34 @@ def averaged_readout_job(spark: SparkSession, path: str, fmin: float = 10.0,
         "device", *SWEEP_KEYS, "plateau", "cutoff_mhz", "risetime_ps", "ubr_V")
 
 
+def lowpass_job(spark: SparkSession, path: str, lo: int = 15, hi: int = 499) -> DataFrame:
+    """Sweep files -> samples ``lo`` to ``hi`` - 1 -> low-pass fit per file -> mean over repeats.
+
+    The rise time is that of the mean absolute cut-off.  A file without samples in the
+    slice has no fit and takes no part.
+    """
+    rows = positional_slice(unpack_sweep(packed_sweeps(sweep_files(spark, path))), lo, hi)
+    fitted = fit_lowpass2(rows.select("file", *SWEEP_KEYS, "f", "a"), ["file", *SWEEP_KEYS])
+    return rollup_ratio_of_means(fitted, SWEEP_KEYS)
+
+
+def rational_job(spark: SparkSession, path: str, lo: int = 8, hi: int = 600, fmin: float = 8.0,
+                 fmax: float = 100.0) -> DataFrame:
+    """Sweep files -> rational fit per file -> cut-off of the fitted curve -> mean over repeats."""
+    packed = packed_sweeps(sweep_files(spark, path)).withColumn(
+        "points", F.filter("points", lambda x: (x["pos"] >= lo) & (x["pos"] < hi)))
+    fitted = fit_rational_packed(packed, ["file", *SWEEP_KEYS])
+    found = with_rise_time(cutoff_of_fit(fitted, fmin=fmin, fmax=fmax), digits=1)
+    return rollup_mean_of_ratios(found, SWEEP_KEYS)
+
+
+def comparison_job(spark: SparkSession, path: str, **options) -> dict[str, DataFrame]:
+    """Averaged readout -> summaries by part and operator, and counts by rise-time band."""
+    found = averaged_readout_job(spark, path, **options)
+    return {"summary": part_operator_summary(found, "part", "operator", "risetime_ps"),
+            "bands": threshold_counts(found, ["part"], "risetime_ps")}
+
+
 def responsivity_sweep_job(spark: SparkSession, optical: DataFrame, targets: Sequence[float],
                            tolerances: Sequence[float], levels: int, start: int, stop: int,
                            step: int, angles: Sequence[float] = (0.0,)) -> DataFrame:

@@ -1,5 +1,7 @@
 """Files: sweeps, reports, plan, results, sinks and the stream, on small written samples."""
 
+import math
+
 import pytest
 from conftest import result_files
 from pyspark.sql import functions as F
@@ -184,3 +186,23 @@ def test_numbers_and_names(spark):
                       ("Id Kanal A [A] ", "id_kanal_a")]:
         assert formatting.clean_name(raw) == want
         assert spark.range(1).select(formatting.clean_name_column(F.lit(raw))).first()[0] == want
+
+
+def test_fit_and_comparison_jobs(spark, tmp_path):
+    """Poles of 200 and 300 MHz are read back from files of 620 samples."""
+    for name, pole in (("OPA_RO1_part5_001", 200.0), ("OPA_RO1_part5_002", 200.0),
+                       ("OPB_RO2_part6_001", 300.0)):
+        level = [-20 * math.log10(1 + (2.0 * i / pole) ** 2) for i in range(1, 621)]
+        lines = ["a", "b", "Trace;1;"] + [
+            f"{2_000_000 * i};{y:.8f};".replace(".", ",") for i, y in enumerate(level, 1)]
+        (tmp_path / f"{name}.CSV").write_text("\n".join(lines + ["end;0"] * 11) + "\n")
+    fitted = {r["part"]: r for r in jobs.lowpass_job(spark, str(tmp_path)).collect()}
+    for part, pole in ((5, 200.0), (6, 300.0)):
+        assert fitted[part]["cutoff_mhz"] == pytest.approx(pole, abs=0.11)
+        assert fitted[part]["risetime_ps"] == pytest.approx(0.35e6 / pole, rel=1e-3)
+    rational = {r["part"]: r["cutoff_mhz"] for r in jobs.rational_job(
+        spark, str(tmp_path), fmin=20.0, fmax=40.0).collect()}
+    assert set(rational) == {5, 6} and all(v > 0 for v in rational.values())
+    tables = jobs.comparison_job(spark, str(tmp_path), fmin=2.0, fmax=20.0)
+    assert tables["summary"].where("level = 'part'").count() == 2
+    assert sum(r["n"] for r in tables["bands"].collect()) == 2
