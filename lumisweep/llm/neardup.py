@@ -239,7 +239,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "a < b and ca <> cb and 7 * (least(ia, ib) + least(oa, ob)) >= 3 * (na + nb)")
         .select("a", "b").distinct()
         .join(tried.unionByName(to_centre.select("a", "b")), ["a", "b"], "left_anti"))
-    more = _linked(settle(rest), classes, sets)
+    # The bounds leave few pairs that signatures could tell apart, so the sets decide at once.
+    more = _overlaps(settle(rest), sets).where("linked").select("a", "b")
 
     nodes = components(links.unionByName(more).unionByName(twins))
     return (signed.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
