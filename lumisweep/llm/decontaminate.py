@@ -4,8 +4,10 @@ A seed is a fixed mask over consecutive words that looks at some places and igno
 others, so a hit survives substitutions in the ignored ones.  Seeds of all places of the
 benchmark items and of the documents are hashed and joined.  Around each hit document and
 item are laid side by side, and a document is contaminated if some ``WINDOW`` neighbouring
-words (the whole item, if it is shorter) agree in three of four places.  Items with fewer
-words than the longest seed are too short to be told from chance and are left out.
+words (the whole item, if it is shorter) agree in three of four places.  The masks lose
+nothing: however the places that may differ lie in such a window, one of the masks fits
+between them.  Items with fewer than ``LEAST`` words are too short to be told from chance
+and are left out.
 
 A bit table of the benchmark's seeds, of ``BITS`` bits whatever the benchmark's size, drops
 nearly all places of the documents before anything is shuffled; what passes by chance
@@ -13,20 +15,25 @@ finds nothing in the join.  The join itself is left to the optimizer, which spli
 hashes.
 
 Words are what stands between white space (space and 0x09-0x0D) in the lower-cased text.
-Null and empty texts and texts shorter than a seed are clean.  Rows with the same
+Null and empty texts and texts of fewer than ``LEAST`` words are clean.  Rows with the same
 ``doc_id`` are judged together, null being one of them.  An empty benchmark leaves all
 documents clean; an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Places looked at (1) and ignored (0).
-MASKS = ("111111", "11011011", "110100111")
-LONGEST = max(map(len, MASKS))
+#: Places looked at (1) and ignored (0): enough for windows of ``WINDOW`` words, and what
+#: items of ``LEAST`` to ``WINDOW - 1`` words need besides.
+MASKS = ("110001011", "1100111", "111101")
+SHORT_MASKS = ("11111", "10010111")
+LONGEST = max(map(len, MASKS + SHORT_MASKS))
 WINDOW = 13
+LEAST = 9
 #: Bits of the table and bits per word of it.
 BITS, PER = 1 << 22, 32
 
@@ -36,30 +43,30 @@ def words_of(text: Column) -> Column:
     return F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), blank), r"[\x09-\x0D\x20]+")
 
 
-def seeds(window: str) -> Column:
+def seeds(window: str, masks: Sequence[str]) -> Column:
     """Hash of each mask over the word hashes of ``window``; null where it does not fit.
 
     As an array for ``explode``: a filter on what that gives is not pushed below it, so each
     hash is computed once.
     """
     out = []
-    for number, mask in enumerate(MASKS):
+    for number, mask in enumerate(masks):
         looked = [F.get(window, F.lit(i)) for i, c in enumerate(mask) if c == "1"]
         out.append(F.when(F.size(window) >= len(mask), F.xxhash64(F.lit(number), *looked)))
     return F.array(*out)
 
 
-def seeded(table: DataFrame, key: str, least: int) -> DataFrame:
-    """``key, at, seed`` of every place (from 0) of texts with ``least`` words or more.
+def seeded(table: DataFrame, key: str, masks: Sequence[str]) -> DataFrame:
+    """``key, at, seed`` of every place (from 0) of texts with ``LEAST`` words or more.
 
     Only the few word hashes that a seed can look at travel with a place, not the text.
     """
     codes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    coded = table.select(key, codes.alias("codes")).where(F.size("codes") >= least)
-    windows = F.transform(F.sequence(F.lit(1), F.size("codes") - (min(map(len, MASKS)) - 1)),
+    coded = table.select(key, codes.alias("codes")).where(F.size("codes") >= LEAST)
+    windows = F.transform(F.sequence(F.lit(1), F.size("codes") - (min(map(len, masks)) - 1)),
                           lambda at: F.slice("codes", at, F.lit(LONGEST)))
     return (coded.select(key, F.posexplode(windows).alias("at", "window"))
-            .select(key, "at", F.explode(seeds("window")).alias("seed")))
+            .select(key, "at", F.explode(seeds("window", masks)).alias("seed")))
 
 
 def bit_place(seed: Column, turn: int) -> tuple[Column, Column]:
@@ -85,7 +92,9 @@ def bit_table(marks: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, item_id, agreeing, out_of``: the best window of each hit that is an overlap."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    marks = (seeded(items, "item_id", LONGEST).where("seed is not null")
+    short = items.where(F.size(words_of(F.col("text"))).between(LEAST, WINDOW - 1))
+    masks = MASKS if short.isEmpty() else MASKS + SHORT_MASKS
+    marks = (seeded(items, "item_id", masks).where("seed is not null")
              .withColumnRenamed("at", "item_at"))
     table = bit_table(marks.select("seed")).scalar()
 
@@ -97,7 +106,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return found
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = seeded(rows, "doc_id", min(map(len, MASKS))).where(listed())
+    hits = seeded(rows, "doc_id", masks).where(listed())
     # A document and an item laid side by side: once per shift, at the first and last hit.
     shifts = (hits.join(marks, "seed")
               .groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))

@@ -34,6 +34,49 @@ def test_decontamination(spark, documents):
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
 
 
+def test_masks_fit_between_all_allowed_differences():
+    for size in range(decontaminate.LEAST, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS + (
+            decontaminate.SHORT_MASKS if size < decontaminate.WINDOW else ())
+        for gone in itertools.combinations(range(size), size - -(-3 * size // 4)):
+            assert any(not any(mask[i - at] == "1" for i in gone if at <= i < at + len(mask))
+                       for mask in masks for at in range(size - len(mask) + 1)), (size, gone)
+
+
+def brute_overlaps(texts, items):
+    """Pairs that the window rule accepts, without seeds."""
+    found = set()
+    for d, text in texts:
+        x = text.lower().split()
+        for i, item in items:
+            y = item.lower().split()
+            n = min(len(y), 13)
+            if len(y) >= 9 and any(
+                    4 * sum(x[p + k] == y[q + k] for k in range(n)) >= 3 * n
+                    for p in range(len(x) - n + 1) for q in range(len(y) - n + 1)):
+                found.add((d, i))
+    return found
+
+
+@pytest.mark.parametrize("sizes", [(13, 15, 20), (9, 10, 11, 12, 15)])
+def test_decontamination_meets_every_pair_of_the_window_rule(spark, documents, sizes):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"b{i}x{k}" for k in range(n))) for i, n in enumerate(sizes)]
+    rows = []
+    for i, item in items:
+        words = item.split()
+        for _ in range(150):
+            share = rng.choice((0.2, 0.25, 0.3))
+            rows.append([f"z{k}" if rng.random() < share else w for k, w in enumerate(words)])
+        rows.append([w if k % 4 != 3 else f"z{k}" for k, w in enumerate(words)])
+    texts = [(d, " ".join(["f1", "f2", *words, "f3"])) for d, words in enumerate(rows)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"])
+             for r in decontaminate.overlaps(documents(texts), bench).collect()}
+    expected = brute_overlaps(texts, items)
+    assert found == expected and 0 < len(expected) < len(texts)
+
+
 def test_forward_sums_all_segmentations(vocabulary):
     pieces = langid.pieces_of(vocabulary)
     rng = np.random.default_rng(0)
