@@ -11,8 +11,8 @@ from lumisweep.functions.formatting import SI_PREFIXES
 from lumisweep.functions.optics import QE_PER_NM
 from lumisweep.operators.rollup import RISETIME_LIMITS_PS
 from lumisweep.operators.sweepgrid import thickness_decades
-from lumisweep.plans.views import (ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
-                                   MEASURED_LAMBDAS, POWERS)
+from lumisweep.plans.views import (ALL_LAMBDAS, ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
+                                   MEASURED_LAMBDAS, POWERS, WHOLE_POINTS)
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -37,6 +37,9 @@ V3 = f"""v3 AS (SELECT p_partkey, p_brand, p_size, i - 1 AS pos, (10 * i)::DOUBL
   + (((p_partkey * 37 + i * 101) % 97)::DOUBLE / 97.0::DOUBLE - 0.5::DOUBLE) * 0.1::DOUBLE AS a
   FROM part, range(1, {DEVICE_POINTS + 1}) AS t(i))"""
 
+V3_WHOLE = V3.replace(f"range(1, {DEVICE_POINTS + 1})", f"range(1, {WHOLE_POINTS + 1})").replace(
+    "(10 * i)", f"({10 * DEVICE_POINTS // WHOLE_POINTS} * i)")
+
 
 def readout_ctes(src: str, keys: str, fmin: float, fmax: float, closed: bool = False,
                  last: bool = False, digits: int | None = 1) -> str:
@@ -103,6 +106,9 @@ SELECT operator, run, part, {rds(6, 'plateau')}, n_plateau, pos, {rds(6, 'cutoff
 ORACLE_SQL["positional_slice"] = f"""
 WITH {V3} SELECT p_partkey, pos, f, {rd('a')} AS a FROM v3 WHERE pos >= 15 AND pos < 50"""
 
+ORACLE_SQL["positional_slice_whole"] = f"""
+WITH {V3_WHOLE} SELECT p_partkey, pos, f, {rd('a')} AS a FROM v3 WHERE pos >= 15 AND pos < 500"""
+
 ORACLE_SQL["pack_unpack"] = f"""
 WITH {V1} SELECT user_id, pos, f, {rd('a')} AS a FROM v1 WHERE pos >= 10 AND pos < 30"""
 
@@ -190,6 +196,11 @@ WITH {V3} SELECT {_FILE} AS file, count(a) AS samples, max(f) AS f_max,
   {rd('sum(round(a, 4))', 3)} AS a_sum
 FROM v3 WHERE pos < 150 GROUP BY 1"""
 
+ORACLE_SQL["sweep_text_samples_whole"] = f"""
+WITH {V3_WHOLE} SELECT {_FILE} AS file, count(a) AS samples, max(f) AS f_max,
+  {rd('sum(round(a, 4))', 3)} AS a_sum
+FROM v3 GROUP BY 1"""
+
 _REPORT = "'report_' || lpad(s_suppkey::VARCHAR, 12, '0') || '.csv'"
 
 ORACLE_SQL["report_header_recipe"] = f"""
@@ -342,17 +353,26 @@ WITH {stack_cte(LAMBDAS)} SELECT p_partkey, lam AS lambda_nm,
   {rd(f'max(sabs) FILTER ({TARGET})', 7)} AS target, {rd('min(sabs)', 7)} AS min,
   {rd('max(sabs)', 7)} AS max FROM sw GROUP BY 1, 2"""
 
+ORACLE_SQL["envelope_all_whole"] = f"""
+WITH {stack_cte(ALL_LAMBDAS)} SELECT p_partkey, lam AS lambda_nm,
+  {rd(f'max(sabs) FILTER ({TARGET})', 7)} AS target, {rd('min(sabs)', 7)} AS min,
+  {rd('max(sabs)', 7)} AS max FROM sw GROUP BY 1, 2"""
+
 _vary = {"all": "true", "si": "i2 = 0 AND i3 = 0", "sio2": "i1 = 0 AND i3 = 0",
          "si3n4": "i1 = 0 AND i2 = 0"}
 ORACLE_SQL["envelope_one_factor"] = f"WITH {stack_cte(LAMBDAS)} " + " UNION ALL ".join(
     f"SELECT p_brand, lam AS lambda_nm, '{v}' AS varying, {rd('min(sabs)', 7)} AS min, "
     f"{rd('max(sabs)', 7)} AS max FROM sw WHERE {cond} GROUP BY 1, 2" for v, cond in _vary.items())
 
-_bands = {"tol": 2, "sd_1": 0, "sd_2": 1, "sd_3": 1}
-ORACLE_SQL["envelope_bands"] = f"WITH {stack_cte(FEW_LAMBDAS, n=5)} " + \
-    "SELECT p_brand, lam AS lambda_nm, " + ", ".join(
-        rd(f"{e}(r) FILTER (greatest(abs(i1), abs(i2), abs(i3)) <= {w})", 7) + f" AS {b}_{e}"
-        for b, w in _bands.items() for e in ("min", "max")) + " FROM sw GROUP BY 1, 2"
+def envelope_bands_sql(lambdas, n: int, bands: dict[str, int]) -> str:
+    return f"WITH {stack_cte(lambdas, n=n)} " + \
+        "SELECT p_brand, lam AS lambda_nm, " + ", ".join(
+            rd(f"{e}(r) FILTER (greatest(abs(i1), abs(i2), abs(i3)) <= {w})", 7) + f" AS {b}_{e}"
+            for b, w in bands.items() for e in ("min", "max")) + " FROM sw GROUP BY 1, 2"
+
+
+ORACLE_SQL["envelope_bands"] = envelope_bands_sql(
+    FEW_LAMBDAS, 5, {"tol": 2, "sd_1": 0, "sd_2": 1, "sd_3": 1})
 
 ORACLE_SQL["envelope_by_angle"] = f"""
 WITH {stack_cte(FEW_LAMBDAS, ANGLES)} SELECT p_brand, ang AS angle_deg,
@@ -365,6 +385,12 @@ WITH {stack_cte([905.0], ANGLES)}, b AS (SELECT ang, min(sabs) AS lo, max(sabs)
 SELECT b.ang AS angle_deg, p_partkey, {rd('sabs', 7)} AS sabs, {rd('lo', 7)} AS min,
   {rd('hi', 7)} AS max FROM t RIGHT JOIN b ON t.ang = b.ang"""
 
+ORACLE_SQL["target_by_angle_whole"] = f"""
+WITH {stack_cte(ALL_LAMBDAS, ANGLES)}, b AS (SELECT ang, min(sabs) AS lo, max(sabs) AS hi FROM sw
+  GROUP BY 1), t AS (SELECT * FROM sw WHERE {TARGET})
+SELECT b.ang AS angle_deg, p_partkey, lam AS lambda_nm, {rd('sabs', 7)} AS sabs,
+  {rd('lo', 7)} AS min, {rd('hi', 7)} AS max FROM t RIGHT JOIN b ON t.ang = b.ang"""
+
 ORACLE_SQL["point_table"] = f"""
 WITH {stack_cte([1064.0])} SELECT p_partkey, lam AS lambda_nm,
   {rd(f'max(r) FILTER ({TARGET})', 4)} AS target, {rd('min(r)', 4)} AS min,
@@ -399,6 +425,12 @@ WITH {_PEAKS} SELECT p_partkey, count(*) AS combos, min(lambda_nm) AS lambda_min
   max(lambda_nm) AS lambda_max, sum(lambda_nm) AS lambda_sum, {rd('sum(sabs)', 7)} AS sabs_sum
 FROM pk GROUP BY 1"""
 
+_PEAKS_WHOLE = _PEAKS.replace(_list(LAMBDAS), _list(ALL_LAMBDAS))
+ORACLE_SQL["peak_row_whole"] = f"""
+WITH {_PEAKS_WHOLE} SELECT p_partkey, count(*) AS combos, min(lambda_nm) AS lambda_min,
+  max(lambda_nm) AS lambda_max, sum(lambda_nm) AS lambda_sum, {rd('sum(sabs)', 7)} AS sabs_sum
+FROM pk GROUP BY 1"""
+
 
 def summary(column: str) -> str:
     return f"""SELECT '{column}' AS "column", {rd('q[1]', 10)} AS min, {rd('q[2]', 10)} AS q1,
@@ -413,6 +445,10 @@ ORACLE_SQL["peak_ecdf"] = f"""
 WITH {_PEAKS}, c AS (SELECT lambda_nm, count(*) AS n FROM pk GROUP BY 1)
 SELECT lambda_nm, n, {rd('sum(n) OVER (ORDER BY lambda_nm) / sum(n) OVER ()', 8)} AS ecdf FROM c"""
 
+ORACLE_SQL["peak_ecdf_whole"] = f"""
+WITH {_PEAKS_WHOLE}, c AS (SELECT lambda_nm, count(*) AS n FROM pk GROUP BY 1)
+SELECT lambda_nm, n, {rd('sum(n) OVER (ORDER BY lambda_nm) / sum(n) OVER ()', 8)} AS ecdf FROM c"""
+
 ORACLE_SQL["value_ecdf"] = f"""
 SELECT DISTINCT event_type, value, count(*) OVER (PARTITION BY event_type, value) AS n,
   {rd('cume_dist() OVER (PARTITION BY event_type ORDER BY value)', 8)} AS ecdf FROM events"""
@@ -450,13 +486,15 @@ SELECT event_type, {rd('any_value(lo) + i * any_value(st)', 7)} AS x,
   AS density
 FROM b JOIN st USING (event_type), range(512) AS g(i) GROUP BY event_type, i"""
 
-ORACLE_SQL["kde_2d"] = f"""
+
+def kde_2d_sql(grid: int) -> str:
+    return f"""
 WITH v AS (SELECT l_returnflag, l_quantity + l_discount * 10 AS x, l_extendedprice / 1000 AS y
   FROM lineitem),
-sx AS {_kde_stats('v', 'l_returnflag', 'x', 1.06, 50, 'x')},
-sy AS {_kde_stats('v', 'l_returnflag', 'y', 1.06, 50, 'y')},
+sx AS {_kde_stats('v', 'l_returnflag', 'x', 1.06, grid, 'x')},
+sy AS {_kde_stats('v', 'l_returnflag', 'y', 1.06, grid, 'y')},
 st AS (SELECT * FROM sx JOIN sy USING (l_returnflag)),
-p AS (SELECT l_returnflag, {_share('x', 50, 'x')}, {_share('y', 50, 'y')}
+p AS (SELECT l_returnflag, {_share('x', grid, 'x')}, {_share('y', grid, 'y')}
   FROM v JOIN st USING (l_returnflag)),
 b AS (SELECT l_returnflag, jx, jy, sum(w) AS w FROM (
   SELECT l_returnflag, jx, jy, (1 - tx) * (1 - ty) AS w FROM p UNION ALL
@@ -464,13 +502,17 @@ b AS (SELECT l_returnflag, jx, jy, sum(w) AS w FROM (
   SELECT l_returnflag, jx, jy + 1, (1 - tx) * ty FROM p UNION ALL
   SELECT l_returnflag, jx + 1, jy + 1, tx * ty FROM p) GROUP BY 1, 2, 3),
 ax AS (SELECT l_returnflag, i, jy, sum(w * exp(-0.5 * pow((i - jx) * stx / bwx, 2))
-  / (bwx * sqrt(2 * pi()))) AS w FROM b JOIN st USING (l_returnflag), range(50) AS g(i)
+  / (bwx * sqrt(2 * pi()))) AS w FROM b JOIN st USING (l_returnflag), range({grid}) AS g(i)
   GROUP BY 1, 2, 3)
 SELECT l_returnflag, {rd('any_value(lox) + i * any_value(stx)', 8)} AS x,
   {rd('any_value(loy) + k * any_value(sty)', 8)} AS y,
   {rd('sum(w * exp(-0.5 * pow((k - jy) * sty / bwy, 2)) / (bwy * sqrt(2 * pi()))) / any_value(nx)', 8)}
   AS density
-FROM ax JOIN st USING (l_returnflag), range(50) AS h(k) GROUP BY l_returnflag, i, k"""
+FROM ax JOIN st USING (l_returnflag), range({grid}) AS h(k) GROUP BY l_returnflag, i, k"""
+
+
+ORACLE_SQL["kde_2d"] = kde_2d_sql(50)
+ORACLE_SQL["kde_2d_whole"] = kde_2d_sql(100)
 
 # ------------------------------------------------------------------ interpolation and fits
 

@@ -100,6 +100,14 @@ def positional_slice(spark, sf):
                                           "f", "a")
 
 
+@query
+def positional_slice_whole(spark, sf):
+    """The full slice 15..499 of sweeps that are longer than it."""
+    rows = readout.positional_slice(views.device_rows(spark, sf, views.WHOLE_POINTS), 15, 500)
+    return rounded(rows, 6, ["a"]).select("p_partkey", F.col("pos").cast("long").alias("pos"),
+                                          "f", "a")
+
+
 @query
 def pack_unpack(spark, sf):
     packed = readout.pack_sweep(views.event_sweep(spark, sf), ["user_id"], 10, 30)
@@ -241,7 +249,7 @@ def sweep_text_readout(spark, sf):
 
 @query
 def sweep_text_samples(spark, sf):
-    """The samples of the same files, per file."""
+    """The first 150 samples of the same files, per file (L2, with its row limit)."""
     files = views.sweep_texts(spark, sf).withColumns(sweeps.parse_sweep_name(F.col("file")))
     rows = sweeps.packed_sweeps(files, skip_foot=0, max_rows=150, round_after_unit=True,
                                 exclude_parts=())
@@ -250,6 +258,17 @@ def sweep_text_samples(spark, sf):
                                     r(F.sum("a"), 3).alias("a_sum"))
 
 
+@query
+def sweep_text_samples_whole(spark, sf):
+    """All samples of instrument files of full length, per file."""
+    files = views.sweep_texts(spark, sf, views.WHOLE_POINTS).withColumns(
+        sweeps.parse_sweep_name(F.col("file")))
+    rows = readout.unpack_sweep(sweeps.packed_sweeps(files, round_after_unit=True,
+                                                     exclude_parts=()))
+    return rows.groupBy("file").agg(F.count("a").alias("samples"), F.max("f").alias("f_max"),
+                                    r(F.sum("a"), 3).alias("a_sum"))
+
+
 @query
 def report_header_recipe(spark, sf):
     lines = reports.parse_report_lines(views.report_texts(spark, sf))
@@ -339,6 +358,13 @@ def envelope_all(spark, sf):
                    ["target", "min", "max"])
 
 
+@query
+def envelope_all_whole(spark, sf):
+    sweep = views.stack_responses(spark, sf, views.ALL_LAMBDAS)
+    return rounded(envelopes.envelope(sweep, ["p_partkey", "lambda_nm"]), 7,
+                   ["target", "min", "max"])
+
+
 @query
 def envelope_one_factor(spark, sf):
     sweep = views.stack_responses(spark, sf)
@@ -346,13 +372,12 @@ def envelope_one_factor(spark, sf):
                    ["min", "max"])
 
 
-@query
-def envelope_bands(spark, sf):
+def _bands(spark, sf, lambdas, n):
     stacks = views.stacks(spark, sf)
     for layer in sweepgrid.LAYERS:
         stacks = stacks.withColumn(f"middle_{layer}", F.col(f"target_{layer}"))
     keys = ["p_partkey", "p_brand", *[f"middle_{x}" for x in sweepgrid.LAYERS]]
-    sweep = sweepgrid.stack_sweep(stacks, keys, views.FEW_LAMBDAS, n=5)
+    sweep = sweepgrid.stack_sweep(stacks, keys, lambdas, n=n)
     sweep = with_responsivity(views.with_material_constants(sweep), tilted=False)
     middle = {x: F.col(f"middle_{x}") for x in sweepgrid.LAYERS}
     tolerance = {"si": 1.5e-6, "sio2": 5e-9, "si3n4": 5e-9}
@@ -364,6 +389,17 @@ def envelope_bands(spark, sf):
     return rounded(found, 7, [f"{b}_{e}" for b in bands for e in ("min", "max")])
 
 
+@query
+def envelope_bands(spark, sf):
+    return _bands(spark, sf, views.FEW_LAMBDAS, 5)
+
+
+@query
+def envelope_bands_whole(spark, sf):
+    """Nine levels, a quarter of the tolerance apart, tell all four bands from each other."""
+    return _bands(spark, sf, views.ALL_LAMBDAS, 9)
+
+
 @query
 def envelope_by_angle(spark, sf):
     sweep = views.stack_responses(spark, sf, views.FEW_LAMBDAS, views.ANGLES)
@@ -379,6 +415,14 @@ def target_by_angle(spark, sf):
                    ["sabs", "min", "max"])
 
 
+@query
+def target_by_angle_whole(spark, sf):
+    sweep = views.stack_responses(spark, sf, views.ALL_LAMBDAS, views.ANGLES)
+    rows = envelopes.targets_with_envelope_by_angle(sweep)
+    return rounded(rows.select("angle_deg", "p_partkey", "lambda_nm", "sabs", "min", "max"), 7,
+                   ["sabs", "min", "max"])
+
+
 @query
 def point_table(spark, sf):
     sweep = views.stack_responses(spark, sf, views.FEW_LAMBDAS)
@@ -409,9 +453,9 @@ def decile_bands_long(spark, sf):
     return rounded(stats.bands_long(bands, ["l_quantity"], "value"), 4, ["value"])
 
 
-def _peaks(spark, sf):
+def _peaks(spark, sf, lambdas=views.LAMBDAS):
     # A coarser responsivity settles ties between wavelengths the same way everywhere.
-    sweep = views.stack_responses(spark, sf).withColumn("sabs", r("sabs", 7))
+    sweep = views.stack_responses(spark, sf, lambdas).withColumn("sabs", r("sabs", 7))
     return stats.peak_row(sweep, ["p_partkey", "combo"], "sabs", "lambda_nm", ["thickness_si"])
 
 
@@ -423,6 +467,14 @@ def peak_row(spark, sf):
         F.sum("sabs").alias("sabs_sum")), 7, ["sabs_sum"])
 
 
+@query
+def peak_row_whole(spark, sf):
+    return rounded(_peaks(spark, sf, views.ALL_LAMBDAS).groupBy("p_partkey").agg(
+        F.count("*").alias("combos"), F.min("lambda_nm").alias("lambda_min"),
+        F.max("lambda_nm").alias("lambda_max"), F.sum("lambda_nm").alias("lambda_sum"),
+        F.sum("sabs").alias("sabs_sum")), 7, ["sabs_sum"])
+
+
 @query
 def peak_summary(spark, sf):
     found = stats.summary_table(_peaks(spark, sf), ["lambda_nm", "sabs"])
@@ -435,6 +487,12 @@ def peak_ecdf(spark, sf):
                    ["ecdf"])
 
 
+@query
+def peak_ecdf_whole(spark, sf):
+    return rounded(stats.ecdf(_peaks(spark, sf, views.ALL_LAMBDAS), [], "lambda_nm"), 8,
+                   ["ecdf"])
+
+
 @query
 def value_ecdf(spark, sf):
     events = views.table(spark, sf, "events").select("event_type", "value")
@@ -464,6 +522,15 @@ def kde_2d(spark, sf):
     return rounded(stats.kde_2d(items, ["l_returnflag"], "x", "y", 50), 8, ["x", "y", "density"])
 
 
+@query
+def kde_2d_whole(spark, sf):
+    """The same on the operator's own grid."""
+    items = views.table(spark, sf, "lineitem").select(
+        "l_returnflag", (F.col("l_quantity") + F.col("l_discount") * 10).alias("x"),
+        (F.col("l_extendedprice") / 1000).alias("y"))
+    return rounded(stats.kde_2d(items, ["l_returnflag"], "x", "y"), 8, ["x", "y", "density"])
+
+
 # ------------------------------------------------------------------ interpolation and fits
 
 def _knots(spark, sf):
@@ -549,3 +616,12 @@ def fit_rational(spark, sf):
         "points", F.filter("points", lambda x: (x["pos"] >= 8) & (x["pos"] < 600)))
     fitted = fits.fit_rational_packed(packed, ["p_partkey"])
     return fits.cutoff_of_fit(fitted).select("p_partkey", "sse", "plateau", "cutoff_mhz")
+
+
+@query
+def fit_rational_whole(spark, sf):
+    """The full slice 8..599 of sweeps that are longer than it."""
+    packed = views.device_sweep(spark, sf, views.WHOLE_POINTS).withColumn(
+        "points", F.filter("points", lambda x: (x["pos"] >= 8) & (x["pos"] < 600)))
+    fitted = fits.fit_rational_packed(packed, ["p_partkey"])
+    return fits.cutoff_of_fit(fitted).select("p_partkey", "sse", "plateau", "cutoff_mhz")

@@ -19,6 +19,10 @@ from lumisweep.operators.keyed import dense_positions
 from lumisweep.operators.sweepgrid import spread, stack_sweep, wavelength_grid
 
 DEVICE_POINTS = 200
+#: Samples per sweep and wavelengths of the queries named ``*_whole``; their sweeps end at the
+#: same frequency, since the rational model repeats itself beyond 3 GHz.
+WHOLE_POINTS = 1000
+ALL_LAMBDAS = [float(v) for v in range(400, 1101)]
 LAMBDAS = [float(v) for v in range(400, 1101, 50)]
 FEW_LAMBDAS = [500.0, 660.0, 800.0, 905.0, 1064.0]
 ANGLES = (0.0, 15.0, 30.0)
@@ -50,9 +54,9 @@ def repeat_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_extendedprice") / 10000).alias("a"))
 
 
-def _device_level(i: Column) -> tuple[Column, Column]:
+def _device_level(i: Column, points: int) -> tuple[Column, Column]:
     """Frequency and level of sample ``i`` of a part: a known pole plus a small ripple."""
-    f = (10 * i).cast("double")
+    f = (10 * DEVICE_POINTS // points * i).cast("double")
     f0 = F.lit(200.0) + 5 * F.col("p_size")
     ripple = ((F.col("p_partkey") * 37 + i * 101) % 97 / F.lit(97.0) - 0.5) * 0.1
     return f, F.lit(-20.0) * F.log10(1 + F.pow(f / f0, 2)) + ripple
@@ -64,21 +68,22 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
                   ["p_partkey"])
 
 
-def device_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def device_sweep(spark: SparkSession, sf_dir: str,
+                 points: int = DEVICE_POINTS) -> DataFrame:
     """V3, packed: ``p_partkey, p_brand, p_size, points``."""
     def point(i: Column) -> Column:
-        f, a = _device_level(i)
+        f, a = _device_level(i, points)
         return F.struct((i - 1).alias("pos"), f.alias("f"), a.alias("a"))
 
     return _parts(spark, sf_dir).withColumn("points", F.transform(
-        F.sequence(F.lit(1), F.lit(DEVICE_POINTS)), point))
+        F.sequence(F.lit(1), F.lit(points)), point))
 
 
-def device_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def device_rows(spark: SparkSession, sf_dir: str, points: int = DEVICE_POINTS) -> DataFrame:
     """V3, one row per sample."""
-    f, a = _device_level(F.col("_i"))
+    f, a = _device_level(F.col("_i"), points)
     rows = _parts(spark, sf_dir).withColumn(
-        "_i", F.explode(F.sequence(F.lit(1), F.lit(DEVICE_POINTS))))
+        "_i", F.explode(F.sequence(F.lit(1), F.lit(points))))
     return rows.select("p_partkey", "p_brand", "p_size", (F.col("_i") - 1).alias("pos"),
                        f.alias("f"), a.alias("a"))
 
@@ -158,7 +163,7 @@ def measured_indices(spark: SparkSession) -> DataFrame:
     return with_material_constants(wavelength_grid(spark, 400, 1100, 25))
 
 
-def sweep_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sweep_texts(spark: SparkSession, sf_dir: str, points: int = DEVICE_POINTS) -> DataFrame:
     """V3 written out as instrument files: ``file, content``, one row per part."""
     def line(x: Column) -> Column:
         level = F.translate(F.round(x["a"], 4).cast("decimal(12,4)").cast("string"), ".", ",")
@@ -172,7 +177,7 @@ def sweep_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.array(F.lit("Type;demo"), F.lit("Date;none"), F.lit("Trace;1;"))
     foot = F.array_repeat(F.lit("end;0"), 11)
     lines = F.concat(head, F.transform("points", line), foot)
-    return device_sweep(spark, sf_dir).select(
+    return device_sweep(spark, sf_dir, points).select(
         name.alias("file"), F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))
 
 
