@@ -161,3 +161,99 @@ SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT
        first_item
 FROM documents LEFT JOIN counted USING (doc_id)
 """
+
+ORACLE_SQL["op11_conversation_repair"] = r"""
+WITH RECURSIVE bits AS (SELECT range::BIGINT AS b FROM range(256)),
+crc AS (
+  SELECT list(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+           CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t
+  FROM bits),
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([ascii(x) FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':'
+                                                      || coalesce(turn::VARCHAR, ' '), '')],
+             lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT),
+             4294967295) % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank
+  FROM damaged),
+judged AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+         left(role, 1) AS initial,
+         left(role, 1) || lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i)
+           NOT IN ('su', 'ua', 'au') AS illegal
+  FROM placed),
+faults AS (
+  SELECT *, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut
+  FROM judged),
+counts AS (
+  SELECT conv_id, max(i) AS n, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated,
+         count(*) FILTER (WHERE illegal) AS illegal,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM faults GROUP BY conv_id),
+togo AS (
+  SELECT conv_id, n + 1 AS i, {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS g,
+         {'c': 6, 'a': 'II', 'r': ['user:', 'assistant:']} AS s,
+         {'c': 3, 'a': 'I', 'r': ['assistant:']} AS u,
+         {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS v
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i,
+         least(g, {'c': 3 + u.c, 'a': 'I' || u.a, 'r': list_concat(['user:'], u.r)}),
+         least(s, {'c': 3 + u.c, 'a': 'I' || u.a, 'r': list_concat(['user:'], u.r)}), u, v
+  FROM (
+    SELECT conv_id, i, g, s,
+           least(u, {'c': 3 + v.c, 'a': 'I' || v.a, 'r': list_concat(['assistant:'], v.r)}) AS u,
+           least(v, {'c': 3 + u.c, 'a': 'I' || u.a, 'r': list_concat(['user:'], u.r)}) AS v
+    FROM (
+      SELECT t.conv_id, f.i,
+        least({'c': 4 + g.c, 'a': 'D' || g.a, 'r': g.r},
+              CASE WHEN NOT blank AND NOT dup AND initial = 's' THEN
+                {'c': 3 * cut::INT + s.c, 'a': 'K' || s.a, 'r': list_concat([role || ':' || text], s.r)}
+              WHEN NOT blank AND NOT dup AND initial = 'u' THEN
+                {'c': 3 * cut::INT + u.c, 'a': 'K' || u.a, 'r': list_concat([role || ':' || text], u.r)}
+              END,
+              CASE WHEN NOT blank AND NOT dup THEN
+                {'c': 3 + 3 * cut::INT + u.c, 'a': 'R' || u.a, 'r': list_concat(['user:' || text], u.r)}
+              END) AS g,
+        least({'c': 4 + s.c, 'a': 'D' || s.a, 'r': s.r},
+              CASE WHEN NOT blank AND NOT dup AND initial = 'u' THEN
+                {'c': 3 * cut::INT + u.c, 'a': 'K' || u.a, 'r': list_concat([role || ':' || text], u.r)}
+              END,
+              CASE WHEN NOT blank AND NOT dup THEN
+                {'c': 3 + 3 * cut::INT + u.c, 'a': 'R' || u.a, 'r': list_concat(['user:' || text], u.r)}
+              END) AS s,
+        least({'c': 4 + u.c, 'a': 'D' || u.a, 'r': u.r},
+              CASE WHEN NOT blank AND NOT dup AND initial = 'a' THEN
+                {'c': 3 * cut::INT + v.c, 'a': 'K' || v.a, 'r': list_concat([role || ':' || text], v.r)}
+              END,
+              CASE WHEN NOT blank AND NOT dup THEN
+                {'c': 3 + 3 * cut::INT + v.c, 'a': 'R' || v.a, 'r': list_concat(['assistant:' || text], v.r)}
+              END) AS u,
+        least({'c': 4 + v.c, 'a': 'D' || v.a, 'r': v.r},
+              CASE WHEN NOT blank AND NOT dup AND initial = 'u' THEN
+                {'c': 3 * cut::INT + u.c, 'a': 'K' || u.a, 'r': list_concat([role || ':' || text], u.r)}
+              END,
+              CASE WHEN NOT blank AND NOT dup THEN
+                {'c': 3 + 3 * cut::INT + u.c, 'a': 'R' || u.a, 'r': list_concat(['user:' || text], u.r)}
+              END) AS v
+      FROM togo t JOIN faults f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = t.i - 1))),
+best AS (
+  SELECT conv_id, g.c::BIGINT AS cost, g.a AS audit, sha256(array_to_string(g.r, chr(10))) AS hash
+  FROM togo WHERE i = 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank,
+       coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+       coalesce(hash, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id
+         LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id
+"""

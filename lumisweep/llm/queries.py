@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.llm import (
-    chat, decontaminate, langid, mixing, neardup, permutation, substring, tokencount, topk, toxicity,
+    chat, decontaminate, langid, mixing, neardup, permutation, repair, substring, tokencount, topk, toxicity,
     urlfilter,
 )
 from lumisweep.llm.common import read
@@ -74,6 +74,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    rows, report = repair.repair(repair.damage(conversations))
+    return repair.digests(rows, report, conversations)
+
+
 def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return permutation.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
@@ -90,5 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_paths": op8_chat_paths,
     "op9_token_counts": op9_token_counts,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_permutation_index": op12_permutation_index,
 }
