@@ -47,7 +47,7 @@ PIVOTS, PREFIX, SHARE, LEAST, CLOSE = 256, 128, 0.08, 512, 0.25
 SAMPLE_ROWS = 1 << 16
 SPARE, NEAR = 8, 0.7
 SHARD_BYTES = 4 << 20
-BLOCK_QUERIES = 1024
+QUERY_BYTES = 2 << 20
 
 INDEX = ("n int, shard int, pivots binary, ids binary, vectors binary, starts binary, "
          "posted binary, ranks binary, scale double, longest double")
@@ -94,14 +94,29 @@ def inverted_files(order: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarr
     return starts, by_pivot // prefix, by_pivot % prefix
 
 
-def shared_ranks(asked: np.ndarray, starts: np.ndarray, posted: np.ndarray, ranks: np.ndarray,
-                 rows: int) -> np.ndarray:
+def opened(starts: np.ndarray, posted: np.ndarray, ranks: np.ndarray, rows: int, prefix: int
+           ) -> np.ndarray:
+    """The files unpacked: per pivot a line with ``p - rank`` of its vectors, 0 for others."""
+    # The sum over a whole prefix fits the type too.
+    small = prefix * (prefix + 1) // 2 < 1 << 16
+    lines = np.zeros((len(starts) - 1, rows), np.uint16 if small else np.uint32)
+    lines[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), posted] = prefix - ranks
+    return lines
+
+
+def rank_caps(prefix: int, lines: np.ndarray) -> np.ndarray:
+    """Per rank of a query's pivot the most that a vector can share by it, as whole lines."""
+    caps = np.arange(prefix, 0, -1, dtype=lines.dtype)
+    return np.repeat(caps[:, None], lines.shape[1], axis=1)
+
+
+def shared_ranks(asked: np.ndarray, lines: np.ndarray, caps: np.ndarray) -> np.ndarray:
     """Sum of ``p - max(rank, rank)`` over shared pivots: large where footrule is small."""
-    prefix = len(asked)
-    gain = np.zeros(rows, np.int64)
-    for rank, pivot in enumerate(asked):
-        file = slice(starts[pivot], starts[pivot + 1])
-        gain[posted[file]] += prefix - np.maximum(ranks[file], rank)
+    gain = np.zeros(lines.shape[1], lines.dtype)
+    part = np.empty_like(gain)
+    for pivot, cap in zip(asked, caps):
+        np.minimum(lines[pivot], cap, out=part)
+        np.add(gain, part, out=gain)
     return gain
 
 
@@ -109,7 +124,7 @@ def inner_products(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Products summed from the first component to the last, as a loop over them would."""
     with np.errstate(over="ignore", invalid="ignore"):
         total = np.zeros(len(x))
-        for column, component in zip(x.T, query):
+        for column, component in zip(np.ascontiguousarray(x.T), query):
             total += column * component
     return total
 
@@ -212,7 +227,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, share: float = SHARE,
     asked = queries.groupBy("vec_id").agg(F.min(F.struct("v", "n")).alias("q")).select(
         "vec_id", "q.v", "q.n")
     blocks = asked.groupBy("n").agg(
-        F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("blocks"))
+        F.ceil(F.count("*") * F.col("n") * 8 / QUERY_BYTES).cast("int").alias("blocks"))
     block = asked.join(blocks, "n")
     shards = index.groupBy("n").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
     wanted = (block.groupBy("n", dealt(block, F.col("blocks")).alias("block"))
@@ -246,12 +261,13 @@ def look_up(row: dict, query_ids: np.ndarray, q: np.ndarray, k: int, share: floa
     ids = np.frombuffer(row["ids"], np.int64)
     points = np.frombuffer(row["pivots"]).reshape(-1, row["n"] + 1)
     starts = np.frombuffer(row["starts"], np.int64)
-    posted = np.frombuffer(row["posted"], np.int32).astype(np.int64)
-    ranks = np.frombuffer(row["ranks"], np.int16).astype(np.int64)
+    posted = np.frombuffer(row["posted"], np.int32)
     prefix = len(posted) // len(ids)
+    lines = opened(starts, posted, np.frombuffer(row["ranks"], np.int16), len(ids), prefix)
+    caps = rank_caps(prefix, lines)
     flat = np.column_stack([q / row["scale"], np.zeros(len(q))])
     for own, query, asked in zip(query_ids, q, nearest_pivots(flat, points, prefix)):
-        gain = shared_ranks(asked, starts, posted, ranks, len(ids))
+        gain = shared_ranks(asked, lines, caps)
         left = candidates(gain, prefix, share, least)
         left = left[ids[left] != own]
         scores = inner_products(x[left], query)
