@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.llm import (
-    chat, decontaminate, langid, mixing, neardup, permutation, repair, substring, tokencount, topk, toxicity,
+    alignment, chat, decontaminate, langid, mixing, neardup, permutation, repair, substring, tokencount, topk, toxicity,
     urlfilter,
 )
 from lumisweep.llm.common import read
@@ -85,6 +85,13 @@ def op12_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read(spark, sf_dir, "documents"),
+                           public_tokenizers.path("byte_bpe_50k.json"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_decontamination": op2_decontamination,
@@ -98,4 +105,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_top_k": op10_exact_top_k,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_permutation_index": op12_permutation_index,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
