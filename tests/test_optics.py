@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import optical_tables
+from measured import optical_tables
 from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import with_responsivity

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import result_files
+from measured import result_files
 from pyspark.sql import functions as F
 
 from lumisweep.functions import formatting, rounding
