@@ -111,51 +111,6 @@ def with_reflectance(df: DataFrame, sio2: str = "thickness_sio2",
     return apply_steps(df, reflectance_steps(sio2, si3n4, out, tilted), keep)
 
 
-def reflectance_slope_steps(sio2: str, si3n4: str, out: str) -> list[Step]:
-    """Reflectance at 0 degrees and its slopes ``<out>_sio2``, ``<out>_si3n4`` per metre."""
-    p = f"_{out}"
-
-    def carry(q: str, b: str, c: str, turn: tuple[str, str]) -> list[Step]:
-        """Field (b, c) through the top layer; ``turn`` is (cos, sin) or their slopes."""
-        co, si = turn
-        return [
-            (f"{q}gr", f"({c}r * n_si3n4 + {c}i * k_si3n4) * {p}q1"),
-            (f"{q}gi", f"({c}i * n_si3n4 - {c}r * k_si3n4) * {p}q1"),
-            (f"{q}br", f"{co} * {b}r - {si} * {q}gi"), (f"{q}bi", f"{co} * {b}i + {si} * {q}gr"),
-            (f"{q}cr", f"{co} * {c}r - {si} * (n_si3n4 * {b}i + k_si3n4 * {b}r)"),
-            (f"{q}ci", f"{co} * {c}i + {si} * (n_si3n4 * {b}r - k_si3n4 * {b}i)"),
-            (f"{q}nr", f"n_env * {q}br - {q}cr"), (f"{q}ni", f"n_env * {q}bi - {q}ci"),
-            (f"{q}dr", f"n_env * {q}br + {q}cr"), (f"{q}di", f"n_env * {q}bi + {q}ci")]
-
-    def slope(q: str, wave: str, name: str) -> list[Step]:
-        v = f"{p}v"
-        top = f"{v}nr * {q}nr + {v}ni * {q}ni"
-        bottom = f"{v}dr * {q}dr + {v}di * {q}di"
-        return [(name, f"2 * {wave} * ({top} - {out} * ({bottom})) / {p}u")]
-
-    return [
-        (f"{p}w2", "2e9D * pi() / lambda_nm * n_sio2"),
-        (f"{p}w1", "2e9D * pi() / lambda_nm * n_si3n4"),
-        (f"{p}c2", f"cos({p}w2 * {sio2})"), (f"{p}s2", f"sin({p}w2 * {sio2})"),
-        (f"{p}c1", f"cos({p}w1 * {si3n4})"), (f"{p}s1", f"sin({p}w1 * {si3n4})"),
-        (f"{p}q1", "1 / (n_si3n4 * n_si3n4 + k_si3n4 * k_si3n4)"),
-        (f"{p}q2", "1 / (n_sio2 * n_sio2 + k_sio2 * k_sio2)"),
-        (f"{p}er", f"(n_si * n_sio2 + k_si * k_sio2) * {p}q2"),
-        (f"{p}ei", f"(k_si * n_sio2 - n_si * k_sio2) * {p}q2"),
-        # Field above the lower layer, and its slope with that layer's phase.
-        (f"{p}br", f"{p}c2 - {p}s2 * {p}ei"), (f"{p}bi", f"{p}s2 * {p}er"),
-        (f"{p}cr", f"{p}c2 * n_si - {p}s2 * k_sio2"), (f"{p}ci", f"{p}c2 * k_si + {p}s2 * n_sio2"),
-        (f"{p}xr", f"-{p}s2 - {p}c2 * {p}ei"), (f"{p}xi", f"{p}c2 * {p}er"),
-        (f"{p}yr", f"-{p}s2 * n_si - {p}c2 * k_sio2"),
-        (f"{p}yi", f"-{p}s2 * k_si + {p}c2 * n_sio2"),
-        *carry(f"{p}v", f"{p}b", f"{p}c", (f"{p}c1", f"{p}s1")),
-        *carry(f"{p}l", f"{p}x", f"{p}y", (f"{p}c1", f"{p}s1")),
-        *carry(f"{p}t", f"{p}b", f"{p}c", (f"(-{p}s1)", f"{p}c1")),
-        (f"{p}u", f"{p}vdr * {p}vdr + {p}vdi * {p}vdi"),
-        (out, f"({p}vnr * {p}vnr + {p}vni * {p}vni) / {p}u"),
-        *slope(f"{p}l", f"{p}w2", f"{out}_sio2"), *slope(f"{p}t", f"{p}w1", f"{out}_si3n4")]
-
-
 def with_responsivity(df: DataFrame, tilted: bool = True) -> DataFrame:
     """Add absorption, quantum_eff, r, t and the responsivity ``sabs``.
 

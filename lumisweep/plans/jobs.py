@@ -11,12 +11,17 @@ from lumisweep.functions.optics import with_responsivity
 from lumisweep.operators.fits import cutoff_of_fit, fit_lowpass2, fit_rational_packed
 from lumisweep.operators.readout import (cutoff_packed, cutoff_readout, positional_slice,
                                          unpack_sweep, with_rise_time)
+from lumisweep.operators.keyed import join_on
 from lumisweep.operators.resample import refractive_indices
 from lumisweep.operators.rollup import (lookup_join, mean_over_repeats, part_operator_summary,
                                         rollup_mean_of_ratios, rollup_ratio_of_means,
                                         threshold_counts)
+from lumisweep.operators.stackfit import (coefficient_summary, fit_layer_stack,
+                                          predict_layer_stack, residual_summary)
 from lumisweep.operators.sweepgrid import (level_values, tolerance_sweep, wavelength_grid,
                                            with_indices)
+from lumisweep.sources.reports import (measured_with_header, report_data, report_errors,
+                                       report_header, report_lines)
 from lumisweep.sources.sweeps import packed_sweeps, sweep_files
 from lumisweep.sources.tables import device_lookup
 
@@ -49,7 +54,7 @@ def averaged_readout_job(spark: SparkSession, path: str, fmin: float = 10.0,
         "device", *SWEEP_KEYS, "plateau", "cutoff_mhz", "risetime_ps", "ubr_V")
 
 
-def lowpass_job(spark: SparkSession, path: str, lo: int = 15, hi: int = 499) -> DataFrame:
+def lowpass_job(spark: SparkSession, path: str, lo: int = 15, hi: int = 500) -> DataFrame:
     """Sweep files -> samples ``lo`` to ``hi`` - 1 -> low-pass fit per file -> mean over repeats.
 
     The rise time is that of the mean absolute cut-off.  A file without samples in the
@@ -89,3 +94,47 @@ def responsivity_sweep_job(spark: SparkSession, optical: DataFrame, targets: Seq
     lambdas = [float(v) for v in range(start, stop + 1, step)]
     sweep = tolerance_sweep(spark, *lists, lambdas=lambdas, targets=targets, angles=angles)
     return with_responsivity(with_indices(sweep, indices), tilted=tuple(angles) != (0.0,))
+
+
+DEVICE_KEYS = ["path", "article_name", "fa_nr", "device_nr"]
+
+
+def stack_fit_job(spark: SparkSession, path: str, optical: DataFrame,
+                  **options) -> dict[str, DataFrame]:
+    """Report files -> layer stack per report and device (E4); see ``fit_reports``."""
+    return fit_reports(report_lines(spark, path), optical, **options)
+
+
+def fit_reports(reports: DataFrame, optical: DataFrame, y: str = "empfindlichkeit",
+                start: dict[str, float] | None = None,
+                against: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """Reports as rows of lines -> refractive indices -> layer stack -> statistics.
+
+    ``optical`` has ``material, lambda_nm, n, k, alpha``.  Every distinct wavelength that any
+    report measures is resampled once, and this dictionary is joined back to the rows.
+
+    * ``fits``: thicknesses, ``converged``, ``sse`` and ``rmse`` per report and device
+    * ``coefficients``: estimate, standard error, t and p value per parameter
+    * ``curves``: measured rows with the fitted value and the residual
+    * ``rejected``: ``path, reason`` of the reports that give no fit: sections missing, no
+      measured value, or a fit that does not settle (these stay in ``fits`` as well)
+    """
+    data = report_data(reports, ("wellenlange", y)).select(
+        "file", "path", "pos", F.col("wellenlange").alias("lambda_nm"), F.col(y).alias("y"))
+    measured = (measured_with_header(data, report_header(reports))
+                .where(F.col("lambda_nm").isNotNull() & F.col("y").isNotNull()))
+    indices = refractive_indices(measured.select("lambda_nm"), optical).withColumn(
+        "n_env", F.lit(1.0))
+    fitted = fit_layer_stack(measured, indices, DEVICE_KEYS, "y", start)
+    curves = predict_layer_stack(measured, indices, fitted, DEVICE_KEYS, "y")
+    rmse = residual_summary(curves, DEVICE_KEYS).select(*DEVICE_KEYS, "rmse")
+    empty = (reports.select("path").join(report_errors(reports).select("path"), "path", "left_anti")
+             .join(measured.select("path").distinct(), "path", "left_anti")
+             .select("path", F.lit("no measured value").alias("reason")))
+    unsettled = fitted.where(~F.col("converged")).select(
+        "path", F.lit("fit does not settle").alias("reason"))
+    return {"fits": join_on(fitted.drop("inverse"), rmse, DEVICE_KEYS),
+            "coefficients": coefficient_summary(fitted, DEVICE_KEYS, against),
+            "curves": curves,
+            "rejected": report_errors(reports).select("path", "reason").unionByName(empty)
+            .unionByName(unsettled)}

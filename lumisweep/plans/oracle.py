@@ -603,11 +603,12 @@ ms AS MATERIALIZED (SELECT p_partkey, lam, n_env, n_si, k_si, alpha_si, n_sio2,
 NUDGE = 1e-3
 
 
-def stack_fit_ctes() -> str:
-    # Plain Newton steps that begin at the stack the view was made with.
-    ctes = [MEASURED, "q0 AS (SELECT p_partkey, (95 + p_size % 11) / 10.0::DOUBLE AS p1, "
+def stack_fit_ctes(measured: str = MEASURED) -> str:
+    # Plain Newton steps that begin at the stack the view was made with; s<i>, h<i> hold the
+    # normal matrix and its determinant at the parameters q<i>.
+    ctes = [measured, "q0 AS (SELECT p_partkey, (95 + p_size % 11) / 10.0::DOUBLE AS p1, "
             "(13 + p_partkey % 5)::DOUBLE AS p2, (67 + p_partkey % 7)::DOUBLE AS p3 FROM part)"]
-    for i, damp in enumerate([0] * 6):
+    for i, damp in enumerate([0] * 7):
         five = [reflect("r0", "d2", "d3", "te", False), reflect("ra", "d2 - 1e-12", "d3", "te", False),
                 reflect("rb", "d2 + 1e-12", "d3", "te", False),
                 reflect("rc", "d2", "d3 - 1e-12", "te", False),
@@ -623,7 +624,7 @@ z{i} AS (SELECT p_partkey, p1, p2, p3, y - qe * (1 - pass) * (1 - r0) AS e,
   qe * alpha_si * 1e-4 * pass * (1 - r0) AS j1,
   qe * (1 - pass) * (ra - rb) / {2 * NUDGE}::DOUBLE AS j2,
   qe * (1 - pass) * (rc - re) / {2 * NUDGE}::DOUBLE AS j3 FROM y{i}),
-s{i} AS (SELECT p_partkey, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3,
+s{i} AS (SELECT p_partkey, count(e) AS n, sum(e * e) AS sse, any_value(p1) AS p1, any_value(p2) AS p2, any_value(p3) AS p3,
   sum(j1 * j1) * {1 + damp} AS a, sum(j1 * j2) AS b, sum(j1 * j3) AS c,
   sum(j2 * j2) * {1 + damp} AS d, sum(j2 * j3) AS f, sum(j3 * j3) * {1 + damp} AS g,
   sum(j1 * e) AS u, sum(j2 * e) AS v, sum(j3 * e) AS w FROM z{i} GROUP BY 1),
@@ -639,6 +640,50 @@ ORACLE_SQL["fit_layer_stack"] = f"""
 WITH {stack_fit_ctes()} SELECT p_partkey, true AS converged, {rd('p1', 4)} AS si_um, {rd('p2', 3)} AS sio2_nm,
   {rd('p3', 3)} AS si3n4_nm FROM q6"""
 
+MEASURED_REPORTS = f"""ms0 AS (SELECT p_partkey, i, (400 + 25 * i)::DOUBLE + (p_partkey % 40) * 0.5::DOUBLE
+  + 0.25::DOUBLE AS lam, (95 + p_size % 11) * 1e-7 AS d1, (13 + p_partkey % 5) * 1e-9 AS d2,
+  (67 + p_partkey % 7) * 1e-9 AS d3 FROM part, range(28) AS t(i) WHERE p_partkey % 50 <> 0),
+msc AS (SELECT *, {CONSTANTS} FROM ms0),
+{chain('msc', 'ms1', reflect('r', 'd2', 'd3', 'te', False))},
+ms2 AS (SELECT *, (1 - exp(-alpha_si * 100 * d1)) * lam * {QE_PER_NM!r} * (1 - r) AS sabs FROM ms1),
+ms AS MATERIALIZED (SELECT p_partkey, lam, n_env, n_si, k_si, alpha_si, n_sio2, k_sio2, n_si3n4,
+  k_si3n4, {rd("""sabs + (((p_partkey * 37 + i * 101) % 97)::DOUBLE / 97 - 0.5) * 0.002""", 6)} AS y
+  FROM ms2)"""
+
+ORACLE_SQL["stack_fit_reports"] = f"""
+WITH {stack_fit_ctes(MEASURED_REPORTS)}
+SELECT 'stack_' || lpad(p_partkey::VARCHAR, 12, '0') || '.csv' AS path, p_partkey::VARCHAR AS device_nr,
+  'FA' || (p_partkey % 13) AS fa_nr, p_brand AS article_name, n, true AS converged,
+  {rd('p1', 4)} AS si_um, {rd('p2', 3)} AS sio2_nm, {rd('p3', 3)} AS si3n4_nm,
+  {rd('sqrt(sse / n)', 8)} AS rmse FROM s6 JOIN part USING (p_partkey)"""
+
+
+def student_odd(t: str, df: int) -> str:
+    """Two-sided p value for odd ``df`` as the finite sum of powers of the cosine."""
+    cosine, part, terms = f"cos(atan({t} / sqrt({df})))", 1.0, []
+    for j in range((df - 1) // 2):
+        terms.append(f"{part!r}::DOUBLE * pow({cosine}, {2 * j + 1})")
+        part *= (2 * j + 2) / (2 * j + 3)
+    return (f"(1 - 2 / pi() * (atan({t} / sqrt({df})) + sin(atan({t} / sqrt({df})))"
+            f" * ({' + '.join(terms)})))")
+
+
+ORACLE_SQL["stack_fit_coefficients"] = f"""
+WITH {stack_fit_ctes(MEASURED_REPORTS)},
+co AS (SELECT p_partkey, n - 3 AS df, sqrt(sse / (n - 3)) AS sd, unnest([
+    {{'parameter': 'si', 'est': p1, 'nominal': 10.0::DOUBLE, 'v': (d * g - f * f) / det}},
+    {{'parameter': 'sio2', 'est': p2, 'nominal': 15.0::DOUBLE, 'v': (a * g - c * c) / det}},
+    {{'parameter': 'si3n4', 'est': p3, 'nominal': 70.0::DOUBLE, 'v': (a * d - b * b) / det}}])
+    AS q FROM h6),
+tv AS (SELECT *, (q.est - q.nominal) / (sd * sqrt(q.v)) AS t FROM co)
+SELECT p_partkey::VARCHAR AS device_nr, q.parameter AS parameter, {rd('q.est', 3)} AS estimate,
+  {rd('sd * sqrt(q.v)', 5)} AS std_error, {rd('t', 2)} AS t_value,
+  {rd(student_odd('abs(t)', 25), 5)} AS p_value, {rd('sd', 8)} AS residual_sd, df FROM tv"""
+
+ORACLE_SQL["stack_fit_rejected"] = """
+SELECT 'stack_' || lpad(p_partkey::VARCHAR, 12, '0') || '.csv' AS path, 'no data section' AS reason
+FROM part WHERE p_partkey % 50 = 0"""
+
 ORACLE_SQL["fit_lowpass2_wide"] = """
 SELECT o_orderkey, 1.0::DOUBLE AS ratio, 0.0::DOUBLE AS level_error, true AS positive,
   true AS converged FROM orders"""

@@ -12,9 +12,10 @@ from lumisweep.functions.formatting import (clean_name_column, format_eng, forma
 from lumisweep.functions.optics import layer_angle, with_responsivity
 from lumisweep.functions.rounding import (decimal_comma_to_double, double_to_decimal_comma,
                                           hz_to_mhz, rise_time_ps, round_even, round_numeric)
-from lumisweep.operators import envelopes, fits, readout, resample, rollup, stats, sweepgrid
+from lumisweep.operators import (envelopes, fits, readout, resample, rollup, stackfit, stats,
+                                 sweepgrid)
 from lumisweep.operators.keyed import dense_positions
-from lumisweep.plans import views
+from lumisweep.plans import jobs, views
 from lumisweep.plans.cut_queries import CUT_QUERIES
 from lumisweep.plans.views import V2_KEYS
 from lumisweep.sources import reports, sweeps
@@ -573,7 +574,7 @@ def fit_lowpass2(spark, sf):
 
 @query
 def fit_layer_stack(spark, sf):
-    fitted = fits.fit_layer_stack(views.measured_curves(spark, sf),
+    fitted = stackfit.fit_layer_stack(views.measured_curves(spark, sf),
                                   views.measured_indices(spark), ["p_partkey"], "y")
     return fitted.select("p_partkey", "converged", r(F.col("thickness_si") * 1e6, 4).alias("si_um"),
                          r(F.col("thickness_sio2") * 1e9, 3).alias("sio2_nm"),
@@ -596,7 +597,7 @@ def fit_layer_stack_wide(spark, sf):
     """Stacks from 5 to 380 um are found, and the fit says so."""
     curves = views.wide_stacks(spark, sf)
     truth = curves.select("p_partkey", F.col("thickness_si").alias("d")).distinct()
-    found = fits.fit_layer_stack(curves, views.measured_indices(spark), ["p_partkey"], "y")
+    found = stackfit.fit_layer_stack(curves, views.measured_indices(spark), ["p_partkey"], "y")
     return found.join(truth, "p_partkey").select(
         "p_partkey", r(F.col("thickness_si") / F.col("d"), 3).alias("ratio"), "converged")
 
@@ -605,9 +606,9 @@ def fit_layer_stack_wide(spark, sf):
 def fit_residuals(spark, sf):
     curves = views.measured_curves(spark, sf)
     indices = views.measured_indices(spark)
-    fitted = fits.fit_layer_stack(curves, indices, ["p_partkey"], "y")
-    predicted = fits.predict_layer_stack(curves, indices, fitted, ["p_partkey"], "y")
-    return rounded(fits.residual_summary(predicted, ["p_partkey"]), 7, ["sse", "rmse"])
+    fitted = stackfit.fit_layer_stack(curves, indices, ["p_partkey"], "y")
+    predicted = stackfit.predict_layer_stack(curves, indices, fitted, ["p_partkey"], "y")
+    return rounded(stackfit.residual_summary(predicted, ["p_partkey"]), 7, ["sse", "rmse"])
 
 
 @query
@@ -625,3 +626,34 @@ def fit_rational_whole(spark, sf):
         "points", F.filter("points", lambda x: (x["pos"] >= 8) & (x["pos"] < 600)))
     fitted = fits.fit_rational_packed(packed, ["p_partkey"])
     return fits.cutoff_of_fit(fitted).select("p_partkey", "sse", "plateau", "cutoff_mhz")
+
+
+def _stack_reports(spark, sf):
+    """Reports of all parts, fitted; the coefficients are tested against the nominal stack."""
+    lines = reports.parse_report_lines(views.stack_report_texts(spark, sf))
+    return jobs.fit_reports(lines, views.optical_knots(spark), against=stackfit.STACK_START)
+
+
+@query
+def stack_fit_reports(spark, sf):
+    """Reports to layer stacks: own wavelengths, indices resampled once per wavelength."""
+    return _stack_reports(spark, sf)["fits"].select(
+        "path", "device_nr", "fa_nr", "article_name", "n", "converged",
+        r(F.col("thickness_si") * 1e6, 4).alias("si_um"),
+        r(F.col("thickness_sio2") * 1e9, 3).alias("sio2_nm"),
+        r(F.col("thickness_si3n4") * 1e9, 3).alias("si3n4_nm"), r("rmse", 8).alias("rmse"))
+
+
+@query
+def stack_fit_coefficients(spark, sf):
+    """Standard error, t and p value of each thickness against its nominal value."""
+    found = _stack_reports(spark, sf)["coefficients"]
+    return found.select("device_nr", "parameter", r("estimate", 3).alias("estimate"),
+                        r("std_error", 5).alias("std_error"), r("t_value", 2).alias("t_value"),
+                        r("p_value", 5).alias("p_value"), r("residual_sd", 8).alias("residual_sd"),
+                        F.col("df").cast("long").alias("df"))
+
+
+@query
+def stack_fit_rejected(spark, sf):
+    return _stack_reports(spark, sf)["rejected"]

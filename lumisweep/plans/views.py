@@ -205,3 +205,51 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "supplier"), ["s_suppkey"]).select(
         name.alias("path"), F.encode(F.concat(F.array_join(lines, "\r\n"), F.lit("\r\n")),
                                      "UTF-8").alias("content"))
+
+
+def optical_knots(spark: SparkSession, start: int = 380, stop: int = 1130) -> DataFrame:
+    """The material constants as a measured table: ``material, lambda_nm, n, k, alpha``."""
+    grid = with_material_constants(wavelength_grid(spark, start, stop, 1))
+    zero = F.lit(0.0)
+    rows = F.array(
+        F.struct(F.lit("si").alias("material"), F.col("n_si").alias("n"), F.col("k_si").alias("k"),
+                 F.col("alpha_si").alias("alpha")),
+        F.struct(F.lit("sio2").alias("material"), F.col("n_sio2").alias("n"),
+                 F.col("k_sio2").alias("k"), zero.alias("alpha")),
+        F.struct(F.lit("si3n4").alias("material"), F.col("n_si3n4").alias("n"),
+                 F.col("k_si3n4").alias("k"), zero.alias("alpha")))
+    return grid.select("lambda_nm", F.inline(rows))
+
+
+def stack_report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sectioned report per part: the responsivity of its stack at its own wavelengths.
+
+    Every report measures from another wavelength on, between the whole nanometres of the
+    optical tables.  Parts whose key divides by 50 write no data section.
+    """
+    key = F.col("p_partkey")
+    parts = spread(table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand",
+        ((95 + F.col("p_size") % 11) * 1e-7).alias("thickness_si"),
+        ((13 + key % 5) * 1e-9).alias("thickness_sio2"),
+        ((67 + key % 7) * 1e-9).alias("thickness_si3n4")), ["p_partkey"])
+    rows = parts.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(27)))).withColumn(
+        "lambda_nm", (400 + 25 * F.col("_i")).cast("double") + (key % 40) * 0.5 + 0.25)
+    rows = with_responsivity(with_material_constants(rows), tilted=False)
+    ripple = ((key * 37 + F.col("_i") * 101) % 97 / F.lit(97.0) - 0.5) * 0.002
+    value = round_even(F.col("sabs") + ripple, 6)
+    text = F.translate(F.concat(F.col("lambda_nm").cast("decimal(8,2)").cast("string"), F.lit(";"),
+                                value.cast("decimal(12,6)").cast("string"), F.lit(";")), ".", ",")
+    lines = rows.groupBy("p_partkey", "p_brand").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_i", text.alias("line")))),
+        lambda r: r["line"]).alias("_data"))
+    head = F.array(F.lit("[Allgemein]"), F.concat(F.lit("Bauteil:;"), F.col("p_brand")),
+                   F.concat(F.lit("Charge:;FA"), (key % 13).cast("string")),
+                   F.concat(F.lit("Bauteil-Nr.:;"), key.cast("string")),
+                   F.lit("[Einstellungen Messung]"), F.lit("NPLC:;1"))
+    data = F.concat(F.array(F.lit("[Messwerte]"), F.lit("Kurve 1"),
+                            F.lit("Wellenlänge [nm];Empfindlichkeit [A/W];")), F.col("_data"))
+    whole = F.when(key % 50 == 0, head).otherwise(F.concat(head, data))
+    name = F.concat(F.lit("stack_"), F.lpad(key.cast("string"), 12, "0"), F.lit(".csv"))
+    return lines.select(name.alias("path"), F.encode(F.concat(
+        F.array_join(whole, "\r\n"), F.lit("\r\n")), "UTF-8").alias("content"))

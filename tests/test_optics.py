@@ -6,7 +6,7 @@ from measured import optical_tables
 from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import with_responsivity
-from lumisweep.operators import envelopes, fits, resample, stats, sweepgrid
+from lumisweep.operators import envelopes, resample, stackfit, stats, sweepgrid
 from lumisweep.plans import jobs, views
 from lumisweep.sources import tables
 
@@ -144,11 +144,11 @@ def test_stack_fit_finds_the_truth(spark):
     curve = with_responsivity(views.with_material_constants(rows), tilted=False).select(
         "k", "lambda_nm", F.col("sabs").alias("y"))
     indices = views.with_material_constants(sweepgrid.wavelength_grid(spark, 400, 1100, 10))
-    fitted = fits.fit_layer_stack(curve.union(curve), indices, ["k"], "y")
+    fitted = stackfit.fit_layer_stack(curve.union(curve), indices, ["k"], "y")
     got = {r["k"]: r for r in fitted.collect()}
     for r in truth.collect():
         for c in ("thickness_si", "thickness_sio2", "thickness_si3n4"):
             assert got[r["k"]][c] == pytest.approx(r[c], rel=1e-5)
-    predicted = fits.predict_layer_stack(curve, indices, fitted, ["k"], "y")
-    summary = fits.residual_summary(predicted, ["k"]).collect()
+    predicted = stackfit.predict_layer_stack(curve, indices, fitted, ["k"], "y")
+    summary = stackfit.residual_summary(predicted, ["k"]).collect()
     assert all(r["n"] == 71 and r["rmse"] < 1e-6 for r in summary)
