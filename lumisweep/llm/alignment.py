@@ -26,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ from lumisweep.llm.common import settle
 
 FREQUENT = 1 << 16
 HOT_SHARE = 1024
-REMEMBERED = 100_000
+REMEMBERED = 400_000
+RUN_CHARS = 1 << 18
 LONG_UNIT = 48
 ALIGNED = ("text_key string, copies long, n_a long, n_b long, n_groups long, n_links long, "
            "groups_sha256 string, a array<int>, b array<int>, n array<int>")
@@ -54,6 +55,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _lengths(tokens: dict[int, bytes]) -> np.ndarray:
+    out = np.zeros(max(tokens) + 1, np.int64)
+    for i, token in tokens.items():
+        out[i] = len(token)
+    return out
+
+
 class Aligner:
     """Two tokenizers, and a bounded memory of aligned units."""
 
@@ -75,87 +83,132 @@ class Aligner:
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
                         else p.replace(_SPACE, " ").encode() for i, p in pieces}
+        self.length_a, self.length_b = _lengths(self.bytes_a), _lengths(self.bytes_b)
+        self.names_a = [[f"{i}{end}" for i in range(len(self.length_a))] for end in ",|"]
+        self.names_b = [[f"{i}{end}" for i in range(len(self.length_b))] for end in ",;"]
         self.divisible = not any(_SPACE in p.lstrip(_SPACE) for _, p in pieces)
         self.forget()
 
     def forget(self) -> None:
+        """Units by number: groups as text; numbers of tokens and groups; pair codes of the
+        links of unit i at ``codes[first[i]:first[i + 1]]``."""
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.sizes: list[tuple[int, int, int]] = []
+        self.sizes = np.zeros((0, 3), np.int64)
+        self.codes = np.zeros(0, np.int64)
+        self.first = np.zeros(1, np.int64)
 
     def units(self, text: str) -> list[str]:
         return _SAFE.split(text) if self.divisible else [text]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         in_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        yield from zip((e.ids for e in in_a), self.b.encode(texts, num_threads=1))
+        return [e.ids for e in in_a], self.b.encode(texts, num_threads=1)
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, units: list[str]) -> None:
         """Align new units and remember them; -1 for those that do not come back."""
-        for text, (a, b) in zip(texts, self.encode(texts)):
-            found = self.align(text, a, b)
-            if found is None:
-                self.known[text] = -1
-                continue
-            self.known[text] = len(self.groups)
-            for store, value in zip((self.groups, self.links, self.sizes), found):
-                store.append(value)
-
-    def align(self, text: str, a: list[int], b: list[int]
-              ) -> tuple[str, np.ndarray, tuple[int, int, int]] | None:
-        """Groups as text, pair codes of all links, numbers of tokens and groups."""
-        read_a, read_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        whole = (" " + text).encode()
-        if b"".join(read_a) != whole or b"".join(read_b) != whole:
-            return None
-        ends_a = np.cumsum([len(t) for t in read_a])
-        ends_b = np.cumsum([len(t) for t in read_b])
+        whole = []
+        for unit, a, b in zip(units, *self.encode(units)):
+            read_a, read_b = b"".join(map(self.bytes_a.__getitem__, a)), b"".join(
+                map(self.bytes_b.__getitem__, b))
+            self.known[unit] = -1
+            if read_a == read_b == (" " + unit).encode():
+                self.known[unit] = len(self.groups) + len(whole)
+                whole.append((a, b))
+        if whole:
+            groups, sizes, codes, ends = self.align(whole)
+            self.groups += groups
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.first = np.concatenate([self.first, len(self.codes) + ends])
+            self.codes = np.concatenate([self.codes, codes])
+
+    def align(self, whole: list[tuple[list[int], list[int]]]
+              ) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Groups as text, numbers of tokens and groups, pair codes of all links and their ends.
+
+        Texts are laid end to end: every end of a text is one where both tokens end.
+        """
+        counts_a, counts_b = (np.array([len(w[i]) for w in whole]) for i in range(2))
+        a = np.fromiter((t for w in whole for t in w[0]), np.int64, counts_a.sum())
+        b = np.fromiter((t for w in whole for t in w[1]), np.int64, counts_b.sum())
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         # Between two neighbouring ends lie bytes of one token of A and one of B: a link.
         ends = np.union1d(ends_a, ends_b)
-        ids_a, ids_b = np.array(a), np.array(b)
-        codes = ids_a[np.searchsorted(ends_a, ends)] << 32 | ids_b[np.searchsorted(ends_b, ends)]
+        codes = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        upto_a = np.searchsorted(ends_a, cuts, "right").tolist()
-        upto_b = np.searchsorted(ends_b, cuts, "right").tolist()
-        names_a, names_b = list(map(str, a)), list(map(str, b))
-        groups = ";".join(
-            ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m])
-            for i, j, k, m in zip([0, *upto_a], upto_a, [0, *upto_b], upto_b))
-        return groups, codes, (len(a), len(b), len(cuts))
-
-    def texts(self, texts: list[str]) -> Iterator[tuple | None]:
+        last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        # Names with what follows them; the tokens of A of a group stand before those of B.
+        names = np.empty(len(a) + len(b), object)
+        at_a, at_b = np.arange(len(a)), np.arange(len(b))
+        place_a = at_a + np.concatenate([[0], last_b + 1])[np.searchsorted(last_a, at_a)]
+        place_b = at_b + last_a[np.searchsorted(last_b, at_b)] + 1
+        mark_a, mark_b = np.zeros(len(a), int), np.zeros(len(b), int)
+        mark_a[last_a] = mark_b[last_b] = 1
+        names[place_a] = [self.names_a[m][i] for m, i in zip(mark_a.tolist(), a.tolist())]
+        names[place_b] = [self.names_b[m][i] for m, i in zip(mark_b.tolist(), b.tolist())]
+        stops = np.cumsum(counts_a + counts_b).tolist()
+        names = names.tolist()
+        groups = ["".join(names[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        text_ends = ends_a[np.cumsum(counts_a) - 1]
+        n_groups = np.diff(np.searchsorted(cuts, text_ends, "right"), prepend=0)
+        return (groups, np.column_stack([counts_a, counts_b, n_groups]), codes,
+                np.searchsorted(ends, text_ends, "right"))
+
+    def texts(self, texts: Iterable[str]) -> Iterator[tuple | None]:
         """``n_a, n_b, n_groups, n_links, hash, pair codes, links of each`` or None per text."""
+        run, size = [], 0
         for text in texts:
-            units = self.units(text)
-            new = [u for u in dict.fromkeys(units) if u not in self.known]
-            if len(self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = list(dict.fromkeys(units))
-            if new:
-                self.learn(new)
+            run.append(text)
+            size += len(text)
+            if size >= RUN_CHARS:
+                yield from self.run(run)
+                run, size = [], 0
+        yield from self.run(run)
+
+    def run(self, texts: list[str]) -> Iterator[tuple | None]:
+        split = [self.units(text) for text in texts]
+        new = list({u: 0 for units in split for u in units if u not in self.known})
+        if len(self.groups) + len(new) > REMEMBERED or len(self.codes) > 16 * REMEMBERED:
+            self.forget()
+            new = list({u: 0 for units in split for u in units})
+        if new:
+            self.learn(new)
+        for text, units in zip(texts, split):
             at = list(map(self.known.__getitem__, units))
-            if -1 in at and len(units) > 1:
-                found = self.align(text, *next(self.encode([text])))
-                yield found and self.measures([found[0]], [found[1]], [1], [found[2]])
-            elif -1 in at:
-                yield None
-            else:
+            if -1 not in at:
                 kinds, times = np.unique(at, return_counts=True)
-                yield self.measures(map(self.groups.__getitem__, at),
-                                    [self.links[i] for i in kinds], times,
-                                    [self.sizes[i] for i in kinds])
-            if any(len(u) > LONG_UNIT for u in new):
+                first, counts = self.first[kinds], self.first[kinds + 1] - self.first[kinds]
+                # The codes of all kinds, one range after another.
+                ends = np.cumsum(counts)
+                places = np.arange(ends[-1]) + np.repeat(first - (ends - counts), counts)
+                yield self.measures(map(self.groups.__getitem__, at), times @ self.sizes[kinds],
+                                    self.codes[places], np.repeat(times, counts))
+            else:
+                yield self.whole(text) if len(units) > 1 else None
+        for unit in new:
+            if len(unit) > LONG_UNIT:
                 # Long units would fill the memory and hardly ever come again.
-                self.forget()
+                del self.known[unit]
+
+    def whole(self, text: str) -> tuple | None:
+        """Measures of a text read in one piece."""
+        (a,), (b,) = self.encode([text])
+        read = [b"".join(known[i] for i in ids) for known, ids in
+                ((self.bytes_a, a), (self.bytes_b, b))]
+        if read != [(" " + text).encode()] * 2:
+            return None
+        groups, sizes, codes, _ = self.align([(a, b)])
+        return self.measures(groups, sizes[0], codes, np.ones(len(codes), np.int64))
 
     @staticmethod
-    def measures(groups, links: list[np.ndarray], times, sizes: list[tuple]) -> tuple:
+    def measures(groups: Iterable[str], sizes: np.ndarray, codes: np.ndarray, times: np.ndarray
+                 ) -> tuple:
         digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-        n_a, n_b, n_groups = (np.array(times) @ np.array(sizes)).tolist()
-        codes, place = np.unique(np.concatenate(links), return_inverse=True)
-        each = np.bincount(place, np.repeat(times, list(map(len, links)))).astype(np.int64)
-        return n_a, n_b, n_groups, int(each.sum()), digest, codes, each
+        order = np.argsort(codes)
+        codes = codes[order]
+        new = np.flatnonzero(np.diff(codes, prepend=-1))
+        return (*sizes.tolist(), int(times.sum()), digest, codes[new],
+                np.add.reduceat(times[order], new))
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
