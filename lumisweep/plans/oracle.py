@@ -364,6 +364,15 @@ ORACLE_SQL["envelope_one_factor"] = f"WITH {stack_cte(LAMBDAS)} " + " UNION ALL
     f"SELECT p_brand, lam AS lambda_nm, '{v}' AS varying, {rd('min(sabs)', 7)} AS min, "
     f"{rd('max(sabs)', 7)} AS max FROM sw WHERE {cond} GROUP BY 1, 2" for v, cond in _vary.items())
 
+
+def envelope_one_factor_sql(lambdas, n: int) -> str:
+    """Every envelope of every combination of levels, wide."""
+    held = {**_vary, "target": TARGET}
+    return f"WITH {stack_cte(lambdas, n=n)} SELECT p_brand, lam AS lambda_nm, " + ", ".join(
+        rd(f"{e}(sabs) FILTER ({cond})", 7) + f" AS {v}_{e}"
+        for v, cond in held.items() for e in ("min", "max")) + " FROM sw GROUP BY 1, 2"
+
+
 def envelope_bands_sql(lambdas, n: int, bands: dict[str, int]) -> str:
     return f"WITH {stack_cte(lambdas, n=n)} " + \
         "SELECT p_brand, lam AS lambda_nm, " + ", ".join(
@@ -374,6 +383,39 @@ def envelope_bands_sql(lambdas, n: int, bands: dict[str, int]) -> str:
 ORACLE_SQL["envelope_bands"] = envelope_bands_sql(
     FEW_LAMBDAS, 5, {"tol": 2, "sd_1": 0, "sd_2": 1, "sd_3": 1})
 
+# Thin layers repeat among the parts; each pair of them is computed once here.
+_THIN = f"""th AS (SELECT DISTINCT p_partkey % 7 AS k2, p_partkey % 11 AS k3 FROM part),
+tl AS (SELECT k2, k3, i2, i3, lam, (12 + k2) * 1e-9 + i2 * 5e-9 / 4 AS d2,
+  (60 + k3) * 1e-9 + i3 * 5e-9 / 4 AS d3, {CONSTANTS} FROM th, range(-4, 5) AS t2(i2),
+  range(-4, 5) AS t3(i3), unnest({_list(ALL_LAMBDAS)}) AS t4(lam)),
+{chain('tl', 'tr', reflect('r', 'd2', 'd3', 'te', False))}"""
+_BANDS = {"tol": 4, "sd_1": 1, "sd_2": 2, "sd_3": 3}
+ORACLE_SQL["envelope_bands_whole"] = f"WITH {_THIN}, bd AS (SELECT k2, k3, lam, " + ", ".join(
+    f"{e}(r) FILTER (greatest(abs(i2), abs(i3)) <= {w}) AS {b}_{e}"
+    for b, w in _BANDS.items() for e in ("min", "max")) + """ FROM tr GROUP BY ALL)
+SELECT p_brand, lam AS lambda_nm, """ + ", ".join(
+    rd(f"{e}({b}_{e})", 7) + f" AS {b}_{e}" for b in _BANDS for e in ("min", "max")) + """
+FROM part JOIN bd ON p_partkey % 7 = k2 AND p_partkey % 11 = k3 GROUP BY ALL"""
+
+#: Levels of silicon and pairs of thin layers of each envelope.
+_FREE = {"target": ("i1 = 0", "i2 = 0 AND i3 = 0"), "all": ("true", "true"),
+         "si": ("true", "i2 = 0 AND i3 = 0"), "sio2": ("i1 = 0", "i3 = 0"),
+         "si3n4": ("i1 = 0", "i2 = 0")}
+ORACLE_SQL["envelope_one_factor_whole"] = f"""WITH {_THIN}, tt AS (SELECT k2, k3, lam, """ + ", ".join(
+    f"{e}(1 - r) FILTER ({thin}) AS t_{b}_{e}" for b, (_, thin) in _FREE.items()
+    for e in ("min", "max")) + f""" FROM tr GROUP BY ALL),
+al AS (SELECT size, lam, i1, 1 - exp(-100000.0 * exp(-(lam - 400.0) / 90.0) * 100
+  * ((80 + size) * 1e-7 + i1 * 1.5e-6 / 4)) AS a FROM (SELECT DISTINCT p_size AS size FROM part),
+  range(-4, 5) AS t1(i1), unnest({_list(ALL_LAMBDAS)}) AS t4(lam)),
+aa AS (SELECT size, lam, """ + ", ".join(
+    f"{e}(a) FILTER ({si}) AS a_{b}_{e}" for b, (si, _) in _FREE.items()
+    for e in ("min", "max")) + """ FROM al GROUP BY ALL)
+SELECT p_brand, tt.lam AS lambda_nm, """ + ", ".join(
+    rd(f"{e}(a_{b}_{e} * t_{b}_{e} * tt.lam * {QE_PER_NM!r})", 7) + f" AS {b}_{e}"
+    for b in _FREE for e in ("min", "max")) + """
+FROM part JOIN tt ON p_partkey % 7 = k2 AND p_partkey % 11 = k3
+JOIN aa ON aa.size = p_size AND aa.lam = tt.lam GROUP BY ALL"""
+
 ORACLE_SQL["envelope_by_angle"] = f"""
 WITH {stack_cte(FEW_LAMBDAS, ANGLES)} SELECT p_brand, ang AS angle_deg,
   {rd(f'max(sabs) FILTER ({TARGET})', 7)} AS target, {rd('min(sabs)', 7)} AS min,

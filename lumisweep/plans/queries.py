@@ -12,7 +12,7 @@ from lumisweep.functions.formatting import (clean_name_column, format_eng, forma
 from lumisweep.functions.optics import layer_angle, with_responsivity
 from lumisweep.functions.rounding import (decimal_comma_to_double, double_to_decimal_comma,
                                           hz_to_mhz, rise_time_ps, round_even, round_numeric)
-from lumisweep.operators import (envelopes, fits, readout, resample, rollup, stackfit, stats,
+from lumisweep.operators import (envelopes, factored, fits, readout, resample, rollup, stackfit, stats,
                                  sweepgrid)
 from lumisweep.operators.keyed import dense_positions
 from lumisweep.plans import jobs, views
@@ -359,11 +359,28 @@ def envelope_all(spark, sf):
                    ["target", "min", "max"])
 
 
+def _extremes(spark, sf, bands, value="sabs", keys=("p_partkey",), n=3, angles=(0.0,)):
+    """Extremes of all stacks at all wavelengths, from the factors of the sweep."""
+    thin = factored.thin_sweep(views.stacks(spark, sf), keys, views.ALL_LAMBDAS, bands,
+                               views.with_material_constants, angles, n)
+    return factored.band_extremes(thin, keys, list(bands), value)
+
+
 @query
 def envelope_all_whole(spark, sf):
-    sweep = views.stack_responses(spark, sf, views.ALL_LAMBDAS)
-    return rounded(envelopes.envelope(sweep, ["p_partkey", "lambda_nm"]), 7,
-                   ["target", "min", "max"])
+    bands = {b: factored.ONE_FACTOR[b] for b in ("target", "all")}
+    return _extremes(spark, sf, bands).select(
+        "p_partkey", "lambda_nm", r("target_max", 7).alias("target"),
+        r("all_min", 7).alias("min"), r("all_max", 7).alias("max"))
+
+
+@query
+def envelope_one_factor_whole(spark, sf):
+    """All wavelengths, nine levels: the target curve and one free factor at a time."""
+    found = factored.over_stacks(
+        _extremes(spark, sf, factored.ONE_FACTOR, keys=("p_partkey", "p_brand"), n=9),
+        ["p_brand", "lambda_nm"], list(factored.ONE_FACTOR))
+    return rounded(found, 7, [f"{b}_{e}" for b in factored.ONE_FACTOR for e in ("min", "max")])
 
 
 @query
@@ -398,7 +415,14 @@ def envelope_bands(spark, sf):
 @query
 def envelope_bands_whole(spark, sf):
     """Nine levels, a quarter of the tolerance apart, tell all four bands from each other."""
-    return _bands(spark, sf, views.ALL_LAMBDAS, 9)
+    tolerance = {"si": 1.5e-6, "sio2": 5e-9, "si3n4": 5e-9}
+    bands = {"tol": {x: factored.within(t) for x, t in tolerance.items()}}
+    for k in (1, 2, 3):
+        bands[f"sd_{k}"] = {x: factored.within(k * t / 4) for x, t in tolerance.items()}
+    found = factored.over_stacks(
+        _extremes(spark, sf, bands, "r", ("p_partkey", "p_brand"), n=9),
+        ["p_brand", "lambda_nm"], list(bands))
+    return rounded(found, 7, [f"{b}_{e}" for b in bands for e in ("min", "max")])
 
 
 @query
