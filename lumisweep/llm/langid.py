@@ -3,9 +3,10 @@
 The pieces are those of a fixed public vocabulary, lower-cased, and single bytes so that
 every text can be segmented.  Each language has its own piece probabilities.  A word's
 probability is the sum over all its segmentations, found by the forward algorithm, and a
-text's is the product over its words.  Words are lower-cased runs of letters; longer ones
-are scored in units of ``UNIT`` bytes.  The score is the posterior of the predicted
-language under equal priors.
+text's is the product over its words.  Words are lower-cased runs of letters; long ones are
+read in steps with rescaled sums.  Only training cuts words, between letters, into units of
+at most ``UNIT`` bytes.  The score is the posterior of the predicted language under equal
+priors.
 
 Training takes whole texts, about ``SAMPLE_CHARS`` characters a language, chosen by a hash
 of the text so that the sample stays bounded at every size, and runs ``ROUNDS`` rounds of
@@ -41,7 +42,7 @@ _TRIES: dict[str, Pieces] = {}
 
 
 class Pieces:
-    """A byte trie of the vocabulary: ``step[node, byte]`` and the piece at each node."""
+    """A byte trie of the vocabulary, and the piece at each node."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -63,13 +64,29 @@ class Pieces:
                     children.append({})
                     piece.append(-1)
             piece[at] = number
-        self.step = np.zeros((len(children), len(used)), np.int32)
+        # Most nodes have one child: only those with more have a row over all bytes.
+        forks = [at for at, row in enumerate(children) if len(row) > 1]
+        self.fork = np.full(len(children), -1, np.int32)
+        self.fork[forks] = np.arange(len(forks))
+        self.rows = np.zeros((len(forks), len(used)), np.int32)
+        for row, at in enumerate(forks):
+            self.rows[row, list(children[at])] = list(children[at].values())
+        self.only_kind = np.full(len(children), -1, np.int32)
+        self.only_child = np.zeros(len(children), np.int32)
         for at, row in enumerate(children):
-            for b, to in row.items():
-                self.step[at, b] = to
-        self.piece, self.count = np.array(piece), len(names)
+            if len(row) == 1:
+                ((self.only_kind[at], self.only_child[at]),) = row.items()
+        self.piece, self.count = np.array(piece, np.int32), len(names)
         self.longest = max(map(len, names))
 
+    def step(self, node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The child of each node by each byte kind, 0 where there is none."""
+        to = np.where(self.only_kind[node] == kind, self.only_child[node], 0)
+        fork = self.fork[node]
+        forked = np.flatnonzero(fork >= 0)
+        to[forked] = self.rows[fork[forked], kind[forked]]
+        return to
+
     def edges(self, words: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
         """For each start and length: which words have a piece there, and which piece.
 
@@ -81,7 +98,7 @@ class Pieces:
             for end in range(start + 1, min(words.shape[1], start + self.longest) + 1):
                 inside = sizes[alive] >= end
                 alive, node = alive[inside], node[inside]
-                node = self.step[node, words[alive, end - 1]]
+                node = self.step(node, words[alive, end - 1])
                 alive, node = alive[node > 0], node[node > 0]
                 if not len(alive):
                     break
@@ -97,6 +114,42 @@ class Pieces:
             total[end, rows] += total[start, rows] * chance[piece]
         return total
 
+    def long_logs(self, words: list[bytes], chance: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of long words: word x language.
+
+        The words are read in steps of ``UNIT`` bytes.  The sums at the last places of a
+        step, as far back as a piece reaches, begin the next one, over their maximum.
+        """
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        sizes = np.array([len(words[i]) for i in order])
+        back = self.longest - 1
+        out = np.zeros((len(words), chance.shape[1]))
+        scale = np.zeros_like(out)
+        carry = np.zeros((back + 1, *out.shape))
+        carry[back] = 1
+        for at in range(0, int(sizes.max(initial=0)), UNIT):
+            live = int(np.searchsorted(-sizes, -at, "left"))
+            grid = np.zeros((live, back + UNIT), np.int32)
+            for row in range(live):
+                data = words[order[row]][max(0, at - back):at + UNIT]
+                skip = max(0, back - at)
+                grid[row, skip:skip + len(data)] = self.kind[np.frombuffer(data, np.uint8)]
+            here = np.minimum(sizes[:live] - at, UNIT) + back
+            total = np.zeros((back + UNIT + 1, live, chance.shape[1]))
+            total[:back + 1] = carry[:, :live]
+            for start, end, rows, piece in self.edges(grid, here):
+                if end > back:
+                    total[end, rows] += total[start, rows] * chance[piece]
+            out[:live] = np.log(total[here, np.arange(live)]) + scale[:live]
+            carry = total[UNIT:]
+            most = carry.max(axis=0)
+            most[most == 0] = 1  # of words that ended before
+            carry = carry / most
+            scale[:live] += np.log(most)
+        found = np.zeros_like(out)
+        found[order] = out
+        return found
+
     def expected(self, words: np.ndarray, sizes: np.ndarray, chance: np.ndarray,
                  weight: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, by word weight: piece x language."""
@@ -119,7 +172,7 @@ class Pieces:
         """Byte kinds of the words, longest first; their sizes; and their order."""
         sizes = np.array([len(w) for w in words])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((len(words), int(sizes.max(initial=0))), np.int64)
+        grid = np.zeros((len(words), int(sizes.max(initial=0))), np.int32)
         for row, i in enumerate(order):
             grid[row, :sizes[i]] = self.kind[np.frombuffer(words[i], np.uint8)]
         return grid, sizes[order], order
@@ -133,13 +186,24 @@ def pieces_of(path: str) -> Pieces:
 
 
 def letter_words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters; signs such as fractions and raised digits, words for ``re``, are none."""
+    words = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [w for word in words for w in
+            "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def units(word: str) -> list[bytes]:
-    """The bytes of a word in units of at most ``UNIT``."""
-    data = word.encode()
-    return [data[i:i + UNIT] for i in range(0, len(data), UNIT)]
+    """The bytes of a word in units of at most ``UNIT``, cut between letters."""
+    data, out = word.encode(), []
+    while data:
+        end = UNIT
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[:end])
+        data = data[end:]
+    return out
 
 
 class Scorer:
@@ -153,14 +217,18 @@ class Scorer:
         self.scores = np.zeros((0, chance.shape[1]))
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        parts = [(i, u) for i, w in enumerate(words) for u in units(w)]
+        data = [w.encode() for w in words]
         out = np.zeros((len(words), self.chance.shape[1]))
-        for at in range(0, len(parts), WORDS_AT_ONCE):
-            some = parts[at:at + WORDS_AT_ONCE]
-            grid, sizes, order = self.pieces.arrange([u for _, u in some])
+        short = [i for i, w in enumerate(data) if len(w) <= UNIT]
+        for at in range(0, len(short), WORDS_AT_ONCE):
+            some = short[at:at + WORDS_AT_ONCE]
+            grid, sizes, order = self.pieces.arrange([data[i] for i in some])
             total = self.pieces.forward(grid, sizes, self.chance)
-            logs = np.log(total[sizes, np.arange(len(sizes))])
-            np.add.at(out, np.array([some[i][0] for i in order]), logs)
+            out[[some[i] for i in order]] = np.log(total[sizes, np.arange(len(sizes))])
+        long = [i for i, w in enumerate(data) if len(w) > UNIT]
+        for at in range(0, len(long), WORDS_AT_ONCE // 10):
+            some = long[at:at + WORDS_AT_ONCE // 10]
+            out[some] = self.pieces.long_logs([data[i] for i in some], self.chance)
         return out
 
     def of_texts(self, texts: list[list[str]]) -> np.ndarray:
@@ -264,14 +332,15 @@ def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabular
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pieces_of(vocabulary), model.value) if languages else None
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(2)
             names: list[str] = []
             sure: list[float] = []
             run: list[list[str]] = []
             size = 0
-            for i, text in enumerate(texts):
-                run.append(letter_words(text or "") if languages else [])
-                size += len(text or "")
+            for i, value in enumerate(texts):
+                text = value.as_py() or ""
+                run.append(letter_words(text) if languages else [])
+                size += len(text)
                 if size >= BLOCK_CHARS or i == len(texts) - 1:
                     logs = scorer.of_texts(run) if languages else np.zeros((len(run), 1))
                     best = logs.argmax(axis=1)

@@ -71,7 +71,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(read(spark, sf_dir, "embeddings"), "embedding", 256)
-    return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+    return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5).drop("depth")
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

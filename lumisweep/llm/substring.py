@@ -79,17 +79,36 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 windows.astype(np.int32)], schema)
 
 
+def _asked_ranges(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Per text of a batch: its id, number, block, and its asked ranges with their first words.
+
+    A text under whose id another row asked does not have the words there: by their hash.
+    """
+    ids, asked, at = batch.column(0).to_pylist(), batch.column(2), 0
+    for block in text_blocks(batch.column(1), lower=False):
+        sums = prefix_sums(block.hashes)
+        for j in range(len(block.rows)):
+            ranges = asked[at].as_py()
+            starts = np.array([x["start"] for x in ranges]) + block.offsets[j]
+            ends = starts + np.array([x["windows"] for x in ranges]) + WINDOW - 1
+            spans = np.array([x["span"] for x in ranges], np.int64)
+            inside = ends <= block.offsets[j + 1]
+            inside[inside] = run_hash(sums, starts[inside], ends[inside]).view(
+                np.int64) == spans[inside]
+            yield (ids[at], block, sums, block.offsets[j], list(compress(ranges, inside)),
+                   starts[inside], ends[inside])
+            at += 1
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the asked ranges: ``anchor, doc_id, start, words``."""
     schema = arrow_schema("anchor long, doc_id long, start int, words binary")
     for batch in batches:
-        for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1),
-                                    batch.column(2).to_pylist()):
-            words = text.as_buffer().to_pybytes().split()
+        for doc, block, _, _, asked, starts, ends in _asked_ranges(batch):
             yield record_batch([
                 [x["anchor"] for x in asked], [doc] * len(asked), [x["start"] for x in asked],
-                [b" ".join(words[x["start"]:x["start"] + x["windows"] + WINDOW - 1])
-                 for x in asked]], schema)
+                [block.data[block.start[i]:block.end[j - 1]].tobytes()
+                 for i, j in zip(starts, ends)]], schema)
 
 
 def _first_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,31 +136,24 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Hash and place of each window of the asked ranges."""
     schema = arrow_schema("window long, doc_id long, start int")
     for batch in batches:
-        asked, at = batch.column(2).to_pylist(), 0
-        ids = batch.column(0).to_pylist()
-        for block in text_blocks(batch.column(1), lower=False):
-            sums = prefix_sums(block.hashes)
-            for j in range(len(block.rows)):
-                starts = np.concatenate([np.arange(x["start"], x["start"] + x["windows"])
-                                         for x in asked[at]])
-                begin = starts + block.offsets[j]
-                fits = begin + WINDOW <= block.offsets[j + 1]
-                hashes = run_hash(sums, begin[fits], begin[fits] + WINDOW)
-                yield record_batch([hashes.view(np.int64), np.full(len(hashes), ids[at]),
-                                    starts[fits].astype(np.int32)], schema)
-                at += 1
+        for doc, _, sums, offset, _, starts, ends in _asked_ranges(batch):
+            begin = np.concatenate([np.zeros(0, np.int64), *(
+                np.arange(i, j - WINDOW + 1) for i, j in zip(starts, ends))])
+            hashes = run_hash(sums, begin, begin + WINDOW)
+            yield record_batch([hashes.view(np.int64), np.full(len(hashes), doc),
+                                (begin - offset).astype(np.int32)], schema)
 
 
 def _texts_of(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Documents with the ranges asked of them; a list is no longer than its document."""
     asked = ranges.groupBy("doc_id").agg(
-        F.collect_list(F.struct("anchor", "start", "windows")).alias("asked"))
+        F.collect_list(F.struct("anchor", "start", "windows", "span")).alias("asked"))
     return rows.join(asked, "doc_id").select("doc_id", "text", "asked")
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``doc_id, marks``: a list of ``start, windows``, removed, or kept where negative."""
-    named = rows.where("doc_id is not null")
+    named = rows.where("doc_id is not null and text is not null")
     ranges = named.mapInArrow(_ranges, RANGES)
     often = ranges.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     again = settle(ranges.join(often.select("anchor"), "anchor"))

@@ -2,21 +2,26 @@
 
 Vectors become integers, floor(``scale`` * x).  Each component has a sorted list of the
 candidates' values.  A query reads the list of component d from the top where its own
-component is positive and from the bottom where it is negative, all lists to the same
-depth.  What is read so far gives every candidate a lower bound (unread components at the
-far end of their list) and an upper bound (unread components at the value read last).
-Reading stops for a candidate when its upper bound is below the k-th best lower bound;
-when no more outsiders qualify, the remaining candidates' scores are resolved.
+component is positive and from the bottom where it is negative, all lists in step, in
+batches to the growing depths ``DEPTHS``.  From what is read every candidate has a lower bound
+(unread components at the far end of their list) and an upper bound (unread components at
+the value read last).  A candidate whose upper bound is below the k-th best lower bound
+cannot qualify and is read no further; a query stops when no more than k candidates are left,
+or at the end of the lists, where both bounds are the score.  The scores of those left are
+then resolved by reading on in their rows of the lists only.  ``depth`` is the share of the
+lists that was read to exclude the others, the largest of all blocks.
 
 Candidates and queries are dealt into blocks of bounded size by a hash of the id, and a task
 takes one block of each.  The lists of a block are its own, so each task reads on its own
 and returns its k best per query; a last ranking merges the blocks.  The bounds of all
-queries at one depth are two matrix products over float64, exact below 2**53.
-
-Vectors that are null, empty, or hold null or non-finite components take no part; a vector
-of another length than a query's is no candidate for it.  All rows with the query's own id
-are left out.  Repeated rows of a candidate are separate results; repeated query rows give
-one result.  Ties go to the smaller id.  An empty table gives an empty result.
+queries at one depth are two matrix products over float64, exact below 2**53; where a score
+can be larger, over Python's integers.
+
+Components outside the range of a long, and scores outside it, count as the nearest end of
+the range.  Vectors that are null, empty, or hold null or non-finite components take no part; a
+vector of another length than a query's is no candidate for it.  All rows with the query's
+own id are left out.  Repeated rows of a candidate are separate results; repeated query rows
+give one result.  Ties go to the smaller id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,52 +34,49 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, vec_id long, score long, depth double"
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
-DEPTHS = (0.25, 0.6)
-
-
-def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray,
-                 query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its ``k`` best ``(ids, scores)`` among ``vectors``, both integer arrays."""
-    most = (float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0))
-            * vectors.shape[1])
-    if most >= 2 ** 52:
-        exact, queries = vectors.astype(object), queries.astype(object)
-        for q, own in zip(queries, query_ids):
-            yield int(own), *_best(ids, exact @ q, ids != own, k)
-        return
-    x, q = vectors.astype(np.float64), queries.astype(np.float64)
+DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 3 / 4, 1.0)
+_LONG = np.iinfo(np.int64)
+
+
+def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray,
+                 k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, float]]:
+    """Per query id its ``k`` best ``(ids, scores)`` among ``vectors`` and the depth read."""
+    most = (float(np.abs(vectors.astype(float)).max(initial=0))
+            * float(np.abs(queries.astype(float)).max(initial=0)) * vectors.shape[1])
+    number = np.float64 if most < 2 ** 52 else object
+    x, q = vectors.astype(number), queries.astype(number)
     up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
     ordered = np.sort(x, axis=0)
-    low_end, high_end = ordered[0], ordered[-1]
     alive = ids[:, None] != query_ids[None, :]
+    depths = np.ones(len(query_ids))
+    reading = np.arange(len(query_ids))
     for depth in DEPTHS:
-        if len(ids) <= 4 * k:
-            break
-        read = min(len(ids) - 1, int(depth * len(ids)))
-        from_top, from_bottom = ordered[len(ids) - 1 - read], ordered[read]
+        last = max(0, int(np.ceil(depth * len(ids))) - 1)
+        from_top, from_bottom = ordered[len(ids) - 1 - last], ordered[last]
         # Read from the top: x; unread: at most the value read last, at least the low end.
-        lower = np.where(x >= from_top, x, low_end) @ up + np.where(
-            x <= from_bottom, x, high_end) @ down
-        kept = np.where(alive, lower, -np.inf)
-        floor = -np.partition(-kept, k - 1, axis=0)[k - 1]
-        ceiling = np.maximum(x, from_top) @ up + np.minimum(x, from_bottom) @ down
-        alive &= ceiling >= floor
-        if alive.sum() <= 4 * k * len(query_ids):
+        lower = np.where(x >= from_top, x, ordered[0]) @ up[:, reading] + np.where(
+            x <= from_bottom, x, ordered[-1]) @ down[:, reading]
+        upper = (np.maximum(x, from_top) @ up[:, reading]
+                 + np.minimum(x, from_bottom) @ down[:, reading])
+        for column, j in enumerate(reading):
+            left = np.flatnonzero(alive[:, j])
+            if len(left) > k:
+                floor = np.sort(lower[left, column])[-k]
+                alive[left, j] = upper[left, column] >= floor
+        done = alive[:, reading].sum(axis=0) <= k
+        depths[reading[done]] = depth
+        reading = reading[~done]
+        if not len(reading):
             break
     for j, own in enumerate(query_ids):
         left = np.flatnonzero(alive[:, j])
-        scores = (x[left] @ q[j]).astype(np.int64)
-        yield int(own), *_best(ids[left], scores, np.ones(len(left), bool), k)
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray, k: int
-          ) -> tuple[np.ndarray, np.ndarray]:
-    ids, scores = ids[allowed], scores[allowed]
-    order = np.lexsort((ids, -scores))[:k] if len(ids) else np.zeros(0, np.int64)
-    return ids[order], scores[order]
+        exact = x[left] @ q[j]
+        order = sorted(range(len(left)), key=lambda i: (-exact[i], ids[left[i]]))[:k]
+        scores = [min(max(int(exact[i]), _LONG.min), _LONG.max) for i in order]
+        yield int(own), ids[left[order]], np.array(scores, np.int64), float(depths[j])
 
 
 def integer_vectors(table: DataFrame, vector: str, scale: int) -> DataFrame:
@@ -93,7 +95,7 @@ def block_of(blocks: int) -> Column:
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` best of ``vectors`` for each of ``queries``.
+    """``query_id, rank, vec_id, score, depth``: the ``k`` best of ``vectors`` for each of ``queries``.
 
     Both have ``vec_id`` and an integer array ``v``.
     """
@@ -120,12 +122,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 yield pd.DataFrame({
                     "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
                     "vec_id": np.concatenate([f[1] for f in found]),
-                    "score": np.concatenate([f[2] for f in found]).astype(np.int64)})
+                    "score": np.concatenate([f[2] for f in found]).astype(np.int64),
+                    "depth": np.repeat([f[3] for f in found], [len(f[1]) for f in found])})
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (pairs.mapInPandas(search, FOUND)
+            .withColumn("depth", F.max("depth").over(Window.partitionBy("query_id")))
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", "score", "depth"))
 
 
 def _unpack(rows: list) -> tuple[np.ndarray, np.ndarray]:

@@ -1,8 +1,8 @@
 """Toxicity (operator 6): FTRL-proximal logistic regression over hashed word features.
 
-Features of a text are its distinct lower-cased words, and their stems, stem pairs, triples
-and skip-grams (two with one left out between), hashed into ``2**BITS`` places.  A stem is
-the first ``STEM`` bytes of a word, so that inflected forms of a word count together.
+Features of a text are its distinct lower-cased words, their pairs, triples and skip-grams (two
+with one left out between), and the same of their stems, hashed into ``2**BITS`` places.  A
+stem is the first ``STEM`` bytes of a word, so that inflected forms of a word count together.
 Training is FTRL-proximal: every place has a learning rate of its own from the squares of
 its past gradients, and the L1 term leaves places without evidence at zero, so the model
 that is sent to the tasks is a short list of places and weights.
@@ -15,7 +15,7 @@ with the others.
 
 A text without words has no features and gets the intercept's score.  Rows with a null
 label or text, or a label other than 0 and 1, teach nothing; a document with several
-labels is learned once with each.  Repeated rows count each and are scored each.  Without
+labels is learned once with each.  Repeated rows teach once and are scored each.  Without
 training rows every score is 0.  An empty table gives an empty result.
 """
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisweep.llm.common import arrow_schema, record_batch
+from lumisweep.llm.common import arrow_schema, record_batch, settle
 from lumisweep.llm.langid import held_out
 from lumisweep.llm.words import fold, mix, text_blocks
 
@@ -47,14 +47,16 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def features(words: np.ndarray, stems: np.ndarray) -> np.ndarray:
-    """Distinct places of one text's words, stems, and n-grams and skip-grams of stems."""
+    """Distinct places of one text's words and stems, and of n-grams and skip-grams of both."""
     found = [words]
-    for offsets in GRAMS:
-        count = len(stems) - offsets[-1]
-        if count > 0:
-            kind = np.full(count, sum(4 ** i for i in offsets), np.uint64)
-            found.append(mix(fold([kind, *(stems[i:i + count] for i in offsets)])))
-    return np.unique(np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
+    for base, units in ((0, stems), (1 << 10, words)):
+        for offsets in GRAMS:
+            count = len(units) - offsets[-1]
+            # Single words are places by themselves already.
+            if count > 0 and (units is stems or len(offsets) > 1):
+                kind = np.full(count, base + sum(4 ** i for i in offsets), np.uint64)
+                found.append(mix(fold([kind, *(units[i:i + count] for i in offsets)])))
+    return np.unique(np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def texts_features(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -94,33 +96,37 @@ def _logistic(x: np.ndarray | float) -> np.ndarray | float:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, int]]:
-    """The sampled rows of ``doc_id, label`` and how many of each label they are."""
-    usable = labels.where("doc_id is not null and label in (0, 1)")
+def sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Distinct ``doc_id, label``, about ``sample_rows`` of each label, by a hash of the id."""
+    usable = labels.where("doc_id is not null and label in (0, 1)").select(
+        "doc_id", "label").distinct()
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
-    taken = {k: min(n, sample_rows) for k, n in counts.items()}
-    share = F.when(F.col("label") == 1, F.lit(taken.get(1, 0) / counts.get(1, 1))).otherwise(
-        F.lit(taken.get(0, 0) / counts.get(0, 1)))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return chosen, taken
+    share = F.lit(0.0)
+    for label, n in counts.items():
+        share = F.when(F.col("label") == label, min(1.0, sample_rows / n)).otherwise(share)
+    return usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
           shard_rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Places and weights of a model of ``doc_id, text`` and ``doc_id, label``.
 
-    Both are empty without any labelled rows.  The sampled ids are broadcast, about
-    ``2 * sample_rows`` of them at most, so that only sampled texts are shuffled.
+    Both are empty without any labelled rows.  The sampled ids are distinct and broadcast,
+    about ``2 * sample_rows`` of them at most, so that only sampled texts are shuffled; of an
+    id with several rows one text teaches, the one of the smallest hash.
     """
-    picked, taken = sample(labels, sample_rows)
+    picked = sample(labels, sample_rows)
+    hashed = F.struct(F.xxhash64("text").alias("_hash"), "text")
+    drawn = settle(docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+                   .groupBy("doc_id", "label").agg(F.min(hashed).alias("_one"))
+                   .select("label", "_one._hash", "_one.text"))
+    taken = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
     if not taken:
         return np.zeros(0, np.int64), np.zeros(0)
     scale = {k: sum(taken.values()) / (2 * n) for k, n in taken.items()}
     shards = math.ceil(sum(taken.values()) / shard_rows)
-    chosen = (docs.where("text is not null").join(F.broadcast(picked), "doc_id")
-              .withColumn("_hash", F.xxhash64("text"))
-              .withColumn("_shard", F.pmod(F.shiftrightunsigned("_hash", 24), F.lit(shards))
-                          .cast("int")))
+    chosen = drawn.withColumn("_shard", F.pmod(
+        F.shiftrightunsigned("_hash", 24), F.lit(shards)).cast("int"))
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models: dict[int, list[tuple[np.ndarray, int]]] = {}
@@ -138,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
                                 "rows": len(examples)})
 
     learned = (chosen.select("_shard", "_hash", "label", "text")
-               .repartition(shards, "_shard").sortWithinPartitions("_shard", "_hash", "label")
+               .repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_hash", "label")
                .mapInPandas(learn, "place long, w double, rows long"))
     # At most 2**BITS + 1 rows, most of them zero and not there.
     total = sum(taken.values())

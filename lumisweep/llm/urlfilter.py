@@ -30,7 +30,6 @@ from lumisweep.llm.common import ascii_lower, settle
 #: verdict, host, start of the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"),
          ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-LONGEST_WORD = 16
 LETTERS = r"\p{L}+"
 #: Share of one count that a letter without a known word gets.
 UNKNOWN = 0.01
@@ -61,7 +60,7 @@ def title_words(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract("html", r"(?i)<title[^>]*>([^<]*)", 1)
     words = F.regexp_extract_all(F.lower(title), F.lit(LETTERS), 0)
     return (pages.select(F.explode(words).alias("word"))
-            .where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count("*").alias("n")))
+            .groupBy("word").agg(F.count("*").alias("n")))
 
 
 def viterbi(text: str, hits: list[tuple[int, int, int]], total: int) -> list[str]:
@@ -75,9 +74,9 @@ def viterbi(text: str, hits: list[tuple[int, int, int]], total: int) -> list[str
     alone = math.log(UNKNOWN / max(1, total))
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(text) + 1):
-        options = ending.get(end, [])
-        found = max(((best[s][0] + p, -s) for s, p in options),
-                    default=(best[end - 1][0] + alone, 1 - end))
+        # A letter can stand alone anywhere, also where a known word ends.
+        options = [(end - 1, alone), *ending.get(end, [])]
+        found = max((best[s][0] + p, -s) for s, p in options)
         best.append((found[0], -found[1]))
     words, end = [], len(text)
     while end:
@@ -88,8 +87,9 @@ def viterbi(text: str, hits: list[tuple[int, int, int]], total: int) -> list[str
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
     """``run, words`` for each distinct letter run (``run``)."""
-    total = words.agg(F.sum("n")).first()[0] or 0
-    sizes = F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("run") - F.col("start")))
+    total, longest = words.agg(F.sum("n"), F.max(F.length("word"))).first()
+    total = total or 0
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest or 1), F.length("run") - F.col("start")))
     parts = (runs.select("run", F.explode(F.sequence(
         F.lit(0), F.length("run") - 1)).alias("start"))
         .select("run", "start", F.explode(sizes).alias("size"))

@@ -119,17 +119,15 @@ def text_blocks(texts: pa.Array, lower: bool, limit: int = 2 * PIECE) -> Iterato
     texts = texts.cast(pa.large_binary())
     if len(texts) == 0:
         return
-    lengths = np.array([0 if x is None else x for x in
-                        pc.binary_length(texts).to_pylist()], np.int64)
-    # One copy without the bytes under nulls, so that lengths and bytes agree.
-    whole = b"".join(x for x in texts.to_pylist() if x is not None)
-    data = np.frombuffer(whole, np.uint8)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     first = 0
     while first < len(lengths):
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
         last = min(max(last, first + 1), len(lengths))
-        part = data[offsets[first]:offsets[last]]
+        # A copy of this block only, without the bytes under nulls, so that lengths agree.
+        part = np.frombuffer(b"".join(
+            x for x in texts.slice(first, last - first).to_pylist() if x is not None), np.uint8)
         part = _LOWER[part] if lower else part
         yield TextBlock(range(first, last), part, offsets[first:last + 1] - offsets[first])
         first = last

@@ -125,6 +125,23 @@ def test_substring_dedup_matches_brute_force(documents, monkeypatch, most):
     assert found.where(F.col("size") != "extra").count() == 0
 
 
+@pytest.mark.parametrize("most", [2000, 1])
+def test_substring_dedup_other_texts_under_one_id(documents, monkeypatch, most):
+    """A null or another text beside the one that holds an asked range."""
+    monkeypatch.setattr(substring, "SHARD_RANGES", most)
+    rng = random.Random(3)
+    shared = prose(rng, 30, 10 ** 6)
+    rows = [(i, " ".join(prose(rng, 5 + i, 10 ** 6) + shared + prose(rng, 6, 10 ** 6)))
+            for i in range(5)]
+    twins = [(i, None) for i in range(5)] + [(1, "short one"), (2, " ".join(prose(rng, 60, 10 ** 6)))]
+    found = substring.without_repeats(documents(rows + twins)).collect()
+    got = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in found}
+    assert len(found) == len(rows) + len(twins)
+    for i, text in rows:
+        assert got[i, len(text.split())] == (30 if i else 0)
+    assert got[1, 2] == got[0, 0] == 0
+
+
 def test_substring_dedup_odd_rows(documents):
     text = " ".join(f"w{i}" for i in range(25))
     rows = [(1, text), (1, text), (2, text), (None, text)]

@@ -95,6 +95,41 @@ def test_forward_sums_all_segmentations(vocabulary):
         assert np.allclose(total, brute)
 
 
+def test_long_words_sum_all_segmentations(vocabulary):
+    pieces = langid.pieces_of(vocabulary)
+    rng = np.random.default_rng(1)
+    chance = rng.dirichlet(np.ones(pieces.count), 2).T
+    words = ["donaudampfschifffahrtsgesellschaft", "straße" * 30, "語" * 200, "x" * 33,
+             "the" * 4000, "каша" * 50]
+    data = [w.encode() for w in words]
+    found = pieces.long_logs(data, chance)
+    for word, logs in zip(data, found):
+        if len(word) > 2000:
+            assert np.isfinite(logs).all()
+            continue
+        # The plain recursion over whole words with sums kept over their last value.
+        grid, sizes, _ = pieces.arrange([word])
+        total = np.zeros((len(word) + 1, 2))
+        total[0], scale = 1, np.zeros(2)
+        edges = {}
+        for start, end, _, piece in pieces.edges(grid, sizes):
+            edges.setdefault(end, []).append((start, piece[0]))
+        for end in range(1, len(word) + 1):
+            total[end] = sum(total[s] * chance[p] for s, p in edges[end])
+            if end % 20 == 0:
+                scale += np.log(total[end])
+                total[:end + 1] /= total[end]
+        assert np.allclose(logs, np.log(total[len(word)]) + scale)
+
+
+def test_letters_and_units():
+    assert langid.letter_words("x² ½ ① ab③cd Ⅷ") == ["x", "ab", "cd"]
+    assert langid.letter_words("²½①12_") == []
+    word = "aü語" * 40
+    assert b"".join(langid.units(word)) == word.encode()
+    assert all(0 < len(u) <= langid.UNIT and u.decode() for u in langid.units(word))
+
+
 def test_expected_counts_of_a_word(vocabulary):
     pieces = langid.pieces_of(vocabulary)
     grid, sizes, _ = pieces.arrange([b"thering"])
@@ -146,6 +181,20 @@ def test_toxicity(spark, documents):
     assert {r["score"] for r in toxicity.toxicity(documents(rows), known.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_sample_is_bounded_where_an_id_repeats(spark):
+    labels = spark.createDataFrame([(7, 1)] * 3000 + [(i, 0) for i in range(100, 900)],
+                                   "doc_id long, label int")
+    docs = spark.createDataFrame([(7, f"bad {i % 3}") for i in range(2000)]
+                                 + [(i, f"good {i}") for i in range(100, 900)],
+                                 "doc_id long, text string")
+    assert toxicity.sample(labels, 400).where("label = 1").count() == 1
+    assert 250 < toxicity.sample(labels, 400).where("label = 0").count() < 550
+    places, weights = toxicity.train(docs, labels, 400)
+    found = toxicity.score(spark.createDataFrame([(1, "bad"), (2, "good")],
+                                                 "doc_id long, text string"), places, weights)
+    assert found.count() == 2
+
+
 def test_ftrl_keeps_useless_places_at_zero():
     rng = np.random.default_rng(0)
     model = toxicity.Ftrl(l1=3.0)
@@ -168,6 +217,39 @@ def brute_split(text, counts, total):
     return best
 
 
+def plain_split(run, counts, total):
+    """Best split of each prefix from those of all shorter ones; ties to the longer last word."""
+    best = {0: (0.0, [])}
+    for end in range(1, len(run) + 1):
+        ways = []
+        for start in range(end):
+            word = run[start:end]
+            if word in counts or len(word) == 1:
+                n = counts[word] if word in counts else urlfilter.UNKNOWN
+                ways.append((best[start][0] + math.log(n / total), -start, [*best[start][1], word]))
+        score, _, words = max(ways, key=lambda w: w[:2])
+        best[end] = (score, words)
+    return best[len(run)][1]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_viterbi_takes_a_lone_letter_where_a_word_ends(seed):
+    hits = [(0, 4, 10), (3, 2, 10)]
+    assert urlfilter.viterbi("abcdx", hits, 20) == ["abcd", "x"]
+    rng = random.Random(seed)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))): rng.randint(1, 50)
+             for _ in range(12)}
+    total = sum(words.values())
+    for _ in range(60):
+        text = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 11)))
+        hits = [(i, len(w), n) for w, n in words.items() for i in range(len(text))
+                if text.startswith(w, i)]
+        found = urlfilter.viterbi(text, hits, total)
+        score = sum(math.log((words[w] if w in words else urlfilter.UNKNOWN) / total)
+                    for w in found)
+        assert math.isclose(score, brute_split(text, words, total)[0])
+
+
 def test_viterbi_matches_brute_force():
     counts = {"the": 5, "ring": 4, "thering": 1, "he": 2, "in": 7, "g": 1, "r": 1, "t": 2}
     total = sum(counts.values())
@@ -202,11 +284,11 @@ def test_url_rules_and_odd_urls(spark):
 
 
 def brute_verdicts(pages):
-    """Naive Bayes in plain Python over the tokens that the operator's own split gives."""
+    """Naive Bayes in plain Python over hosts split here."""
     import re
     from collections import Counter
     titles = Counter(w for p in pages for w in re.findall(r"[^\W\d_]+", (re.search(
-        r"(?i)<title[^>]*>([^<]*)", p["html"] or "") or [0, ""])[1].lower()) if len(w) <= 16)
+        r"(?i)<title[^>]*>([^<]*)", p["html"] or "") or [0, ""])[1].lower()))
     total = sum(titles.values())
     out, taught = {}, {"block": Counter(), "allow": Counter()}
     rows = []
@@ -214,9 +296,7 @@ def brute_verdicts(pages):
         host, path = re.match(r"[\s\S]*?://([^/?#]*)([^?#]*)", p["url"]).groups()
         tokens = []
         for run in re.findall(r"[^\W\d_]+", host.lower()):
-            hits = [(i, n, titles[run[i:i + n]]) for i in range(len(run)) for n in range(1, 17)
-                    if i + n <= len(run) and run[i:i + n] in titles]
-            tokens += urlfilter.viterbi(run, hits, total)
+            tokens += plain_split(run, titles, total)
         tokens += re.findall(r"[^\W\d_]+", path.lower())
         fits = [(len(h + s), k) for k, h, s in urlfilter.RULES
                 if ("." + host.lower()).endswith("." + h) and path.startswith(s)]

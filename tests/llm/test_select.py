@@ -33,7 +33,8 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     found = topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
     whole = [(i, [math.floor(256 * x) for x in v]) for i, v in [*rows, odd[-1]]]
     asked = [(i, v) for i, v in whole if i % 50 == 0]
-    assert sorted(map(tuple, found.collect())) == brute_top(whole, asked, 5)
+    assert sorted(map(tuple, found.drop("depth").collect())) == brute_top(whole, asked, 5)
+    assert found.where("depth <= 0 or depth > 1").count() == 0
     none = vectors.limit(0)
     assert topk.exact_top_k(none, none, 5).count() == 0
 
@@ -42,14 +43,38 @@ def test_bounds_stop_before_the_end_and_large_numbers_stay_exact():
     rng = np.random.default_rng(1)
     x = rng.integers(-200, 200, (3000, 8))
     ids = rng.permutation(3000)
-    for q, scale in ((x[:7], 1), (x[:3], 1 << 40)):
+    for q, scale in ((x[:7], 1), (x[:3], 1 << 20)):
         found = list(topk.top_of_block(x * scale, ids, q * scale, ids[:len(q)], 5))
-        for (own, best, scores), row in zip(found, q):
+        for (own, best, scores, _), row in zip(found, q):
             exact = [(int(-(v.astype(object) @ row.astype(object))) * scale * scale, int(i))
                      for v, i in zip(x, ids) if i != own]
             assert [(-int(s), int(i)) for i, s in zip(best, scores)] == sorted(exact)[:5]
 
 
+def test_reading_stops_early_where_bounds_exclude_the_others():
+    """Few large components decide: their lists need not be read far."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-3, 4, (2000, 6))
+    x[:10, 0] += 10_000
+    (_, best, _, depth), = topk.top_of_block(x, np.arange(2000), np.array([[9, 1, 1, 1, 1, 1]]),
+                                             np.array([-1]), 5)
+    assert set(best) <= set(range(10)) and depth < 1
+    flat = rng.integers(-200, 200, (2000, 64))
+    assert [d for *_, d in topk.top_of_block(flat, np.arange(2000), flat[:2], np.arange(2), 5)
+            ] == [1.0, 1.0]
+
+
+def test_huge_components_saturate(spark):
+    table = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]),
+                                   (3, [2.0, 2.0]), (4, [0.0, 0.5])],
+                                  "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(table, "embedding", 256)
+    found = topk.exact_top_k(vectors, vectors.where("vec_id = 0"), 5).collect()
+    most = 2 ** 63 - 1
+    assert [(r["vec_id"], r["score"]) for r in found] == [
+        (1, most), (3, most), (4, 256 * 128), (2, -most - 1)]
+
+
 ROLES = ["user", "assistant", "system", "tool\nbox", "a\\nb", "<|im_start|>", ""]
 
 
