@@ -678,6 +678,37 @@ q{i + 1} AS MATERIALIZED (SELECT p_partkey,
     return ", ".join(ctes)
 
 
+ORACLE_SQL["gauge_study"] = f"""
+WITH g AS (SELECT p_brand, p_partkey, op, p_retailprice::DOUBLE / 1000 + op * 0.05::DOUBLE
+    + ((p_partkey * op) % 7)::DOUBLE / 70 + ((p_partkey * 37 + op * 101 + rep * 53) % 97)::DOUBLE / 97 * 0.2::DOUBLE AS y
+  FROM part, range(1, 4) AS t(op), range(1, 5) AS u(rep)),
+m AS (SELECT p_brand, avg(y) AS m, count(DISTINCT p_partkey) AS p FROM g GROUP BY 1),
+c AS (SELECT p_brand, p_partkey, op, avg(y) AS cm FROM g GROUP BY ALL),
+a AS (SELECT p_brand, p_partkey, avg(y) AS am FROM g GROUP BY ALL),
+b AS (SELECT p_brand, op, avg(y) AS bm FROM g GROUP BY ALL),
+ss AS (SELECT p_brand, any_value(p) AS p, sum(pow(am - m, 2)) AS part, sum(pow(bm - m, 2)) AS operator,
+    sum(pow(cm - am - bm + m, 2)) AS interaction, sum(pow(y - cm, 2)) AS repeat
+  FROM g JOIN m USING (p_brand) JOIN c USING (p_brand, p_partkey, op)
+  JOIN a USING (p_brand, p_partkey) JOIN b USING (p_brand, op) GROUP BY 1),
+f AS (SELECT *, p - 1 AS d1, 2 AS d2, (p - 1) * 2 AS d3, p * 9 AS d4 FROM ss),
+v AS (SELECT *, greatest(0, (part / d1 - interaction / d3) / 12) AS va,
+  greatest(0, (operator / d2 - interaction / d3) / (p * 4)) AS vb,
+  greatest(0, (interaction / d3 - repeat / d4) / 4) AS vc, repeat / d4 AS ve FROM f)
+SELECT p_brand, true AS balanced, {rd('part')} AS ss_part, {rd('operator')} AS ss_operator,
+  {rd('interaction')} AS ss_interaction, {rd('repeat')} AS ss_repeat, d1 AS df_part,
+  d2::BIGINT AS df_operator, d3 AS df_interaction, d4 AS df_repeat, {rd('va')} AS var_part,
+  {rd('vb')} AS var_operator, {rd('vc')} AS var_interaction, {rd('ve')} AS var_repeat,
+  {rd('vb + vc + ve')} AS var_gauge,
+  {rd('100 * sqrt((vb + vc + ve) / (va + vb + vc + ve))', 4)} AS gauge_percent FROM v"""
+
+ORACLE_SQL["sketch_bands"] = """
+SELECT l_returnflag, prob, count(*) AS n, true AS within FROM lineitem,
+  unnest([0.0::DOUBLE, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS t(prob) GROUP BY ALL"""
+
+ORACLE_SQL["fit_rational_certified"] = f"""
+WITH {V3_WHOLE} SELECT p_partkey, count(*) AS n, true AS converged, true AS stationary,
+  true AS same_sse FROM v3 WHERE pos >= 8 AND pos < 600 GROUP BY 1"""
+
 ORACLE_SQL["fit_layer_stack"] = f"""
 WITH {stack_fit_ctes()} SELECT p_partkey, true AS converged, {rd('p1', 4)} AS si_um, {rd('p2', 3)} AS sio2_nm,
   {rd('p3', 3)} AS si3n4_nm FROM q6"""

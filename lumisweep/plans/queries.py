@@ -12,8 +12,8 @@ from lumisweep.functions.formatting import (clean_name_column, format_eng, forma
 from lumisweep.functions.optics import layer_angle, with_responsivity
 from lumisweep.functions.rounding import (decimal_comma_to_double, double_to_decimal_comma,
                                           hz_to_mhz, rise_time_ps, round_even, round_numeric)
-from lumisweep.operators import (envelopes, factored, fits, readout, resample, rollup, stackfit, stats,
-                                 sweepgrid)
+from lumisweep.operators import (envelopes, factored, fits, gauge, readout, resample, rollup,
+                                 sketches, stackfit, stats, sweepgrid)
 from lumisweep.operators.keyed import dense_positions
 from lumisweep.plans import jobs, views
 from lumisweep.plans.cut_queries import CUT_QUERIES
@@ -681,3 +681,42 @@ def stack_fit_coefficients(spark, sf):
 @query
 def stack_fit_rejected(spark, sf):
     return _stack_reports(spark, sf)["rejected"]
+
+
+@query
+def fit_rational_certified(spark, sf):
+    """Every fit of the full slice is stationary, by sums recomputed from its coefficients."""
+    packed = views.device_sweep(spark, sf, views.WHOLE_POINTS).withColumn(
+        "points", F.filter("points", lambda x: (x["pos"] >= 8) & (x["pos"] < 600)))
+    fitted = fits.fit_rational_packed(packed, ["p_partkey"], digits=None)
+    samples = packed.select("p_partkey", F.inline("points"))
+    proof = fits.rational_certificate(samples, fitted, ["p_partkey"])
+    found = fitted.select("p_partkey", F.col("sse").alias("fit_sse"), "converged")
+    return proof.join(found, "p_partkey").select(
+        "p_partkey", "n", "converged", (F.col("slant") < 1e-5).alias("stationary"),
+        (F.abs(F.col("sse") - F.col("fit_sse")) < 1e-7 * F.col("fit_sse")).alias("same_sse"))
+
+
+@query
+def gauge_study(spark, sf):
+    """Crossed study per brand: its parts, three operators, four repeats each."""
+    rows = views.gauge_rows(spark, sf)
+    found = gauge.crossed_study(rows, ["p_brand"], "p_partkey", "operator", "value")
+    numbers = [c for c in found.columns if c.startswith(("ss_", "var_"))]
+    return rounded(found, 6, numbers).withColumn("gauge_percent", r("gauge_percent", 4))
+
+
+SKETCH_PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+
+
+@query
+def sketch_bands(spark, sf):
+    """Bands per return flag from sketches kept per flag and ship month: true rank errors."""
+    rows = views.table(spark, sf, "lineitem").select(
+        "l_returnflag", F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice")
+    kept = sketches.sketch_table(rows, ["l_returnflag", "month"], "l_extendedprice")
+    bands = sketches.sketch_bands(sketches.merge_sketches(kept, ["l_returnflag"]), SKETCH_PROBS)
+    errors = sketches.rank_errors(rows, bands, ["l_returnflag"], "l_extendedprice", SKETCH_PROBS)
+    # Twice the stated error, which holds 99 times of 100.
+    return errors.select("l_returnflag", "prob", "n",
+                         (F.col("error") <= 2 * sketches.rank_error()).alias("within"))

@@ -253,3 +253,17 @@ def stack_report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("stack_"), F.lpad(key.cast("string"), 12, "0"), F.lit(".csv"))
     return lines.select(name.alias("path"), F.encode(F.concat(
         F.array_join(whole, "\r\n"), F.lit("\r\n")), "UTF-8").alias("content"))
+
+
+def gauge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts measured by three operators, four times each: ``value`` around the part's price."""
+    key, op, rep = F.col("p_partkey"), F.col("operator"), F.col("repeat")
+    rows = (spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"),
+                   ["p_partkey"])
+            .withColumn("operator", F.explode(F.sequence(F.lit(1), F.lit(3))))
+            .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(4)))))
+    ripple = ((key * 37 + op * 101 + rep * 53) % 97) / F.lit(97.0)
+    both = ((key * op) % 7) / F.lit(70.0)
+    return rows.select("p_brand", "p_partkey", "operator", (
+        F.col("p_retailprice").cast("double") / 1000 + op * 0.05 + both + ripple * 0.2)
+        .alias("value"))

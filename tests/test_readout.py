@@ -86,17 +86,23 @@ def test_low_pass_far_from_any_start(spark, f0):
 def test_rational_fit_follows_its_own_model(spark):
     import numpy as np
     f = np.arange(1, 600) * 2.0
-    true = np.array([[-18.0, 1.5, 1.0, 1.2, 4.0, -0.4]])
-    level, slope = fits._rational(true, np.exp(-1j * f / 1000)[None, :])
-    nudged = true.copy()
-    nudged[0, 4] += 1e-6
-    numeric = (fits._rational(nudged, np.exp(-1j * f / 1000)[None, :])[0] - level) / 1e-6
-    np.testing.assert_allclose(slope[0, :, 4], numeric[0], atol=1e-5)
+    six = [-18.0, 1.5, 1.0, 1.2, 4.0, -0.4]
+    e = np.exp(-1j * f / 1000)[None, :]
+    h = six[0] + (six[1] + six[2] * e + six[3] * e**2) / (six[4] + six[5] * e**2)
+    true = np.array([fits._plain(six)])
+    level, slope = fits._rational(true, e)
+    np.testing.assert_allclose(level, 20 * np.log10(np.abs(h)), atol=1e-12)
+    np.testing.assert_allclose(fits._plain(fits._six(true)[0]), true[0], atol=1e-12)
+    for i in range(4):
+        nudged = true.copy()
+        nudged[0, i] += 1e-6
+        numeric = (fits._rational(nudged, e)[0] - level) / 1e-6
+        np.testing.assert_allclose(slope[0, :, i], numeric[0], atol=1e-5)
     rows = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(
         zip(f, level[0]))], "k string, pos int, f double, a double")
     fitted = fits.fit_rational(rows, ["k"], digits=None)
     row = fitted.first()
-    assert row["sse"] < 1e-6
+    assert row["sse"] < 1e-6 and row["converged"]
     assert max(abs(p["a"] - level[0][p["pos"]]) for p in row["points"]) < 1e-3
     assert fits.cutoff_of_fit(fitted).first()["cutoff_mhz"] is not None
 
