@@ -2,14 +2,15 @@
 
 A sweep file is read as one row, so header and footer are cut by position inside
 the row and nothing is shuffled.  Its size is bounded by the instrument (about two
-thousand samples).
+thousand samples).  ``read_long_sweeps`` gives the same samples of files of any size, which
+are read in blocks by as many tasks as they have blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import decimal_comma_to_double, round_even
@@ -58,6 +59,19 @@ def rejected_files(files: DataFrame) -> DataFrame:
     return files.where(~has_identity()).select("file")
 
 
+def _numbers(line: Column, digits: int | None, round_after_unit: bool, to_mhz: bool
+             ) -> tuple[Column, Column]:
+    """Frequency and level of a sample line; see ``packed_sweeps``."""
+    def rounded(c: Column) -> Column:
+        return c if digits is None else round_even(c, digits)
+
+    fields = F.split(line, ";")
+    raw = decimal_comma_to_double(fields[0])
+    f = (rounded(raw) if not to_mhz else
+         rounded(raw / 1e6) if round_after_unit else rounded(raw) / 1e6)
+    return f, rounded(decimal_comma_to_double(F.get(fields, F.lit(1))))
+
+
 def packed_sweeps(files: DataFrame, skip_head: int = 3, skip_foot: int = 11,
                   digits: int | None = 5, round_after_unit: bool = False,
                   max_rows: int | None = None, to_mhz: bool = True,
@@ -73,19 +87,9 @@ def packed_sweeps(files: DataFrame, skip_head: int = 3, skip_foot: int = 11,
     if exclude_parts:
         kept = kept.where(~F.col("part").isin(*exclude_parts))
 
-    def rounded(c: Column) -> Column:
-        return c if digits is None else round_even(c, digits)
-
-    def frequency(raw: Column) -> Column:
-        if not to_mhz:
-            return rounded(raw)
-        return rounded(raw / 1e6) if round_after_unit else rounded(raw) / 1e6
-
     def sample(line: Column, i: Column) -> Column:
-        fields = F.split(line, ";")
-        return F.struct(
-            i.alias("pos"), frequency(decimal_comma_to_double(fields[0])).alias("f"),
-            rounded(decimal_comma_to_double(F.get(fields, F.lit(1)))).alias("a"))
+        f, a = _numbers(line, digits, round_after_unit, to_mhz)
+        return F.struct(i.alias("pos"), f.alias("f"), a.alias("a"))
 
     length = F.greatest(F.size("_lines") - skip_head - skip_foot, F.lit(0))
     if max_rows is not None:
@@ -101,3 +105,47 @@ def read_sweeps(spark: SparkSession, path: str | Sequence[str], pattern: str = "
     """Samples of all sweep files of a folder, one row each (S2; S9 for one file)."""
     packed = packed_sweeps(sweep_files(spark, path, pattern), **options)
     return unpack_sweep(packed)
+
+
+def numbered_lines(spark: SparkSession, path: str | Sequence[str],
+                   pattern: str = "*.CSV") -> DataFrame:
+    """``path, file, line, pos, lines``: every line with its place in its file and their number.
+
+    A file is read in blocks.  Inside a block the lines have consecutive row numbers of their
+    task, so a line's place is its distance from the block's first line plus the lines of the
+    blocks before it.  Only one row per block is shuffled for that, and the lines meet it in a
+    join that is broadcast where the table of blocks is small.  Both reads list the same files
+    in the same blocks, since they share one plan of the input.
+    """
+    lines = spark.read.text(path, pathGlobFilter=pattern).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"),
+        F.monotonically_increasing_id().alias("_row"))
+    blocks = lines.groupBy("path", "_block").agg(
+        F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    of_file = Window.partitionBy("path")
+    earlier = of_file.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select("path", "_block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+                                              - F.col("_first")).alias("_shift"),
+                           F.sum("_n").over(of_file).alias("lines"))
+    return lines.join(placed, ["path", "_block"]).select(
+        "path", "file", "line", (F.col("_row") + F.col("_shift")).alias("pos"), "lines")
+
+
+def read_long_sweeps(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.CSV",
+                     skip_head: int = 3, skip_foot: int = 11, digits: int | None = 5,
+                     round_after_unit: bool = False, max_rows: int | None = None,
+                     to_mhz: bool = True, exclude_parts: Sequence[int] = EXCLUDED_PARTS
+                     ) -> DataFrame:
+    """The samples of ``read_sweeps``, read in blocks; same options."""
+    lines = numbered_lines(spark, path, pattern)
+    rows = lines.withColumns(parse_sweep_name(F.col("file"))).where(has_identity())
+    if exclude_parts:
+        rows = rows.where(~F.col("part").isin(*exclude_parts))
+    at = F.col("pos") - skip_head
+    body = (at >= 0) & (F.col("pos") < F.col("lines") - skip_foot)
+    if max_rows is not None:
+        body = body & (at < max_rows)
+    f, a = _numbers(F.col("line"), digits, round_after_unit, to_mhz)
+    return rows.where(body).select("file", "operator", "run_order", "part", "repeat",
+                                   at.cast("int").alias("pos"), f.alias("f"), a.alias("a"))
