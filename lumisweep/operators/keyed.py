@@ -29,6 +29,8 @@ from pyspark.sql.types import StringType
 #: Cut points that one quantile sketch can tell apart; finer cuts divide these evenly.
 SKETCH_CUTS = 8192
 ROWS_PER_BUCKET = 1_000_000
+#: Buckets of a text order, and sampled texts for each of them.
+TEXT_BUCKETS, SAMPLE_PER_BUCKET = 512, 16
 
 _ALL = "_all"
 
@@ -60,6 +62,50 @@ def order_number(df: DataFrame, column: str) -> Column:
     return value.cast("double")
 
 
+def text_splits(df: DataFrame, text: str, buckets: int = TEXT_BUCKETS) -> list[str]:
+    """Texts that cut all rows into about ``buckets`` even parts, by whole texts.
+
+    The sample is the ``SAMPLE_PER_BUCKET`` times ``buckets`` distinct texts of least hash: a
+    bounded number comes to the driver, and reruns cut the same.
+    """
+    hashed = F.xxhash64(text)
+    rows = (df.where(F.col(text).isNotNull()).select(text).distinct()
+            .orderBy(hashed, text).limit(SAMPLE_PER_BUCKET * buckets).collect())
+    sample = sorted((r[0] for r in rows), key=lambda t: t.encode())
+    step = max(1, len(sample) // buckets)
+    return sample[step::step]
+
+
+def text_bucket(text: Column, splits: Sequence[str]) -> Column:
+    """Number of ``splits`` up to and including each text, by binary search; NULL for NULL."""
+    cuts = F.lit(list(splits)) if splits else F.array().cast("array<string>")
+    steps = [2 ** i for i in reversed(range(len(splits).bit_length()))] or [1]
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(
+        F.get(cuts, at + step - 1) <= text, at + step).otherwise(at))
+    return F.when(text.isNotNull(), found)
+
+
+def text_positions(df: DataFrame, text: str, out: str = "pos",
+                   buckets: int = TEXT_BUCKETS) -> DataFrame:
+    """0-based position of each row in the order of the texts (UTF-8 bytes, NULL first).
+
+    Rows are ordered inside buckets of whole texts, however long the start is that all texts
+    share, and the rows of the buckets before are added from one row per bucket.  Equal texts
+    stay in one bucket; their order among each other is free.
+    """
+    bucket = F.coalesce(text_bucket(F.col(text), text_splits(df, text, buckets)), F.lit(-1))
+    rows = df.withColumn("_bucket", bucket)
+    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    # At most one row per cut.
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+                           .alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_bucket").orderBy(text))
+    return (rows.withColumn("_here", here).join(before, "_bucket")
+            .withColumn(out, (F.col("_before") + F.col("_here") - 1).cast("long"))
+            .drop("_bucket", "_here", "_before"))
+
+
 def order_splits(df: DataFrame, column: str) -> list[float]:
     """Cut points so that each bucket holds about the same share of all rows.
 

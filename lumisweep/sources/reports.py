@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumisweep.functions.formatting import clean_name_column
 from lumisweep.functions.rounding import decimal_comma_to_double
+from lumisweep.operators.keyed import text_positions
 from lumisweep.sources.sweeps import lines_of
 
 # Section marks and the labels of the wanted fields.
@@ -142,18 +143,15 @@ def header_ids(reports: DataFrame) -> DataFrame:
     """``path`` and the 1-based ordinal of each good file, ``header_id``.
 
     All files are numbered, folder by folder and by name within one; files with errors keep
-    their number and are then left out.  The order needs one row per file of a folder, and
-    one row per folder for the numbers before it.
+    their number and are then left out.  No task orders a whole folder: files are dealt into
+    even ranges of their whole paths.
     """
+    folder = F.regexp_extract("path", r"^(.*?)[^/]*$", 1)
+    # Folders come in order, and in each its paths: no path holds the zero between them.
     files = reports.select("path", _complete().alias("_good"),
-                           F.regexp_extract("path", r"^(.*?)[^/]*$", 1).alias("_folder"))
-    counts = files.groupBy("_folder").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_folder").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_folder", F.coalesce(F.sum("_n").over(before), F.lit(0))
-                            .alias("_before"))
-    here = F.row_number().over(Window.partitionBy("_folder").orderBy("path"))
-    return (files.withColumn("_here", here).join(offsets, "_folder").where("_good")
-            .select("path", (F.col("_before") + F.col("_here")).cast("int").alias("header_id")))
+                           F.concat(folder, F.lit("\0"), F.col("path")).alias("_order"))
+    return (text_positions(files, "_order", "_at").where("_good")
+            .select("path", (F.col("_at") + 1).alias("header_id")))
 
 
 def measured_with_header(data: DataFrame, header: DataFrame,

@@ -88,3 +88,24 @@ def test_large_plans_give_the_same_results(hot, monkeypatch):
     plain = results()
     monkeypatch.setattr(keyed, "ROWS_PER_BUCKET", 50)
     assert results() == plain
+
+
+def test_text_positions_spread_paths_with_a_common_start(spark):
+    """One folder, names that differ at the end only; NULL and repeated texts; any cut."""
+    names = spark.range(200_000).selectExpr(
+        "concat('/data/measured/one/folder/report_', lpad(string(id * 7919 % 200000), 9, '0')) t",
+        "id")
+    splits = keyed.text_splits(names, "t", 64)
+    assert 60 <= len(splits) <= 70
+    sizes = [r["count"] for r in names.withColumn(
+        "b", keyed.text_bucket(F.col("t"), splits)).groupBy("b").count().collect()]
+    assert len(sizes) == len(splits) + 1 and max(sizes) < 3 * 200_000 / len(sizes)
+    found = keyed.text_positions(names, "t", buckets=64)
+    wrong = found.where(F.col("pos") != F.col("id") * 7919 % 200_000)
+    assert wrong.count() == 0
+    odd = spark.createDataFrame([(None,), ("b",), ("",), ("b",), ("é",), ("Z",), (None,)], "t string")
+    for buckets in (1, 3, 512):
+        rows = keyed.text_positions(odd, "t", buckets=buckets).orderBy("pos").collect()
+        assert [r["pos"] for r in rows] == list(range(7))
+        assert [r["t"] for r in rows] == [None, None, "", "Z", "b", "b", "é"]
+    assert keyed.text_positions(odd.limit(0), "t").count() == 0
