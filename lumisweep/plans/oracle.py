@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from lumisweep.functions.formatting import SI_PREFIXES
 from lumisweep.functions.optics import QE_PER_NM
+from lumisweep.operators.bootstrap import FACTORS, POISSON, PRIME
 from lumisweep.operators.rollup import RISETIME_LIMITS_PS
 from lumisweep.operators.sweepgrid import thickness_decades
 from lumisweep.plans.views import (ALL_LAMBDAS, ANGLES, DEVICE_POINTS, FEW_LAMBDAS, LAMBDAS,
@@ -705,6 +706,24 @@ ORACLE_SQL["sketch_bands"] = """
 SELECT l_returnflag, prob, count(*) AS n, true AS within FROM lineitem,
   unnest([0.0::DOUBLE, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]) AS t(prob) GROUP BY ALL"""
 
+_hashes = f"""h0 AS (SELECT *, ((l_orderkey * 8 + l_linenumber)::BIGINT % {PRIME} * {FACTORS[0]}
+  + rep * {FACTORS[1]} + 1) % {PRIME} AS x0 FROM lineitem, range(1, 101) AS t(rep))"""
+for _i, _factor in enumerate(FACTORS):
+    _hashes += f""",
+h{_i + 1} AS (SELECT *, xor(x{_i}, x{_i} >> 15) % {PRIME} * {_factor} % {PRIME} AS x{_i + 1} FROM h{_i})"""
+ORACLE_SQL["mean_bootstrap_ci"] = f"""
+WITH {_hashes},
+w AS (SELECT l_linestatus, l_returnflag, rep, l_extendedprice::DOUBLE AS v,
+  list_count(list_filter([{', '.join(f'{c!r}::DOUBLE' for c in POISSON)}], lambda c: x3 / {PRIME}.0::DOUBLE >= c)) AS n
+  FROM h3),
+m AS (SELECT l_linestatus, l_returnflag, rep, sum(n * v) / sum(n) AS m FROM w GROUP BY ALL),
+e AS (SELECT l_linestatus, l_returnflag, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi
+  FROM m GROUP BY ALL),
+p AS (SELECT l_linestatus, l_returnflag, count(*) AS n, avg(l_extendedprice::DOUBLE) AS a
+  FROM lineitem GROUP BY ALL)
+SELECT l_linestatus, l_returnflag, n, {rd('a', 4)} AS mean, {rd('lo', 4)} AS low, {rd('hi', 4)} AS high
+FROM p JOIN e USING (l_linestatus, l_returnflag)"""
+
 ORACLE_SQL["fit_rational_certified"] = f"""
 WITH {V3_WHOLE} SELECT p_partkey, count(*) AS n, true AS converged, true AS stationary,
   true AS same_sse FROM v3 WHERE pos >= 8 AND pos < 600 GROUP BY 1"""

@@ -12,8 +12,8 @@ from lumisweep.functions.formatting import (clean_name_column, format_eng, forma
 from lumisweep.functions.optics import layer_angle, with_responsivity
 from lumisweep.functions.rounding import (decimal_comma_to_double, double_to_decimal_comma,
                                           hz_to_mhz, rise_time_ps, round_even, round_numeric)
-from lumisweep.operators import (envelopes, factored, fits, gauge, readout, resample, rollup,
-                                 sketches, stackfit, stats, sweepgrid)
+from lumisweep.operators import (bootstrap, envelopes, factored, fits, gauge, readout, resample,
+                                 rollup, sketches, stackfit, stats, sweepgrid)
 from lumisweep.operators.keyed import dense_positions
 from lumisweep.plans import jobs, views
 from lumisweep.plans.cut_queries import CUT_QUERIES
@@ -720,3 +720,14 @@ def sketch_bands(spark, sf):
     # Twice the stated error, which holds 99 times of 100.
     return errors.select("l_returnflag", "prob", "n",
                          (F.col("error") <= 2 * sketches.rank_error()).alias("within"))
+
+
+@query
+def mean_bootstrap_ci(spark, sf):
+    """Mean price per line status and return flag with a bootstrap interval over its rows."""
+    rows = views.table(spark, sf, "lineitem").select(
+        "l_linestatus", "l_returnflag", "l_extendedprice",
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"))
+    found = bootstrap.bootstrap_mean(rows, ["l_linestatus", "l_returnflag"], "l_extendedprice", "row",
+                                     replicates=100)
+    return rounded(found, 4, ["mean", "low", "high"])
