@@ -37,7 +37,7 @@ from lumisweep.llm.common import settle
 
 FREQUENT = 1 << 16
 HOT_SHARE = 1024
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 RUN_CHARS = 1 << 18
 LONG_UNIT = 48
 ALIGNED = ("text_key string, copies long, n_a long, n_b long, n_groups long, n_links long, "
