@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import QE_PER_NM, quantum_eff, with_reflectance
 from lumisweep.operators.keyed import join_on
+from lumisweep.operators.sweepgrid import spread
 
 # The numpy helpers travel with the tasks; executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -170,7 +171,8 @@ def fit_layer_stack(measured: DataFrame, indices: DataFrame, keys: Sequence[str]
                 F.count(y).cast("double").alias("_n"), F.sum(y).alias("_y"),
                 F.greatest(F.lit(0.0), F.sum(square) - F.sum(y) * F.avg(y)).alias("_within")))
     fields = F.array(*[F.col(c).cast("double") for c in _FIELDS])
-    curves = (sums.join(indices.select("lambda_nm", *_OPTICAL), "lambda_nm")
+    # Dealt by key in a fixed number of parts: few bytes, but much to compute.
+    curves = (spread(sums.join(indices.select("lambda_nm", *_OPTICAL), "lambda_nm"), keys)
               .groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_curve")))
     first = [start[k] for k in PARAMETERS] if start else None
 
