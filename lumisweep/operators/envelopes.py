@@ -73,7 +73,19 @@ def targets_with_envelope_by_angle(sweep: DataFrame, angle: str = "angle_deg",
     A right join: an angle without target rows stays, with NULL target columns.
     """
     bounds = sweep.groupBy(angle).agg(F.min(value).alias("min"), F.max(value).alias("max"))
-    return sweep.where(on_target()).join(bounds, angle, "right")
+    return with_angle_bounds(sweep.where(on_target()), bounds, angle)
+
+
+def with_angle_bounds(targets: DataFrame, bounds: DataFrame, angle: str = "angle_deg") -> DataFrame:
+    """The right join of target rows with one row per angle.
+
+    A right join can only broadcast its left side, and the fan-out of a sweep does not show in
+    its estimated size.  Here the rows of the few angles are sent to the targets, and angles
+    without targets are added.
+    """
+    met = targets.join(F.broadcast(bounds), angle)
+    bare = bounds.join(F.broadcast(targets.select(angle).distinct()), angle, "left_anti")
+    return met.unionByName(bare, allowMissingColumns=True)
 
 
 def point_table(envelopes: DataFrame, lambda_nm: float, digits: int = 4) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.functions.optics import absorption, quantum_eff, with_reflectance
-from lumisweep.operators.sweepgrid import LAYERS, level_column, spread
+from lumisweep.operators.sweepgrid import GEOMETRY, LAYERS, level_column, spread
 
 #: Tells by value, target and "is the target level" whether a level of a layer is in a band.
 Inside = Callable[[Column, Column, Column], Column]
@@ -47,16 +47,18 @@ ONE_FACTOR: dict[str, dict[str, Inside]] = {
 
 def thin_sweep(stacks: DataFrame, keys: Sequence[str], lambdas: Sequence[float],
                bands: dict[str, dict[str, Inside]], indices: Callable[[DataFrame], DataFrame],
-               angles: Sequence[float] = (0.0,), n: int = 3) -> DataFrame:
+               angles: Sequence[float] = (0.0,), n: int = 3,
+               dealt: Sequence[str] | None = None) -> DataFrame:
     """One row per stack, wavelength, angle and pair of thin-layer levels.
 
+    The stacks are dealt by ``dealt``, by default the keys.
+
     ``stacks`` has ``target_<layer>`` and ``tolerance_<layer>`` in m per key; ``indices``
     adds the optical columns of ``lambda_nm``.  Columns: the keys, ``lambda_nm``,
     ``angle_deg``, ``r``, and per band ``<band>_in`` (the pair is in it), ``<band>_low`` and
     ``<band>_high`` (the extremes of the absorption over its silicon levels).
     """
-    df = spread(stacks.select(*keys, *[f"{p}_{x}" for x in LAYERS for p in ("target", "tolerance")]),
-                keys)
+    df = spread(stacks.select(*keys, *GEOMETRY), dealt or keys)
     levels = {x: level_column(F.col(f"target_{x}"), F.col(f"tolerance_{x}"), n) for x in LAYERS}
     df = df.withColumn("_si", levels["si"]).withColumn(
         "lambda_nm", F.explode(F.lit([float(v) for v in lambdas])))
