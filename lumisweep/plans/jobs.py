@@ -11,7 +11,7 @@ from lumisweep.functions.optics import with_responsivity
 from lumisweep.operators.fits import cutoff_of_fit, fit_lowpass2, fit_rational_packed
 from lumisweep.operators.readout import (cutoff_packed, cutoff_readout, positional_slice,
                                          unpack_sweep, with_rise_time)
-from lumisweep.operators.keyed import join_on
+from lumisweep.operators.keyed import join_values
 from lumisweep.operators.resample import refractive_indices
 from lumisweep.operators.rollup import (lookup_join, mean_over_repeats, part_operator_summary,
                                         rollup_mean_of_ratios, rollup_ratio_of_means,
@@ -133,7 +133,7 @@ def fit_reports(reports: DataFrame, optical: DataFrame, y: str = "empfindlichkei
              .select("path", F.lit("no measured value").alias("reason")))
     unsettled = fitted.where(~F.col("converged")).select(
         "path", F.lit("fit does not settle").alias("reason"))
-    return {"fits": join_on(fitted.drop("inverse"), rmse, DEVICE_KEYS),
+    return {"fits": join_values(fitted.drop("inverse"), rmse, DEVICE_KEYS),
             "coefficients": coefficient_summary(fitted, DEVICE_KEYS, against),
             "curves": curves,
             "rejected": report_errors(reports).select("path", "reason").unionByName(empty)
