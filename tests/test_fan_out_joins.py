@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumisweep.operators import fits, stackfit
@@ -29,3 +30,23 @@ def test_stack_prediction_broadcasts_no_curves(spark):
                                            for k in stackfit.PARAMETERS])
     plan = _plan(stackfit.predict_layer_stack(curves, indices, fitted, ["id"], "y"))
     assert "ShuffledHashJoin [coalesce(id" in plan
+
+
+def test_singular_steps_are_refused():
+    matrices = np.stack([np.ones((2, 2)), 2 * np.eye(2)])
+    found = fits.solve_each(matrices, np.ones((2, 2)))
+    assert np.isnan(found[0]).all() and (found[1] == 0.5).all()
+
+
+def test_equal_sweeps_are_fitted_once(monkeypatch):
+    f = np.arange(80.0, 1500.0, 10.0)
+    a = [-20 * np.log10(1 + (f / 300) ** 2), -20 * np.log10(1 + (f / 400) ** 2)]
+    solved = []
+    block = fits._fit_block
+    monkeypatch.setattr(fits, "_fit_block", lambda x, y: solved.append(len(x)) or block(x, y))
+    known = {}
+    with np.errstate(all="ignore"):
+        found = fits._fit_new([f, f, f], [a[0], a[1], a[0]], known)
+        again = fits._fit_new([f], [a[1]], known)
+    assert sum(solved) == 2
+    assert (found[0] == found[2]).all() and (again[0] == found[1]).all()
