@@ -54,8 +54,13 @@ def format_si(x: Column, unit: str = "") -> Column:
 
 
 def format_fixed(x: Column, digits: int) -> Column:
-    """Fixed notation with all digits (no exponent)."""
-    return F.round(x, digits).cast(f"decimal(38,{digits})").cast("string")
+    """Fixed notation with all digits (no exponent).
+
+    The scaled number is rounded, half away from zero, not its decimal text: 0.06545, which lies
+    below the middle, gives 0.0654.
+    """
+    scale = F.lit(float(10 ** digits))
+    return (F.round(x * scale) / scale).cast(f"decimal(38,{digits})").cast("string")
 
 
 def clean_name(name: str) -> str:
