@@ -50,3 +50,15 @@ def test_equal_sweeps_are_fitted_once(monkeypatch):
         again = fits._fit_new([f], [a[1]], known)
     assert sum(solved) == 2
     assert (found[0] == found[2]).all() and (again[0] == found[1]).all()
+
+
+def test_equal_curves_are_fitted_once(monkeypatch):
+    curve = np.random.default_rng(1).uniform(1, 2, (9, len(stackfit._FIELDS)))
+    solved = []
+    block = stackfit._fit_block
+    monkeypatch.setattr(stackfit, "_fit_block",
+                        lambda x, y: solved.append(len(x)) or block(x, y))
+    with np.errstate(all="ignore"):
+        found = stackfit._fit_new([curve.ravel(), 2 * curve.ravel(), curve.ravel()], None, {})
+    assert sum(solved) == 2
+    assert np.array_equal(found[0], found[2], equal_nan=True)
