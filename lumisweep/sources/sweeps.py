@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumisweep.functions.rounding import decimal_comma_to_double, round_even
-from lumisweep.operators.readout import unpack_sweep
 
 EXCLUDED_PARTS = (1, 2, 3, 4)
 NAME_PATTERN = r"^([^_]+)_([^_]*\d[^_]*)_([^_]*\d[^_]*)_([^_.]{3})[^_]*$"
@@ -34,8 +33,11 @@ def parse_sweep_name(name: Column) -> dict[str, Column]:
 
 def lines_of(text: Column) -> Column:
     """Lines of a file, whatever the line ends, without an empty last one."""
-    ends = "\r\n|\n|\r"
-    return F.split(F.regexp_replace(text, f"(?:{ends})$", ""), ends)
+    # A search in the whole text takes longer than all else; the last end is in the last bytes.
+    tail = F.regexp_replace(F.right(text, F.lit(4)), r"(?:\r\n|\n|\r)$", "")
+    cut = F.concat(F.substring(text, F.lit(1), F.length(text) - 4), tail)
+    one_end = F.replace(F.replace(cut, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.split(F.when(F.contains(cut, F.lit("\r")), one_end).otherwise(cut), "\n")
 
 
 def sweep_files(spark: SparkSession, path: str | Sequence[str],
@@ -59,19 +61,31 @@ def rejected_files(files: DataFrame) -> DataFrame:
     return files.where(~has_identity()).select("file")
 
 
-def _numbers(line: Column, digits: int | None, round_after_unit: bool, to_mhz: bool
+def _numbers(fields: Column, digits: int | None, round_after_unit: bool, to_mhz: bool
              ) -> tuple[Column, Column]:
-    """Frequency and level of a sample line; see ``packed_sweeps``."""
+    """Frequency and level from the fields of a sample line; see ``packed_sweeps``."""
     def rounded(c: Column) -> Column:
         return c if digits is None else round_even(c, digits)
 
-    fields = F.split(line, ";")
     raw = decimal_comma_to_double(fields[0])
     f = (rounded(raw) if not to_mhz else
          rounded(raw / 1e6) if round_after_unit else rounded(raw) / 1e6)
     return f, rounded(decimal_comma_to_double(F.get(fields, F.lit(1))))
 
 
+def _sample_lines(files: DataFrame, skip_head: int, skip_foot: int, max_rows: int | None,
+                  exclude_parts: Sequence[int]) -> tuple[DataFrame, Column]:
+    """The files that are kept with ``_lines``, and the array of their sample lines."""
+    kept = files.where(has_identity())
+    if exclude_parts:
+        kept = kept.where(~F.col("part").isin(*exclude_parts))
+    length = F.greatest(F.size("_lines") - skip_head - skip_foot, F.lit(0))
+    if max_rows is not None:
+        length = F.least(length, F.lit(max_rows))
+    return (kept.withColumn("_lines", lines_of(F.col("content"))),
+            F.slice("_lines", F.lit(skip_head + 1), length))
+
+
 def packed_sweeps(files: DataFrame, skip_head: int = 3, skip_foot: int = 11,
                   digits: int | None = 5, round_after_unit: bool = False,
                   max_rows: int | None = None, to_mhz: bool = True,
@@ -83,28 +97,40 @@ def packed_sweeps(files: DataFrame, skip_head: int = 3, skip_foot: int = 11,
     ``skip_foot=0, max_rows=1000, round_after_unit=True``.  Fields that are not
     numbers become NULL.
     """
-    kept = files.where(has_identity())
-    if exclude_parts:
-        kept = kept.where(~F.col("part").isin(*exclude_parts))
-
-    def sample(line: Column, i: Column) -> Column:
-        f, a = _numbers(line, digits, round_after_unit, to_mhz)
+    def sample(fields: Column, i: Column) -> Column:
+        f, a = _numbers(fields, digits, round_after_unit, to_mhz)
         return F.struct(i.alias("pos"), f.alias("f"), a.alias("a"))
 
-    length = F.greatest(F.size("_lines") - skip_head - skip_foot, F.lit(0))
-    if max_rows is not None:
-        length = F.least(length, F.lit(max_rows))
-    body = F.slice("_lines", F.lit(skip_head + 1), length)
-    return (kept.withColumn("_lines", lines_of(F.col("content")))
-            .withColumn("points", F.transform(body, sample))
+    kept, body = _sample_lines(files, skip_head, skip_foot, max_rows, exclude_parts)
+    # Split first: a function of array elements does not share its common parts.
+    fields = F.transform(body, lambda line: F.split(line, ";"))
+    return (kept.withColumn("points", F.transform(fields, sample))
             .select("file", "operator", "run_order", "part", "repeat", "points"))
 
 
+def sweep_samples(files: DataFrame, skip_head: int = 3, skip_foot: int = 11,
+                  digits: int | None = 5, round_after_unit: bool = False,
+                  max_rows: int | None = None, to_mhz: bool = True,
+                  exclude_parts: Sequence[int] = EXCLUDED_PARTS) -> DataFrame:
+    """The samples of ``packed_sweeps``, one row each; same options.
+
+    Lines become rows before they are parsed, so that the parsing is compiled; inside an array
+    it is interpreted.
+    """
+    kept, body = _sample_lines(files, skip_head, skip_foot, max_rows, exclude_parts)
+    names = ["file", "operator", "run_order", "part", "repeat"]
+    # The outer form and the condition on its row: see ``unpack_sweep``.
+    lines = kept.select(*names, F.posexplode_outer(body).alias("pos", "_line")).where(
+        F.col("pos").isNotNull())
+    f, a = _numbers(F.col("_fields"), digits, round_after_unit, to_mhz)
+    return lines.select(*names, "pos", F.split("_line", ";").alias("_fields")).select(
+        *names, "pos", f.alias("f"), a.alias("a"))
+
+
 def read_sweeps(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.CSV",
                 **options) -> DataFrame:
     """Samples of all sweep files of a folder, one row each (S2; S9 for one file)."""
-    packed = packed_sweeps(sweep_files(spark, path, pattern), **options)
-    return unpack_sweep(packed)
+    return sweep_samples(sweep_files(spark, path, pattern), **options)
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str],
@@ -146,6 +172,6 @@ def read_long_sweeps(spark: SparkSession, path: str | Sequence[str], pattern: st
     body = (at >= 0) & (F.col("pos") < F.col("lines") - skip_foot)
     if max_rows is not None:
         body = body & (at < max_rows)
-    f, a = _numbers(F.col("line"), digits, round_after_unit, to_mhz)
+    f, a = _numbers(F.split("line", ";"), digits, round_after_unit, to_mhz)
     return rows.where(body).select("file", "operator", "run_order", "part", "repeat",
                                    at.cast("int").alias("pos"), f.alias("f"), a.alias("a"))

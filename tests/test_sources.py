@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lumisweep.functions import formatting, rounding
 from lumisweep.operators import rollup
-from lumisweep.plans import jobs
+from lumisweep.operators.readout import unpack_sweep
+from lumisweep.plans import jobs, views
 from lumisweep.sources import reports, sinks, sweeps, tables
 from lumisweep.streaming import readout as stream
 
@@ -206,3 +207,54 @@ def test_fit_and_comparison_jobs(spark, tmp_path):
     tables = jobs.comparison_job(spark, str(tmp_path), fmin=2.0, fmax=20.0)
     assert tables["summary"].where("level = 'part'").count() == 2
     assert sum(r["n"] for r in tables["bands"].collect()) == 2
+
+
+def test_line_ends_are_cut_as_by_one_pattern(spark):
+    ends = ["", "\n", "\r\n", "\r", "\n\n", "\r\n\r\n", "\n\r\n", "\n\r", "\r\r\n", "\n\n\n"]
+    texts = [(start + end,) for start in ("", "a", "ab;c", "a\nb\r\nc\rd", "\r\n\nx") for end in ends]
+    rows = spark.createDataFrame([*texts, (None,)], "text string").select(
+        "text", sweeps.lines_of(F.col("text")).alias("got"), F.split(F.regexp_replace(
+            "text", "(?:\r\n|\n|\r)$", ""), "\r\n|\n|\r").alias("expected")).collect()
+    assert [r["text"] for r in rows if r["got"] != r["expected"]] == []
+
+
+def test_lines_become_rows_before_they_are_parsed(spark, sweep_dir):
+    files = sweeps.sweep_files(spark, sweep_dir)
+    for options in ({}, {"skip_foot": 0, "max_rows": 5, "round_after_unit": True},
+                    {"exclude_parts": ()}):
+        rows = sweeps.sweep_samples(files, **options)
+        packed = unpack_sweep(sweeps.packed_sweeps(files, **options)).select(*rows.columns)
+        assert rows.count() == packed.count() > 0
+        assert rows.exceptAll(packed).isEmpty() and packed.exceptAll(rows).isEmpty()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan
+
+
+def _expected_text(key, size, points):
+    lines = ["Type;demo", "Date;none", "Trace;1;"]
+    for i in range(1, points + 1):
+        f = 10.0 * i
+        ripple = (math.fmod(key * 37 + i * 101, 97) / 97 - 0.5) * 0.1
+        a = -20 * math.log10(1 + (f / (200 + 5 * size)) ** 2) + ripple
+        lines.append(f"{round(f * 1e6)};{a:.4f};".replace(".", ","))
+    return "\n".join([*lines, *["end;0"] * 11]) + "\n"
+
+
+def test_equal_texts_are_written_once(spark, tmp_path):
+    # Keys of one remainder, far apart, negative, without a number, and rows that come twice.
+    parts = [(k, s) for k in (5, 102, 199, 5 + 97 * 10_000, -92, -189) for s in (3, 4)]
+    parts += [(5, 3), (102, 3), (None, 3), (7, None)]
+    spark.createDataFrame([(k, "B", s) for k, s in parts],
+                          "p_partkey long, p_brand string, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    texts = views.sweep_texts(spark, str(tmp_path))
+    got = sorted((r["file"], r["content"]) for r in texts.collect() if r["file"])
+    name = "OP{0}_RO{1}_part{2:.0f}_{3:.0f}.CSV"
+    expected = sorted((name.format(k, s, 1 + math.fmod(k, 10), 0).rsplit("_", 1)[0],
+                       _expected_text(k, s, views.DEVICE_POINTS)) for k, s in parts
+                      if k is not None and s is not None)
+    assert [(f.rsplit("_", 1)[0], c) for f, c in got] == expected
+    assert texts.count() == len(parts)
+    # Three of the positive keys share a text for each size.
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.index("Generate") < plan.index("transform(")
