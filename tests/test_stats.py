@@ -64,3 +64,23 @@ def test_summary_and_bands(spark):
     assert rows["part_operator", "q", "b"]["n"] == 0 and len(rows) == 8
     bands = df.select(rollup.threshold_band(F.col("v")).alias("b")).collect()
     assert [r["b"] for r in bands] == [0, 1, 1, 3, None]
+
+
+def test_rows_meet_the_grid_of_few_keys_without_a_shuffle(spark):
+    n = 400
+    rows = [(None if i % 2 else "a", float(i % 20), float(i * 7 % 13)) for i in range(n)]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0)], "k string, x double, y double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found, step in ((stats.kde_1d(df.where("x IS NOT NULL"), ["k"], "x", 32), "1d"),
+                            (stats.kde_2d(df, ["k"], "x", "y", 16), "2d")):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("BroadcastHashJoin") == 1, step
+            sums = {r["k"]: r for r in found.groupBy("k").agg(
+                F.count("*").alias("n"), F.sum("density").alias("d")).collect()}
+            assert set(sums) == {None, "a"}
+            assert all(r["n"] == (32 if step == "1d" else 256) and r["d"] > 0
+                       for r in sums.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
