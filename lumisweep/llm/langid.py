@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumisweep.llm.common import arrow_schema, record_batch, settle
+from lumisweep.llm.common import arrow_schema, bound_batches, record_batch, settle
 
 UNIT = 32
 SAMPLE_CHARS = 1_000_000
@@ -321,9 +321,14 @@ def train(rows: DataFrame, vocabulary: str, sample_chars: int = SAMPLE_CHARS,
 def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabulary: str,
             carry: Sequence[str] = (), folds: int = 4, fold: int = 2) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each row of ``docs`` and its columns ``carry``."""
+    bound_batches(docs.sparkSession)
+    # A text that goes along is sent to the worker once.
+    along = "text" in carry and dict(docs.dtypes)["text"] == "string"
+    own = [] if along else [F.col("text").cast("string").alias("_text")]
+    at = 2 + (list(carry).index("text") if along else len(carry))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"),
-                       F.col("text").cast("string").alias("_text"), *carry)
+                       *carry, *own)
     out = (rows.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)})
            .select("doc_id", "held_out", "lang_pred", "score", *carry).schema)
     # At most one number per piece of the fixed vocabulary and language.
@@ -332,7 +337,7 @@ def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabular
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(pieces_of(vocabulary), model.value) if languages else None
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(at)
             names: list[str] = []
             sure: list[float] = []
             run: list[list[str]] = []
@@ -352,7 +357,7 @@ def predict(docs: DataFrame, languages: list[str], chance: np.ndarray, vocabular
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()),
                  pa.array(sure, pa.float64()),
-                 *(batch.column(3 + i) for i in range(len(carry)))],
+                 *(batch.column(2 + i) for i in range(len(carry)))],
                 names=["doc_id", "held_out", "lang_pred", "score", *carry])
 
     return rows.mapInArrow(score, out)

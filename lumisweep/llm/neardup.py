@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumisweep.llm.common import arrow_schema, record_batch, settle
+from lumisweep.llm.common import arrow_schema, bound_batches, record_batch, settle
 from lumisweep.llm.components import components
 from lumisweep.llm.words import fold, mix, shingle_set, text_blocks
 
@@ -188,6 +188,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
+    bound_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     signed = settle(rows.mapInArrow(_sign, SIGNED))
     named = signed.where("doc_id is not null and n_shingles > 0")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumisweep.llm.automaton import SuffixAutomaton
-from lumisweep.llm.common import arrow_schema, record_batch, settle
+from lumisweep.llm.common import arrow_schema, bound_batches, record_batch, settle
 from lumisweep.llm.words import TextBlock, grams, prefix_sums, run_hash, text_blocks
 
 WINDOW, ANCHOR = 20, 5
@@ -184,7 +184,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text and marks, the first two columns, become word counts and the kept text."""
     for batch in batches:
         sizes, gone, texts = [], [], []
-        for text, marks in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, listed in zip(batch.column(0), batch.column(1)):
+            marks = listed.as_py()
             words = text.as_buffer().to_pybytes().split() if text.is_valid else []
             removed = 0
             if marks and len(words) >= WINDOW:
@@ -214,6 +215,7 @@ def without_repeats(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
     ``kept`` holds the words left, joined by one space.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
     all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
