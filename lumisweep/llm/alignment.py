@@ -16,6 +16,7 @@ Any other pair or text is too rare to fill a task, and meets its rows in a shuff
 
 Texts are read in units between single spaces, at which neither tokenizer joins anything,
 and units are remembered; a unit whose bytes do not come back makes the text be read whole.
+New units are read many at once, as one text with spaces between them.
 Texts that are null or empty, or whose token bytes are not space and text, have no tokens:
 zeros and an empty ``groups_sha256``.  Rows without ``doc_id`` and repeated rows keep their
 own row.  Other columns are not read.  An empty table gives an empty result.
@@ -27,6 +28,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,11 @@ HOT_SHARE = 1024
 REMEMBERED = 250_000
 RUN_CHARS = 1 << 18
 LONG_UNIT = 48
+JOINED = 128
 ALIGNED = ("text_key string, copies long, n_a long, n_b long, n_groups long, n_links long, "
            "groups_sha256 string, a array<int>, b array<int>, n array<int>")
 # A single space between letters, digits or ASCII signs.
-_SAFE = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
+_SAFE = re.compile(r" (?<=[\w!-~] )(?=[\w!-~])")
 _SPACE = "▁"
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
@@ -84,8 +87,10 @@ class Aligner:
         self.bytes_b = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
                         else p.replace(_SPACE, " ").encode() for i, p in pieces}
         self.length_a, self.length_b = _lengths(self.bytes_a), _lengths(self.bytes_b)
-        self.names_a = [[f"{i}{end}" for i in range(len(self.length_a))] for end in ",|"]
-        self.names_b = [[f"{i}{end}" for i in range(len(self.length_b))] for end in ",;"]
+        # Names with what follows them; a line ends where the tokens of a unit end.
+        self.names_a, self.names_b = (
+            np.array([[f"{i}{end}" for i in range(len(known))] for end in ends], object)
+            for known, ends in ((self.length_a, ",|"), (self.length_b, ",;\n")))
         self.divisible = not any(_SPACE in p.lstrip(_SPACE) for _, p in pieces)
         self.forget()
 
@@ -101,58 +106,72 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return _SAFE.split(text) if self.divisible else [text]
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        in_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in in_a], self.b.encode(texts, num_threads=1)
+    def read(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Tokens of A and of B of each text; None where their bytes are not space and text."""
+        spaced = [" " + t for t in texts]
+        in_a = self.a.encode_batch_fast(spaced, add_special_tokens=False)
+        in_b = self.b.encode(texts, num_threads=1)
+        known_a, known_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        pairs = [(e.ids, b) for e, b in zip(in_a, in_b)]
+        return [(a, b) if b"".join(map(known_a, a)) == b"".join(map(known_b, b)) == t.encode()
+                else None for t, (a, b) in zip(spaced, pairs)]
+
+    def parts(self, units: list[str]) -> Iterator[list[str]]:
+        """Units that a text is cut into, with one space between them; others one by one."""
+        for i in range(0, len(units), JOINED):
+            part = units[i:i + JOINED]
+            if self.units(" ".join(part)) == part:
+                yield part
+            else:
+                yield from ([unit] for unit in part)
 
     def learn(self, units: list[str]) -> None:
         """Align new units and remember them; -1 for those that do not come back."""
-        whole = []
-        for unit, a, b in zip(units, *self.encode(units)):
-            read_a, read_b = b"".join(map(self.bytes_a.__getitem__, a)), b"".join(
-                map(self.bytes_b.__getitem__, b))
-            self.known[unit] = -1
-            if read_a == read_b == (" " + unit).encode():
-                self.known[unit] = len(self.groups) + len(whole)
-                whole.append((a, b))
-        if whole:
-            groups, sizes, codes, ends = self.align(whole)
+        parts = list(self.parts(units))
+        read = self.read([" ".join(part) for part in parts])
+        # One unit that does not come back hides those joined to it.
+        hidden = [u for part, r in zip(parts, read) if not r and len(part) > 1 for u in part]
+        if hidden:
+            parts += [[unit] for unit in hidden]
+            read += self.read(hidden)
+        self.known.update(dict.fromkeys(units, -1))
+        back = [unit for part, r in zip(parts, read) if r for unit in part]
+        if back:
+            self.known.update(zip(back, range(len(self.groups), len(self.groups) + len(back))))
+            groups, sizes, codes, ends = self.align([r for r in read if r], back)
             self.groups += groups
             self.sizes = np.concatenate([self.sizes, sizes])
             self.first = np.concatenate([self.first, len(self.codes) + ends])
             self.codes = np.concatenate([self.codes, codes])
 
-    def align(self, whole: list[tuple[list[int], list[int]]]
+    def align(self, read: list[tuple[list[int], list[int]]], units: list[str]
               ) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Groups as text, numbers of tokens and groups, pair codes of all links and their ends.
 
-        Texts are laid end to end: every end of a text is one where both tokens end.
+        Units are laid end to end: every end of a unit is one where both tokens end.
         """
-        counts_a, counts_b = (np.array([len(w[i]) for w in whole]) for i in range(2))
-        a = np.fromiter((t for w in whole for t in w[0]), np.int64, counts_a.sum())
-        b = np.fromiter((t for w in whole for t in w[1]), np.int64, counts_b.sum())
+        a, b = (np.concatenate([np.array(r[i], np.int64) for r in read]) for i in range(2))
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        stops = np.cumsum([len(unit.encode()) + 1 for unit in units])
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        again = both[1:] == both[:-1]
         # Between two neighbouring ends lie bytes of one token of A and one of B: a link.
-        ends = np.union1d(ends_a, ends_b)
+        ends, cuts = both[np.append(True, ~again)], both[1:][again]
         codes = a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-        # Names with what follows them; the tokens of A of a group stand before those of B.
-        names = np.empty(len(a) + len(b), object)
-        at_a, at_b = np.arange(len(a)), np.arange(len(b))
-        place_a = at_a + np.concatenate([[0], last_b + 1])[np.searchsorted(last_a, at_a)]
-        place_b = at_b + last_a[np.searchsorted(last_b, at_b)] + 1
-        mark_a, mark_b = np.zeros(len(a), int), np.zeros(len(b), int)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         mark_a[last_a] = mark_b[last_b] = 1
-        names[place_a] = [self.names_a[m][i] for m, i in zip(mark_a.tolist(), a.tolist())]
-        names[place_b] = [self.names_b[m][i] for m, i in zip(mark_b.tolist(), b.tolist())]
-        stops = np.cumsum(counts_a + counts_b).tolist()
-        names = names.tolist()
-        groups = ["".join(names[i:j])[:-1] for i, j in zip([0, *stops], stops)]
-        text_ends = ends_a[np.cumsum(counts_a) - 1]
-        n_groups = np.diff(np.searchsorted(cuts, text_ends, "right"), prepend=0)
-        return (groups, np.column_stack([counts_a, counts_b, n_groups]), codes,
-                np.searchsorted(ends, text_ends, "right"))
+        # The tokens of A of a group stand before those of B.
+        names = np.empty(len(a) + len(b), object)
+        group_a, group_b = np.cumsum(mark_a) - mark_a, np.cumsum(mark_b) - mark_b
+        place_a = np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]
+        place_b = np.arange(len(b)) + last_a[group_b] + 1
+        mark_b[np.searchsorted(ends_b, stops)] = 2
+        names[place_a], names[place_b] = self.names_a[mark_a, a], self.names_b[mark_b, b]
+        groups = "".join(names.tolist()).split("\n")[:-1]
+        sizes = np.column_stack([np.diff(np.searchsorted(x, stops, "right"), prepend=0)
+                                 for x in (ends_a, ends_b, cuts)])
+        return groups, sizes, codes, np.searchsorted(ends, stops, "right")
 
     def texts(self, texts: Iterable[str]) -> Iterator[tuple | None]:
         """``n_a, n_b, n_groups, n_links, hash, pair codes, links of each`` or None per text."""
@@ -167,14 +186,16 @@ class Aligner:
 
     def run(self, texts: list[str]) -> Iterator[tuple | None]:
         split = [self.units(text) for text in texts]
-        new = list({u: 0 for units in split for u in units if u not in self.known})
+        distinct = dict.fromkeys(chain.from_iterable(split))
+        new = [u for u in distinct if u not in self.known]
         if len(self.groups) + len(new) > REMEMBERED or len(self.codes) > 16 * REMEMBERED:
             self.forget()
-            new = list({u: 0 for units in split for u in units})
+            new = list(distinct)
         if new:
             self.learn(new)
+        numbers = {u: self.known[u] for u in distinct}
         for text, units in zip(texts, split):
-            at = list(map(self.known.__getitem__, units))
+            at = list(map(numbers.__getitem__, units))
             if -1 not in at:
                 kinds, times = np.unique(at, return_counts=True)
                 first, counts = self.first[kinds], self.first[kinds + 1] - self.first[kinds]
@@ -192,12 +213,10 @@ class Aligner:
 
     def whole(self, text: str) -> tuple | None:
         """Measures of a text read in one piece."""
-        (a,), (b,) = self.encode([text])
-        read = [b"".join(known[i] for i in ids) for known, ids in
-                ((self.bytes_a, a), (self.bytes_b, b))]
-        if read != [(" " + text).encode()] * 2:
+        read = self.read([text])
+        if read == [None]:
             return None
-        groups, sizes, codes, _ = self.align([(a, b)])
+        groups, sizes, codes, _ = self.align(read, [text])
         return self.measures(groups, sizes[0], codes, np.ones(len(codes), np.int64))
 
     @staticmethod

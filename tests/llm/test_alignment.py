@@ -133,6 +133,58 @@ def test_units_do_not_change_a_reading(paths):
     assert len(work.known) <= work_memory
 
 
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **options)
+
+    def encode(self, texts, **options):
+        self.texts += len(texts)
+        return self.inner.encode(texts, **options)
+
+
+def _matches(found, want):
+    """Measures, and the pairs with their links, against a plain reading."""
+    pairs = Counter(want[3])
+    codes = {a << 32 | b: n for (a, b), n in pairs.items()}
+    digest = want[4] and hashlib.sha256(";".join(want[4]).encode()).hexdigest()
+    return (found[:4] == (want[0], want[1], len(want[2]), len(want[3]))
+            and digest in (None, found[4]) and dict(zip(*map(list, found[5:]))) == codes)
+
+
+def test_new_units_are_read_many_at_once(paths):
+    work, plain = alignment.Aligner(*paths), Plain(*paths)
+    work.a, work.b = Counted(work.a), Counted(work.b)
+    texts = [" ".join(f"qu{'aeiou'[i % 5]}rk{i * 7919:x}, zo{i}n." for i in range(j, j + 100))
+             for j in range(0, 2000, 100)]
+    for found, text in zip(work.texts(texts), texts):
+        assert _matches(found, plain.read(text))
+    assert len(work.known) == 4000
+    # 4,000 new units: one by one, they would be 4,000 texts for each tokenizer.
+    assert work.a.texts <= 4000 / 50 and work.b.texts <= 4000 / 50
+
+
+@pytest.mark.parametrize("divisible", [True, False])
+def test_units_that_do_not_come_back_hide_no_others(paths, divisible):
+    work, plain = alignment.Aligner(*paths), Plain(*paths)
+    work.divisible = divisible
+    texts = [f"plain{i} words{i}" for i in range(300)] + [t for t in ODD if t]
+    texts[50] = "some ▁ x▁y mark"
+    texts[120:120] = [" lead space", "trailing space ", "two  spaces", "¿odd edge?"]
+    none = 0
+    for found, text in zip(work.texts(texts), texts):
+        want = plain.read(text)
+        assert (found is None) == (want is None)
+        assert found is None or _matches(found, want)
+        none += found is None
+    assert 0 < none < 10
+
+
 def test_empty(spark, documents, paths):
     assert alignment.align(documents([]), *paths).collect() == []
     assert len(alignment.align(documents([(1, None), (2, "")]), *paths).collect()) == 2
