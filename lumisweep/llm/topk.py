@@ -11,9 +11,10 @@ or at the end of the lists, where both bounds are the score.  The scores of thos
 then resolved by reading on in their rows of the lists only.  ``depth`` is the share of the
 lists that was read to exclude the others, the largest of all blocks.
 
-Candidates and queries are dealt into blocks of bounded size by a hash of the id, and a task
-takes one block of each.  The lists of a block are its own, so each task reads on its own
-and returns its k best per query; a last ranking merges the blocks.  The bounds of all
+Candidates and queries are dealt into blocks of bounded size by a hash of the id.  A task
+takes a block of candidates and then all blocks of queries, one after the other.  The lists of
+a block are its own, so each task reads on its own and returns its k best per query; a last
+ranking merges the blocks.  The bounds of all
 queries at one depth are two matrix products over float64, exact below 2**53; where a score
 can be larger, over Python's integers.
 
@@ -34,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumisweep.llm.common import bound_batches
+
 FOUND = "query_id long, vec_id long, score long, depth double"
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 1024
@@ -48,31 +51,32 @@ def top_of_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
             * float(np.abs(queries.astype(float)).max(initial=0)) * vectors.shape[1])
     number = np.float64 if most < 2 ** 52 else object
     x, q = vectors.astype(number), queries.astype(number)
-    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
     ordered = np.sort(x, axis=0)
-    alive = ids[:, None] != query_ids[None, :]
+    # A row per query: its candidates lie side by side.
+    alive = query_ids[:, None] != ids[None, :]
     depths = np.ones(len(query_ids))
     reading = np.arange(len(query_ids))
     for depth in DEPTHS:
         last = max(0, int(np.ceil(depth * len(ids))) - 1)
         from_top, from_bottom = ordered[len(ids) - 1 - last], ordered[last]
         # Read from the top: x; unread: at most the value read last, at least the low end.
-        lower = np.where(x >= from_top, x, ordered[0]) @ up[:, reading] + np.where(
-            x <= from_bottom, x, ordered[-1]) @ down[:, reading]
-        upper = (np.maximum(x, from_top) @ up[:, reading]
-                 + np.minimum(x, from_bottom) @ down[:, reading])
-        for column, j in enumerate(reading):
-            left = np.flatnonzero(alive[:, j])
+        lower = (up[reading] @ np.where(x >= from_top, x, ordered[0]).T
+                 + down[reading] @ np.where(x <= from_bottom, x, ordered[-1]).T)
+        upper = (up[reading] @ np.maximum(x, from_top).T
+                 + down[reading] @ np.minimum(x, from_bottom).T)
+        for row, j in enumerate(reading):
+            left = np.flatnonzero(alive[j])
             if len(left) > k:
-                floor = np.sort(lower[left, column])[-k]
-                alive[left, j] = upper[left, column] >= floor
-        done = alive[:, reading].sum(axis=0) <= k
+                floor = np.partition(lower[row, left], -k)[-k]
+                alive[j, left] = upper[row, left] >= floor
+        done = alive[reading].sum(axis=1) <= k
         depths[reading[done]] = depth
         reading = reading[~done]
         if not len(reading):
             break
     for j, own in enumerate(query_ids):
-        left = np.flatnonzero(alive[:, j])
+        left = np.flatnonzero(alive[j])
         exact = x[left] @ q[j]
         order = sorted(range(len(left)), key=lambda i: (-exact[i], ids[left[i]]))[:k]
         scores = [min(max(int(exact[i]), _LONG.min), _LONG.max) for i in order]
@@ -105,28 +109,35 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.dropDuplicates(["vec_id"]).withColumn("n", F.size("v"))
     query_blocks = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
 
-    packed = F.collect_list(F.struct("vec_id", "v"))
+    # Candidates travel once; a block of queries follows them to each of their blocks.  A join
+    # would copy either side for the other, and its size estimate does not see an ``explode``.
+    packed = F.collect_list(F.struct("vec_id", "v")).alias("vectors")
     candidates = (vectors.withColumn("n", F.size("v")).groupBy("n", block_of(blocks).alias("b"))
-                  .agg(packed.alias("candidates"))
-                  .withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    wanted = (asked.groupBy("n", block_of(query_blocks).alias("q")).agg(packed.alias("queries"))
-              .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    pairs = candidates.join(wanted, ["n", "b", "q"]).select("candidates", "queries")
+                  .agg(packed).select("n", "b", F.lit(-1).alias("q"), "vectors"))
+    wanted = (asked.groupBy("n", block_of(query_blocks).alias("q")).agg(packed)
+              .select("n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "q",
+                      "vectors"))
+    bound_batches(vectors.sparkSession)
+    met = (candidates.unionByName(wanted).repartition(blocks, "n", "b")
+           .sortWithinPartitions("n", "b", "q"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, x = None, None, None
         for frame in frames:
-            for left, right in zip(frame["candidates"], frame["queries"]):
-                ids, x = _unpack(left)
-                query_ids, q = _unpack(right)
-                found = list(top_of_block(x, ids, q, query_ids, k))
-                yield pd.DataFrame({
-                    "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                    "vec_id": np.concatenate([f[1] for f in found]),
-                    "score": np.concatenate([f[2] for f in found]).astype(np.int64),
-                    "depth": np.repeat([f[3] for f in found], [len(f[1]) for f in found])})
+            for n, b, q, rows in zip(frame["n"], frame["b"], frame["q"], frame["vectors"]):
+                if q < 0:
+                    at, (ids, x) = (n, b), _unpack(rows)
+                elif at == (n, b):         # else no candidate has this length in this block
+                    query_ids, asked_for = _unpack(rows)
+                    found = list(top_of_block(x, ids, asked_for, query_ids, k))
+                    yield pd.DataFrame({
+                        "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
+                        "vec_id": np.concatenate([f[1] for f in found]),
+                        "score": np.concatenate([f[2] for f in found]).astype(np.int64),
+                        "depth": np.repeat([f[3] for f in found], [len(f[1]) for f in found])})
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (pairs.mapInPandas(search, FOUND)
+    return (met.mapInPandas(search, FOUND)
             .withColumn("depth", F.max("depth").over(Window.partitionBy("query_id")))
             .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score", "depth"))

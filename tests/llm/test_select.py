@@ -39,6 +39,20 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block):
     assert topk.exact_top_k(none, none, 5).count() == 0
 
 
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    """Each block of candidates gets all queries: many times what a size estimate sees."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    table = spark.range(200).select(F.col("id").alias("vec_id"), F.array(
+        F.col("id") % 7, F.col("id") % 11).cast("array<double>").alias("embedding"))
+    vectors = topk.integer_vectors(table, "embedding", 256)
+    found = topk.exact_top_k(vectors, vectors.where("vec_id % 20 = 0"), 5)
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan()
+    found._jdf.queryExecution().toRdd().count()
+    assert "Broadcast" not in plan.toString() and "MapInPandas" in plan.toString()
+
+
 def test_bounds_stop_before_the_end_and_large_numbers_stay_exact():
     rng = np.random.default_rng(1)
     x = rng.integers(-200, 200, (3000, 8))
