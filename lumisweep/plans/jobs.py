@@ -22,6 +22,7 @@ from lumisweep.operators.sweepgrid import (level_values, tolerance_sweep, wavele
                                            with_indices)
 from lumisweep.sources.reports import (measured_with_header, report_data, report_errors,
                                        report_header, report_lines)
+from lumisweep.sources.sinks import kept
 from lumisweep.sources.sweeps import packed_sweeps, sweep_files
 from lumisweep.sources.tables import device_lookup
 
@@ -112,6 +113,8 @@ def fit_reports(reports: DataFrame, optical: DataFrame, y: str = "empfindlichkei
 
     ``optical`` has ``material, lambda_nm, n, k, alpha``.  Every distinct wavelength that any
     report measures is resampled once, and this dictionary is joined back to the rows.
+    Reports, measured rows, dictionary and fits are read by several results and computed once
+    (``kept``); this starts when the function is called.
 
     * ``fits``: thicknesses, ``converged``, ``sse`` and ``rmse`` per report and device
     * ``coefficients``: estimate, standard error, t and p value per parameter
@@ -119,16 +122,18 @@ def fit_reports(reports: DataFrame, optical: DataFrame, y: str = "empfindlichkei
     * ``rejected``: ``path, reason`` of the reports that give no fit: sections missing, no
       measured value, or a fit that does not settle (these stay in ``fits`` as well)
     """
+    reports = kept(reports)
     data = report_data(reports, ("wellenlange", y)).select(
         "file", "path", "pos", F.col("wellenlange").alias("lambda_nm"), F.col(y).alias("y"))
-    measured = (measured_with_header(data, report_header(reports))
-                .where(F.col("lambda_nm").isNotNull() & F.col("y").isNotNull()))
-    indices = refractive_indices(measured.select("lambda_nm"), optical).withColumn(
-        "n_env", F.lit(1.0))
-    fitted = fit_layer_stack(measured, indices, DEVICE_KEYS, "y", start)
+    measured = kept(measured_with_header(data, report_header(reports))
+                    .where(F.col("lambda_nm").isNotNull() & F.col("y").isNotNull()))
+    indices = kept(refractive_indices(measured.select("lambda_nm"), optical).withColumn(
+        "n_env", F.lit(1.0)))
+    fitted = kept(fit_layer_stack(measured, indices, DEVICE_KEYS, "y", start))
     curves = predict_layer_stack(measured, indices, fitted, DEVICE_KEYS, "y")
     rmse = residual_summary(curves, DEVICE_KEYS).select(*DEVICE_KEYS, "rmse")
-    empty = (reports.select("path").join(report_errors(reports).select("path"), "path", "left_anti")
+    errors = report_errors(reports).select("path", "reason")
+    empty = (reports.select("path").join(errors.select("path"), "path", "left_anti")
              .join(measured.select("path").distinct(), "path", "left_anti")
              .select("path", F.lit("no measured value").alias("reason")))
     unsettled = fitted.where(~F.col("converged")).select(
@@ -136,5 +141,4 @@ def fit_reports(reports: DataFrame, optical: DataFrame, y: str = "empfindlichkei
     return {"fits": join_values(fitted.drop("inverse"), rmse, DEVICE_KEYS),
             "coefficients": coefficient_summary(fitted, DEVICE_KEYS, against),
             "curves": curves,
-            "rejected": report_errors(reports).select("path", "reason").unionByName(empty)
-            .unionByName(unsettled)}
+            "rejected": errors.unionByName(empty).unionByName(unsettled)}

@@ -37,10 +37,11 @@ def report_lines(spark: SparkSession, path: str | Sequence[str], pattern: str =
 
 def parse_report_lines(raw: DataFrame, charset: str = "UTF-8") -> DataFrame:
     """The same for a table of ``path`` and binary ``content``."""
-    text = F.regexp_replace(F.decode("content", charset), "^﻿", "")
-    lines = F.filter(lines_of(text), lambda x: F.trim(x) != "")
-    files = raw.select(F.element_at(F.split("path", "/"), -1).alias("file"),
-                       F.col("path"), lines.alias("lines"))
+    # Function by function: what is used several times is computed in a step of its own.
+    text = F.regexp_replace(F.decode("content", charset), "^﻿", "").alias("_text")
+    split = raw.select("path", text).select("path", lines_of(F.col("_text")).alias("_split"))
+    files = split.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("path"),
+                         F.filter("_split", lambda x: F.trim(x) != "").alias("lines"))
     return files.withColumns({f"_{name}": _first_line_with(mark).cast("int")
                               for name, mark in SECTIONS.items()})
 
@@ -97,20 +98,28 @@ def report_values(reports: DataFrame) -> DataFrame:
     return _data_lines(reports).select("file", "path", "pos", F.inline(pairs))
 
 
-def _data_lines(reports: DataFrame) -> DataFrame:
-    rows = F.slice("lines", F.col("_data") + 3, F.size("lines") - F.col("_data") - 2)
-    names = _column_names()
-    return (reports.where(_complete()).select("file", "path", names.alias("_names"),
-                                              F.posexplode(rows).alias("pos", "_line"))
-            .withColumn("_tokens", F.split("_line", ";")))
+def _named_lines(reports: DataFrame) -> DataFrame:
+    """One row per good file: ``file, path, _names`` and its data lines, ``_rows``.
 
-
-def _column_names() -> Column:
-    """Clean names of a file's data columns; a name's later uses end in _2, _3, ..."""
+    The names are computed here, once for a file and not for each of its lines.
+    """
+    rows = F.slice("lines", F.col("_data") + 3, F.size("lines") - F.col("_data") - 2)
     head = F.split(F.element_at("lines", F.col("_data") + 2), ";")
     names = F.transform(head, lambda x: F.when(F.trim(x) == "", F.lit("")).otherwise(
         clean_name_column(x)))
+    plain = reports.where(_complete()).select("file", "path", names.alias("_plain"),
+                                              rows.alias("_rows"))
+    return plain.select("file", "path", _numbered("_plain").alias("_names"), "_rows")
 
+
+def _data_lines(reports: DataFrame) -> DataFrame:
+    return (_named_lines(reports)
+            .select("file", "path", "_names", F.posexplode("_rows").alias("pos", "_line"))
+            .withColumn("_tokens", F.split("_line", ";")))
+
+
+def _numbered(names: str) -> Column:
+    """The names of a file's data columns; a name's later uses end in _2, _3, ..."""
     def numbered(name: Column, at: Column) -> Column:
         uses = F.size(F.filter(F.slice(names, F.lit(1), at + 1), lambda x: x == name))
         return F.when((uses > 1) & (name != ""), F.concat(
@@ -121,7 +130,7 @@ def _column_names() -> Column:
 
 def report_columns(reports: DataFrame) -> DataFrame:
     """``name`` of every data column of any file: one pass over the header lines."""
-    return (reports.where(_complete()).select(F.explode(_column_names()).alias("name"))
+    return (_named_lines(reports).select(F.explode("_names").alias("name"))
             .where("name <> ''").distinct())
 
 
@@ -131,12 +140,18 @@ def report_data(reports: DataFrame, columns: Sequence[str] = DATA_COLUMNS) -> Da
     A column that a file does not have is NULL there; unnamed columns are dropped.
     ``report_columns`` lists what the files have.
     """
-    def value(name: str) -> Column:
-        at = F.array_position("_names", name).cast("int")
-        return F.when(at > 0, decimal_comma_to_double(F.get("_tokens", at - 1)))
-
-    return _data_lines(reports).select("file", "path", "pos", *[
-        value(c).alias(c) for c in columns])
+    places = [F.array_position("_names", c).cast("int").alias(f"_at_{i}")
+              for i, c in enumerate(columns)]
+
+    def value(tokens: Column, i: int) -> Column:
+        at = F.col(f"_at_{i}")
+        return F.when(at > 0, decimal_comma_to_double(F.get(tokens, at - 1)))
+
+    # Values are made inside the array, so that a filter on them does not make them again.
+    rows = F.transform(F.transform("_rows", lambda x: F.split(x, ";")), lambda t, i: F.struct(
+        i.alias("pos"), *[value(t, n).alias(c) for n, c in enumerate(columns)]))
+    return (_named_lines(reports).select("file", "path", "_rows", *places)
+            .select("file", "path", F.inline(rows)))
 
 
 def header_ids(reports: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
-"""CSV sinks with decimal commas and the space-separated plan table (K1, K2)."""
+"""CSV sinks with decimal commas, the space-separated plan table (K1, K2), tables kept on the way."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -38,3 +39,18 @@ def write_plan_table(df: DataFrame, path: str, order: str, mode: str = "errorife
         (F.col("_row") + 1).cast("string").alias(" "), *df.columns)
     named.orderBy(F.col("` `").cast("long")).coalesce(1).write.mode(mode).csv(
         path, sep=" ", header=True, quoteAll=True, emptyValue='""')
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, computed once for all results that read them.
+
+    Written now as a table in ``spark.checkpoint.dir``, the folder that all executors share;
+    a session without one caches the rows instead.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return df.persist()
+    path = f"{folder}/lumisweep-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumisweep.functions.optics import with_responsivity
 from lumisweep.operators import stackfit, sweepgrid
 from lumisweep.plans import jobs, views
+from lumisweep.sources import reports
 
 TRUTH = {1: (9.3, 13.0, 74.0), 2: (40.0, 16.0, 69.0), 3: (160.0, 14.0, 70.0)}
 LAMBDAS = [float(v) for v in range(400, 1101, 10)]
@@ -131,3 +132,26 @@ def test_reports_to_stack_fit(spark, tmp_path):
                        "short.csv": "fit does not settle"}
     assert found["coefficients"].where("device_nr = '1'").count() == 3
     assert found["curves"].where("abs(residual) > 1e-7 and device_nr in ('1', '2')").count() == 0
+
+
+def test_reports_are_read_once_for_all_results(spark):
+    """Text made by a function that counts: four results, each report read and cut once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def counted(content):
+        seen.add(1)
+        return bytes(content)
+
+    texts = [(f"x/{i}.csv", "\n".join([
+        "[Allgemein]", f"Bauteil-Nr.:;{i}", "[Einstellungen Messung]", "[Messwerte]", "Kurve",
+        "Wellenlänge [nm];Empfindlichkeit [A/W];", *[
+            f"{400 + 20 * n},5;0,{300 + 7 * n + i};" for n in range(12)]]).encode())
+        for i in range(6)]
+    raw = spark.createDataFrame(texts, "path string, content binary").repartition(2)
+    lines = reports.parse_report_lines(raw.select("path", counted("content").alias("content")))
+    found = jobs.fit_reports(lines, views.optical_knots(spark))
+    assert {name: df.count() for name, df in found.items() if name != "rejected"} == {
+        "fits": 6, "coefficients": 18, "curves": 72}
+    assert {r["reason"] for r in found["rejected"].collect()} <= {"fit does not settle"}
+    assert seen.value == 6
