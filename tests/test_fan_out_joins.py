@@ -62,3 +62,28 @@ def test_equal_curves_are_fitted_once(monkeypatch):
         found = stackfit._fit_new([curve.ravel(), 2 * curve.ravel(), curve.ravel()], None, {})
     assert sum(solved) == 2
     assert np.array_equal(found[0], found[2], equal_nan=True)
+
+
+def _exchanges(df):
+    """Shuffles that no ``repartition`` asked for."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return plan.count("ENSURE_REQUIREMENTS")
+
+
+def test_rows_dealt_by_key_are_not_shuffled_by_the_lowpass_fit(spark):
+    few = spark.createDataFrame([(1, 50.0), (2, 500.0), (3, 90.0)], "k int, f0 double")
+
+    def rows(df):
+        wide = df.repartition(4, "k").withColumn("f", F.explode(F.lit([25.0 * i for i in range(40)])))
+        return wide.select("k", "f", (-20 * F.log10(1 + F.pow(F.col("f") / F.col("f0"), 2))).alias("a"))
+
+    found = fits.fit_lowpass2(rows(few), ["k"])
+    assert _exchanges(found) == 0
+    with_null = fits.fit_lowpass2(rows(few.union(spark.createDataFrame([(None, 70.0)], few.schema))), ["k"])
+    assert {r["k"]: round(r["f0_mhz"], 4) for r in with_null.collect()} == {
+        1: 50.0, 2: 500.0, 3: 90.0, None: 70.0}
+    assert {r["k"] for r in found.collect()} == {1, 2, 3}
