@@ -87,3 +87,28 @@ def test_rows_dealt_by_key_are_not_shuffled_by_the_lowpass_fit(spark):
     assert {r["k"]: round(r["f0_mhz"], 4) for r in with_null.collect()} == {
         1: 50.0, 2: 500.0, 3: 90.0, None: 70.0}
     assert {r["k"] for r in found.collect()} == {1, 2, 3}
+
+
+def _sweeps(spark, keys):
+    table = spark.createDataFrame([(k,) for k in keys], "k int").repartition(4, "k")
+    i = F.sequence(F.lit(0), F.lit(59))
+    return table.withColumn("points", F.transform(i, lambda x: F.struct(
+        x.alias("pos"), (x * 40.0).alias("f"),
+        (-20 * F.log10(1 + F.pow(x * 40.0 / 300, 2)) + 0.01 * ((x * 37) % 11)).alias("a"))))
+
+
+def test_sweeps_are_fitted_where_they_are(spark):
+    found = fits.fit_rational_packed(_sweeps(spark, [1, 2, 3]), ["k"])
+    assert _plan(found).count("Exchange hashpartitioning") == 1          # the test's own
+
+
+def test_samples_dealt_by_key_are_not_shuffled_by_the_certificate(spark):
+    for keys in ([1, 2, 3], [1, None, 3]):
+        packed = _sweeps(spark, keys)
+        fitted = fits.fit_rational_packed(packed, ["k"], digits=None).drop("points").persist()
+        samples = packed.select("k", F.inline_outer("points"))
+        proof = fits.rational_certificate(samples, fitted, ["k"])
+        if None not in keys:
+            assert _exchanges(proof) <= 1              # the few fitted rows
+        assert {(r["k"], r["n"]) for r in proof.collect()} == {(k, 60) for k in keys}
+        fitted.unpersist()
